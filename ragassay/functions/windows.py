@@ -1,0 +1,46 @@
+"""Ordered operations that never put one whole key into one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def lead_in_blocks(
+    df: DataFrame, key: str, order: str, values: dict[str, str], block: int = 1000
+) -> DataFrame:
+    """``lead(value)`` per key where one key may hold a third of all rows.
+
+    The order column is cut into blocks, so the window groups are
+    ``(key, block)``. Only the last row of a block looks outside: it takes the
+    first row of the key's next non-empty block, found among one row per block.
+    """
+    blk = df.withColumn("_blk", F.floor(F.col(order) / block))
+    within = Window.partitionBy(key, "_blk").orderBy(order)
+    inner = blk.withColumn("_last", F.lead(order).over(within).isNull())
+    for out, src in values.items():
+        inner = inner.withColumn(out, F.lead(src).over(within))
+
+    heads = blk.groupBy(key, "_blk").agg(
+        F.min_by(F.struct(*values.values()), order).alias("_head")
+    )
+    across = Window.partitionBy(key).orderBy("_blk")
+    heads = heads.select(key, "_blk", F.lead("_head").over(across).alias("_next"))
+
+    joined = inner.join(heads, [key, "_blk"], "left")
+    for out, src in values.items():
+        joined = joined.withColumn(
+            out, F.when(F.col("_last"), F.col("_next")[src]).otherwise(F.col(out))
+        )
+    return joined.drop("_blk", "_last", "_next")
+
+
+def first_row_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """First row per key by arrival order, combined before the shuffle.
+
+    An aggregate instead of ``row_number``: a hot key is reduced in every map
+    task, never gathered as a group.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    return picked.select(*keys, "_row.*").select(*df.columns)
