@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragassay.functions import prompts
+from ragassay.functions.arrays import exploded
 from ragassay.functions.embedding import embed_texts, hashing_embedder
 from ragassay.functions.text import name_uuid, preview
 from ragassay.operators import diagnose, evaluate, export, golden, inference, ingest, metrics, retrieve
@@ -268,7 +269,7 @@ def _retrieved(spark: SparkSession, sf: str, threshold: float = 0.3) -> DataFram
 
 @query
 def retrieved_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _retrieved(spark, sf).select("query_id", F.posexplode("retrieved_contexts").alias("pos", "c"))
+    rows = exploded(_retrieved(spark, sf), "retrieved_contexts", ["query_id"], "c", "pos")
     return rows.select(
         "query_id",
         (F.col("pos") + 1).cast("bigint").alias("rank_no"),
@@ -470,8 +471,7 @@ def judge_context_block(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(judged: DataFrame) -> DataFrame:
-    exploded = judged.select("run_id", "query_id", F.explode("scores").alias("s"))
-    return exploded.select(
+    return exploded(judged, "scores", ["run_id", "query_id"], "s").select(
         *_big("run_id", "query_id"),
         F.col("s.metric_name").alias("metric_name"),
         F.col("s.score").alias("score"),

@@ -12,6 +12,13 @@ import pyarrow.compute as pc
 
 # cells of one score matrix held at a time (64 MB of doubles)
 SCORE_CELLS = 8_000_000
+# scores are compared (not reported) at 12 places: the last bits of a dot product
+# depend on where a row sits in its batch, and equal vectors must tie
+SCORE_PLACES = 12
+
+
+def comparable(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores, SCORE_PLACES)
 
 
 def normalised(vectors: np.ndarray) -> np.ndarray:
@@ -116,21 +123,24 @@ def similarity_hits(
         for lo in range(0, len(block.ids), step):
             cols = slice(lo, lo + step)
             scores = unit @ block.unit[cols].T
-            keep = scores >= floor[cols]
+            keep = scores >= floor[cols] - 10.0**-SCORE_PLACES
             counts = None
             if topics is not None:
                 counts = _topic_counts(topics, block, cols, distinct_topics)
                 if counts is not None:
                     keep &= counts > 0
             rows, col = np.nonzero(keep)
+            picked = scores[rows, col]
+            reach = comparable(picked) >= floor[cols][col]
+            rows, col, picked = rows[reach], col[reach], picked[reach]
             copies = np.ones(len(rows), np.int64) if counts is None else counts[rows, col]
-            yield rows, col + lo, scores[rows, col], copies.astype(np.int64)
+            yield rows, col + lo, picked, copies.astype(np.int64)
 
     def emit(query, chunk, doc, score, copies) -> pa.RecordBatch:
         limits = np.zeros(len(query), np.int64) if block.top_k is None else block.top_k[query]
         columns = [
             block.ids.take(pa.array(query)), chunk, doc,
-            pa.array(score), pa.array(copies), pa.array(limits),
+            pa.array(score), pa.array(comparable(score)), pa.array(copies), pa.array(limits),
         ]
         return pa.RecordBatch.from_arrays(
             [c.cast(t) for c, t in zip(columns, out_schema.types)], schema=out_schema
@@ -162,12 +172,12 @@ def similarity_hits(
                         pa.concat_arrays([a, b]) if isinstance(a, pa.Array) else np.concatenate([a, b])
                         for a, b in zip(held, new)
                     )
-                top = _best(new[0], new[3], _sortable(new[1]), block.top_k)
+                top = _best(new[0], comparable(new[3]), _sortable(new[1]), block.top_k)
                 held = tuple(c.take(pa.array(top)) if isinstance(c, pa.Array) else c[top] for c in new)
                 # a full query only needs scores that reach its current k-th best
                 full = np.bincount(held[0], minlength=len(floor)) >= block.top_k
                 worst = np.full(len(floor), np.inf)
-                np.minimum.at(worst, held[0], held[3])
+                np.minimum.at(worst, held[0], comparable(held[3]))
                 floor = np.where(full & np.isfinite(worst), worst, block.threshold)
         if held is not None:
             yield emit(*held)

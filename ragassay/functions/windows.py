@@ -42,5 +42,6 @@ def first_row_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     task, never gathered as a group.
     """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    # a bare null order would be skipped; inside a struct it sorts first
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(order)).alias("_row"))
     return picked.select(*keys, "_row.*").select(*df.columns)

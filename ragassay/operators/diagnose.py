@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragassay.functions.arrays import exploded
 from ragassay.functions.numbers import fixed_text
 from ragassay.operators.metrics import overall_quality
 from ragassay.schemas import METRICS
@@ -153,7 +154,7 @@ def diagnosed(averages: DataFrame, rules: list[Column]) -> DataFrame:
 
 def findings(diagnoses: DataFrame) -> DataFrame:
     """Long form: one row per job and finding."""
-    return diagnoses.select("job_id", F.posexplode("diagnosis").alias("_pos", "f")).select(
+    return exploded(diagnoses, "diagnosis", ["job_id"], "f", "_pos").select(
         "job_id", (F.col("_pos") + 1).alias("finding_no"), "f.*"
     )
 

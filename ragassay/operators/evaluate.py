@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragassay.functions.arrays import exploded
 from ragassay.functions.prompts import judge_context_block
 from ragassay.functions.text import token_set
 from ragassay.functions.windows import first_row_per_key
@@ -212,17 +213,11 @@ def model_judges(fetched: DataFrame, correctness: Scorer, triad: Scorer) -> Data
 
 def metric_rows(judged: DataFrame, arrival: list[str]) -> DataFrame:
     """Long metric rows; ``arrival`` keeps the columns that order repeated keys."""
-    rows = judged.select(
-        "job_id",
-        "query_id",
-        strategy(F.col("ground_truth")).alias("evaluation_strategy"),
-        *arrival,
-        F.explode("scores").alias("s"),
-    )
+    rows = exploded(judged, "scores", ["job_id", "query_id", "ground_truth", *arrival], "s")
     return rows.select(
         "job_id",
         "query_id",
-        "evaluation_strategy",
+        strategy(F.col("ground_truth")).alias("evaluation_strategy"),
         F.lit(METRIC_CATEGORY).alias("metric_category"),
         F.col("s.metric_name").alias("metric_name"),
         F.col("s.score").cast("decimal(5,4)").alias("metric_value"),

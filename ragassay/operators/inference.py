@@ -20,7 +20,7 @@ def worklist(
     questions: DataFrame | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """(question, golden_record_id) rows of a run.
+    """(item, question, golden_record_id) rows of a run; ``item`` tells rows apart.
 
     ``case1`` asks the active records of a batch, ``case2`` asks free questions
     (columns ``ordinal``, ``question``) without ground truth.
@@ -29,13 +29,19 @@ def worklist(
         if not batch_name or golden is None:
             raise ValueError("batch_name is required for case1")
         return fetch_batch(golden, batch_name, limit).select(
-            "question", F.col("id").alias("golden_record_id")
+            F.col("id").cast("string").alias("item"),
+            "question",
+            F.col("id").alias("golden_record_id"),
         )
     if mode == "case2":
         if questions is None:
             raise ValueError("source questions are required for case2")
         asked = questions.filter(F.col("ordinal") < limit) if limit else questions
-        return asked.select("question", F.lit(None).cast("string").alias("golden_record_id"))
+        return asked.select(
+            F.col("ordinal").cast("string").alias("item"),
+            "question",
+            F.lit(None).cast("string").alias("golden_record_id"),
+        )
     raise ValueError(f"unknown mode {mode!r}: use 'case1' or 'case2'")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragassay.functions.arrays import exploded
 from ragassay.functions.chunking import chunk_pages
 from ragassay.functions.text import base_name, is_not_blank, json_text_or_null, name_uuid, stable_id
 from ragassay.operators.retrieve import active
@@ -23,8 +24,8 @@ def fingerprint(files: DataFrame, path: str = "path", content: str = "content")
 def explode_pages(documents: DataFrame, pages: str = "pages") -> DataFrame:
     """One row per page; blank pages are dropped but keep their number."""
     rest = [c for c in documents.columns if c != pages]
-    exploded = documents.select(*rest, F.posexplode(pages).alias("_pos", "page_text"))
-    return exploded.filter(is_not_blank(F.col("page_text"))).select(
+    rows = exploded(documents, pages, rest, "page_text", "_pos")
+    return rows.filter(is_not_blank(F.col("page_text"))).select(
         *rest, (F.col("_pos") + 1).alias("page_number"), "page_text"
     )
 
@@ -43,8 +44,8 @@ def explode_pieces(documents: DataFrame, pieces: Column) -> DataFrame:
         )
 
     flat = F.flatten(F.transform(pieces, page))
-    exploded = documents.select(*rest, F.posexplode(flat).alias("chunk_index", "_piece"))
-    return exploded.select(*rest, "chunk_index", "_piece.page_number", "_piece.content")
+    rows = exploded(documents, flat, rest, "_piece", "chunk_index")
+    return rows.select(*rest, "chunk_index", "_piece.page_number", "_piece.content")
 
 
 def chunk_documents(
@@ -172,7 +173,7 @@ def checked_topics(topics: Column) -> Column:
 
 
 def document_topics_map(arrivals: DataFrame) -> DataFrame:
-    named = arrivals.select("doc_id", F.explode(checked_topics(F.col("topics"))).alias("topic_name"))
+    named = exploded(arrivals, checked_topics(F.col("topics")), ["doc_id"], "topic_name")
     return named.select("doc_id", name_uuid(F.col("topic_name")).alias("topic_id"))
 
 

@@ -22,6 +22,8 @@ from ragassay.schemas import SIMILARITY_THRESHOLD, TOP_K
 BLOCK_BYTES = 256 * 1024 * 1024
 # result rows (under 100 bytes each) that may be broadcast when texts are looked up
 LOOKUP_ROWS = 200_000
+# active document ids (at ~50 bytes) that may be broadcast to filter the chunk scan
+LIVE_ROWS = 2_000_000
 # topic names that are worth a pushed-down IN list
 TOPIC_LIST = 1_000
 
@@ -32,8 +34,14 @@ def active(df: DataFrame) -> DataFrame:
 
 
 def searchable_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Active chunks of active documents that have a vector."""
+    """Active chunks of active documents that have a vector.
+
+    A counted, small id list is broadcast so that vectors are not shuffled;
+    a larger one goes through a shuffled semi join.
+    """
     live = active(documents).select("doc_id")
+    if live.count() <= LIVE_ROWS:
+        live = F.broadcast(live)
     return (
         active(chunks)
         .filter("embedding IS NOT NULL")
@@ -122,6 +130,7 @@ def _scan(chunks: DataFrame, block: QueryBlock, distinct_topics: bool = False) -
             T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
             T.StructField("doc_id", chunks.schema["doc_id"].dataType),
             T.StructField("similarity_score", T.DoubleType()),
+            T.StructField("order_score", T.DoubleType()),
             T.StructField("copies", T.LongType()),
             T.StructField("top_k", T.LongType()),
         ]
@@ -153,6 +162,7 @@ def _no_hits(chunks: DataFrame) -> DataFrame:
         "chunk_id",
         "doc_id",
         F.lit(0.0).alias("similarity_score"),
+        F.lit(0.0).alias("order_score"),
         F.lit(1).cast("long").alias("copies"),
         F.lit(1).cast("long").alias("top_k"),
     ).filter(F.lit(False))
@@ -167,7 +177,7 @@ def similar_pairs(
     """Every (question, chunk) pair whose cosine similarity reaches the threshold."""
     asked = with_search_defaults(queries, threshold=threshold)
     parts = [_scan(chunks, b) for b in query_blocks(asked, ranked=False, block_bytes=block_bytes)]
-    return _union(parts, _no_hits(chunks)).drop("copies", "top_k")
+    return _union(parts, _no_hits(chunks)).drop("order_score", "copies", "top_k")
 
 
 def semantic_search(
@@ -207,7 +217,7 @@ def semantic_search(
 
 def _ranked(hits: DataFrame) -> DataFrame:
     """Merge the per-task winners; a group has at most k rows per scan task."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), "chunk_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("order_score"), "chunk_id")
     # more copies than places can never be used
     places = F.least("copies", "top_k")
     rows = hits.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), places)))

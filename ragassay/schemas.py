@@ -38,8 +38,8 @@ _DDL = {
     "inference_run_query_mapping": "run_id string, query_id string",
 }
 
-# documents whose chunks were soft-deleted after the chunk files were written
-_DDL["chunk_tombstones"] = "doc_id string"
+# documents that were soft-deleted, with chunks and topics, after their files were written
+_DDL["retired_documents"] = "doc_id string"
 
 TABLES: dict[str, str] = {name: f"{ddl}, {AUDIT}" for name, ddl in _DDL.items()}
 
