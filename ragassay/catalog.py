@@ -106,13 +106,8 @@ def topic_id_uuid5(spark: SparkSession, sf: str) -> DataFrame:
 # --- versioned load -----------------------------------------------------------------
 
 
-def _cascade(spark: SparkSession, sf: str) -> ingest.Cascade:
-    return ingest.soft_delete_cascade(
-        fx.resident_documents(spark, sf).select("doc_id", "doc_name", "is_deleted"),
-        fx.resident_of(spark, sf, fx.document_chunks(spark, sf)).select("chunk_id", "doc_id", "is_deleted"),
-        fx.resident_of(spark, sf, fx.document_topics(spark, sf)),
-        _arrivals(spark, sf),
-    )
+def _retired(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.retired_documents(fx.resident_documents(spark, sf), _arrivals(spark, sf))
 
 
 def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,11 +117,12 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def soft_delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    c = _cascade(spark, sf)
+    retired = _retired(spark, sf)
+    chunks = fx.document_chunks(spark, sf).select("chunk_id", "doc_id", "is_deleted")
 
     def state(rows: DataFrame, name: str, *key: str) -> DataFrame:
         parts = [F.col(k).cast("string") for k in key]
-        return rows.select(
+        return ingest.soft_deleted(rows, retired).select(
             F.lit(name).alias("table_name"),
             F.concat_ws("/", *parts).alias("row_key"),
             "is_deleted",
@@ -134,15 +130,20 @@ def soft_delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     return (
-        state(c.documents, "documents", "doc_id")
-        .unionByName(state(c.document_chunks, "document_chunks", "chunk_id"))
-        .unionByName(state(c.document_topics, "document_topics", "doc_id", "topic_name"))
+        state(fx.resident_documents(spark, sf), "documents", "doc_id")
+        .unionByName(state(fx.resident_of(spark, sf, chunks), "document_chunks", "chunk_id"))
+        .unionByName(
+            state(
+                fx.resident_of(spark, sf, fx.document_topics(spark, sf)),
+                "document_topics", "doc_id", "topic_name",
+            )
+        )
     )
 
 
 @query
 def reingest_documents(spark: SparkSession, sf: str) -> DataFrame:
-    old = _cascade(spark, sf).documents.select(
+    old = ingest.soft_deleted(fx.resident_documents(spark, sf), _retired(spark, sf)).select(
         "doc_id", "doc_name", "is_deleted", F.lit("").alias("md5_hash"), F.lit(0).cast("bigint").alias("total_pages")
     )
     new = ingest.new_document_versions(_arrivals(spark, sf)).select(
@@ -173,7 +174,10 @@ def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
     versions = ingest.new_document_versions(arrivals.select("doc_id", "doc_name", "topics"))
     pieces = ingest.page_pieces(F.col("pages"))
     counts = arrivals.select("doc_id", F.size(F.flatten(pieces)).alias("n_chunks"))
-    return ingest.ingest_stats(_cascade(spark, sf), versions, fx.known_topics(spark, sf), counts)
+    return ingest.ingest_stats(
+        _retired(spark, sf), fx.document_chunks(spark, sf), fx.document_topics(spark, sf),
+        versions, fx.known_topics(spark, sf), counts,
+    )
 
 
 # --- retrieval ----------------------------------------------------------------------

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragassay.functions.aggregates import first_row_per_key
 from ragassay.functions.arrays import exploded
 from ragassay.functions.prompts import judge_context_block
 from ragassay.functions.text import token_set
-from ragassay.functions.windows import first_row_per_key
 from ragassay.operators.retrieve import active
 from ragassay.schemas import CASE1, CASE2, METRIC_CATEGORY, SCORE_DDL
 

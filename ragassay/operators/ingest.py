@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,46 +86,28 @@ def chunk_metadata_json(chunks: DataFrame) -> DataFrame:
 # --- versioned load ------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Cascade:
-    """Next state of three tables plus the documents that were just retired."""
+def retired_documents(documents: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Active documents that an incoming name replaces: (doc_id, doc_name)."""
+    names = incoming.select("doc_name").distinct()
+    return active(documents).select("doc_id", "doc_name").join(names, "doc_name", "left_semi")
 
-    documents: DataFrame
-    document_chunks: DataFrame
-    document_topics: DataFrame
-    retired: DataFrame
 
+def soft_deleted(rows: DataFrame, retired: DataFrame) -> DataFrame:
+    """Next state of a table that belongs to documents: documents, chunks, topic rows.
 
-def _flag_deleted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Mark active rows whose key is listed; ``newly_deleted`` tells which."""
-    hit = rows.join(keys.select(key).withColumn("_hit", F.lit(True)), key, "left")
-    now = F.coalesce(F.col("_hit") & (F.col("is_deleted") == F.lit(False)), F.lit(False))
+    Active rows of a retired document become deleted; ``newly_deleted`` tells
+    which they were. Rows already deleted, or without a flag, stay as they are.
+    """
+    gone = retired.select("doc_id", F.lit(True).alias("_gone"))
+    now = F.coalesce(F.col("_gone") & (F.col("is_deleted") == F.lit(False)), F.lit(False))
     return (
-        hit.withColumn("newly_deleted", now)
-        .withColumn("is_deleted", F.when(now, True).otherwise(F.col("is_deleted")))
-        .drop("_hit")
+        rows.join(gone, "doc_id", "left")
+        .withColumn("newly_deleted", now)
+        .withColumn("is_deleted", F.when(F.col("newly_deleted"), True).otherwise(F.col("is_deleted")))
         .select(*rows.columns, "newly_deleted")
     )
 
 
-def soft_delete_cascade(
-    documents: DataFrame,
-    chunks: DataFrame,
-    document_topics: DataFrame,
-    incoming_names: DataFrame,
-) -> Cascade:
-    """Retire every active version of the incoming names, with chunks and topics."""
-    names = incoming_names.select("doc_name").distinct()
-    docs = _flag_deleted(documents, names, "doc_name")
-    retired = active(documents).join(names, "doc_name", "left_semi").select("doc_id")
-    return Cascade(
-        documents=docs,
-        document_chunks=_flag_deleted(chunks, retired, "doc_id"),
-        document_topics=_flag_deleted(document_topics, retired, "doc_id"),
-        retired=retired,
-    )
-
-
 def with_superseded_flag(arrivals: DataFrame, order: str) -> DataFrame:
     """Within one batch only the last arrival of a name stays active.
 
@@ -178,7 +158,9 @@ def document_topics_map(arrivals: DataFrame) -> DataFrame:
 
 
 def ingest_stats(
-    cascade: Cascade,
+    retired: DataFrame,
+    chunks: DataFrame,
+    document_topics: DataFrame,
     versions: DataFrame,
     topics: DataFrame,
     chunk_counts: DataFrame,
@@ -186,29 +168,31 @@ def ingest_stats(
 ) -> DataFrame:
     """Counts per document name, as if the batch was loaded in arrival order.
 
-    ``versions`` are the arrivals with ``is_deleted`` and ``topics``;
+    ``chunks``, ``document_topics`` and ``topics`` are the tables before the
+    load; ``versions`` are the arrivals with ``is_deleted`` and ``topics``;
     ``chunk_counts`` is (doc_id, n_chunks) of the arrivals. A topic counts as
     inserted for the first arrival that brings it.
     """
-    old = (
-        cascade.documents.filter("newly_deleted")
-        .groupBy("doc_name")
-        .agg(F.count("*").alias("deleted_documents"))
-    )
-    old_names = active(cascade.documents.withColumn("is_deleted", ~F.col("newly_deleted"))).select(
-        "doc_id", "doc_name"
-    )
 
-    def cascaded(rows: DataFrame, out: str) -> DataFrame:
-        per_doc = rows.filter("newly_deleted").groupBy("doc_id").agg(F.count("*").alias("n"))
-        return per_doc.join(old_names, "doc_id").groupBy("doc_name").agg(F.sum("n").alias(out))
+    def lost(rows: DataFrame, out: str) -> DataFrame:
+        # counted per document first: one document may own most of the rows
+        return active(rows).groupBy("doc_id").agg(F.count("*").alias(out))
 
-    known = topics.select("topic_name")
+    gone = (
+        retired.join(lost(chunks, "chunks_of"), "doc_id", "left")
+        .join(lost(document_topics, "topics_of"), "doc_id", "left")
+        .groupBy("doc_name")
+        .agg(
+            F.count("*").alias("deleted_documents"),
+            F.sum("chunks_of").alias("deleted_chunks"),
+            F.sum("topics_of").alias("deleted_topics"),
+        )
+    )
     first = (
         versions.select(order, "doc_name", F.explode("topics").alias("topic_name"))
         .groupBy("topic_name")
         .agg(F.min_by("doc_name", order).alias("doc_name"))
-        .join(known, "topic_name", "left_anti")
+        .join(topics.select("topic_name"), "topic_name", "left_anti")
         .groupBy("doc_name")
         .agg(F.count("*").alias("inserted_topics"))
     )
@@ -226,12 +210,7 @@ def ingest_stats(
             F.sum(F.when(superseded, F.size("topics")).otherwise(0)).alias("_topics"),
         )
     )
-    joined = (
-        new.join(old, "doc_name", "left")
-        .join(cascaded(cascade.document_chunks, "deleted_chunks"), "doc_name", "left")
-        .join(cascaded(cascade.document_topics, "deleted_topics"), "doc_name", "left")
-        .join(first, "doc_name", "left")
-    )
+    joined = new.join(gone, "doc_name", "left").join(first, "doc_name", "left")
 
     def total(kept: str, extra: str | None = None) -> Column:
         value = F.coalesce(F.col(kept), F.lit(0))

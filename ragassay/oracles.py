@@ -43,11 +43,11 @@ VIEWS: dict[str, str] = {
                TIMESTAMP '2024-01-01 00:00:00' + (query_id + 1 + query_id % 7) * INTERVAL '1' SECOND
                    AS response_time,
                query_id % 17 = 0 AND query_id > 0 AS is_deleted
-        FROM (SELECT conv_id * 100 + turn AS query_id, conv_id, turn, role, text AS question,
-                     lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-                     lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS generated_answer
-              FROM conversations)
-        WHERE role = 'user' AND next_role = 'assistant'""",
+        FROM (SELECT u.conv_id * 100 + u.turn AS query_id, u.conv_id, u.turn, u.text AS question,
+                     a.text AS generated_answer
+              FROM conversations u
+              JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+              WHERE u.role = 'user' AND a.role = 'assistant')""",
     "fx_contexts": """
         SELECT query_id, rank_no, d.doc_id, d.doc_id AS chunk_id, text,
                1.0::DOUBLE / (rank_no + 1) AS similarity_score, rank_no AS page_number

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ragassay.functions.embedding import Embedder, embed_texts
 from ragassay.functions.text import stable_id
 from ragassay.operators import ingest
-from ragassay.session import ship_package
 from ragassay.schemas import CHUNK_OVERLAP, CHUNK_SIZE
+from ragassay.session import durable, ship_package
 from ragassay.sources import store
 
 
@@ -26,8 +26,8 @@ def ingest_documents(
     """Load documents (document_name, file_path, md5_hash, total_pages, pages, topics).
 
     Returns the counts per document name. A document without any text is left
-    out entirely and keeps its old version. The chunks are written once and all
-    counts come from the written files, so nothing is embedded twice.
+    out entirely and keeps its old version. Chunks are written once and counted
+    from the written files, so nothing is embedded twice.
     """
     ship_package(spark)
     base = store.current_version(spark, root)
@@ -40,37 +40,34 @@ def ingest_documents(
         "pages",
         ingest.checked_topics(F.col("topics")).alias("topics"),
     )
-    versions = ingest.new_document_versions(loaded.drop("pages"), order="file_path")
-
-    # every arrival is written as active; the ones superseded inside this batch
-    # join the retired ids below, so vectors never take part in a join
+    # two passes over the texts: one for the chunks, one for the document headers
     chunks = ingest.chunk_documents(loaded.select("doc_id", "pages"), "pages", size, overlap)
     embedded = ingest.chunk_rows(chunks).withColumn("embedding", embed_texts(embed)("content"))
     chunk_part = store.write_part(embedded, root, "document_chunks", by)
+    headers = durable(loaded.drop("pages"))
+    versions = durable(ingest.new_document_versions(headers, order="file_path"))
+
+    # every arrival is written as active; the ones superseded inside this batch
+    # join the retired ids, so vectors never take part in a join
+    metadata = F.struct("file_path", "total_pages", "md5_hash").alias("metadata")
     document_part = store.write_part(
-        loaded.select(
-            "doc_id", "doc_name", F.struct("file_path", "total_pages", "md5_hash").alias("metadata")
-        ),
-        root,
-        "documents",
-        by,
+        headers.select("doc_id", "doc_name", metadata), root, "documents", by
     )
     topic_part = store.write_part(
-        ingest.document_topics_map(loaded), root, "document_topics", by
+        ingest.document_topics_map(headers), root, "document_topics", by
+    )
+    retired = durable(
+        ingest.retired_documents(store.read(spark, root, "documents", base), headers)
+    )
+    superseded = versions.filter("is_deleted").select("doc_id")
+    retired_part = store.write_part(
+        retired.select("doc_id").unionByName(superseded), root, store.RETIRED, by
     )
-
-    old_documents = store.read(spark, root, "documents", base)
     old_topics = store.read(spark, root, "topics", base)
-    cascade = ingest.soft_delete_cascade(
-        old_documents.select("doc_id", "doc_name", "is_deleted"),
-        store.read(spark, root, "document_chunks", base).select("id", "doc_id", "is_deleted"),
-        store.read(spark, root, "document_topics", base).select("doc_id", "topic_id", "is_deleted"),
-        loaded,
+    incoming = headers.select(F.explode("topics").alias("topic_name"))
+    topics = ingest.topics_upsert(
+        old_topics.select("topic_id", "topic_name", "is_deleted"), incoming
     )
-    retired = cascade.retired.unionByName(versions.filter("is_deleted").select("doc_id"))
-    retired_part = store.write_part(retired, root, store.RETIRED, by)
-    incoming = versions.select(F.explode("topics").alias("topic_name"))
-    topics = ingest.topics_upsert(old_topics.select("topic_id", "topic_name", "is_deleted"), incoming)
     audit = old_topics.select("topic_id", "created_by", "created_at")
     topics_part = store.write_part(
         topics.join(audit, "topic_id", "left").withColumns(
@@ -100,4 +97,12 @@ def ingest_documents(
         .groupBy("doc_id")
         .agg(F.count("*").alias("n_chunks"))
     )
-    return ingest.ingest_stats(cascade, versions, old_topics, counts, order="file_path")
+    return ingest.ingest_stats(
+        retired,
+        store.read(spark, root, "document_chunks", base),
+        store.read(spark, root, "document_topics", base),
+        versions,
+        old_topics,
+        counts,
+        order="file_path",
+    )

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragassay.functions.windows import first_row_per_key, lead_in_blocks
+from ragassay.functions.aggregates import first_row_per_key
 
 # the plans (not the rows) are kept per session and folder: building one takes
 # longer than running it on small data
@@ -113,12 +113,11 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan
 def query_history(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns answered by the next turn of the same conversation."""
-    turns = lead_in_blocks(
-        table(spark, sf, "conversations"),
-        "conv_id",
-        "turn",
-        {"next_role": "role", "next_text": "text"},
+    """User turns answered by the assistant in the turn numbered next."""
+    turns = table(spark, sf, "conversations")
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    replies = turns.filter("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated_answer")
     )
     query_id = F.col("conv_id") * 100 + F.col("turn")
     start = _ntz("2024-01-01 00:00:00")
@@ -126,12 +125,12 @@ def query_history(spark: SparkSession, sf: str) -> DataFrame:
     def after(seconds: Column) -> Column:
         return start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
-    return turns.filter((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
+    return asked.join(replies, ["conv_id", "turn"]).select(
         query_id.alias("query_id"),
         "conv_id",
         "turn",
-        F.col("text").alias("question"),
-        F.col("next_text").alias("generated_answer"),
+        "question",
+        "generated_answer",
         after(query_id).alias("query_time"),
         after(query_id + 1 + query_id % 7).alias("response_time"),
         ((query_id % 17 == 0) & (query_id > 0)).alias("is_deleted"),

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ragassay.functions.aggregates import first_row_per_key
 from ragassay.functions.text import name_uuid
-from ragassay.functions.windows import first_row_per_key, lead_in_blocks
 from ragassay.operators import golden, inference, ingest
 
 
@@ -30,15 +30,16 @@ def tables(spark):
 
 def test_soft_delete_cascade(spark, tables):
     incoming = spark.createDataFrame([("a.pdf",), ("new.pdf",), ("a.pdf",)], "doc_name string")
-    c = ingest.soft_delete_cascade(*tables, incoming)
-    assert state(c.documents, "doc_id") == {
+    documents, chunks, topics = tables
+    retired = ingest.retired_documents(documents, incoming)
+    assert state(ingest.soft_deleted(documents, retired), "doc_id") == {
         "d1": (True, True), "d2": (True, False), "d3": (False, False), "d4": (None, False),
     }
-    assert state(c.document_chunks, "chunk_id") == {
+    assert state(ingest.soft_deleted(chunks, retired), "chunk_id") == {
         "k1": (True, True), "k2": (True, False), "k3": (False, False), "k4": (False, False),
     }
-    assert state(c.document_topics, "doc_id") == {"d1": (True, True), "d3": (False, False)}
-    assert [r.doc_id for r in c.retired.collect()] == ["d1"]
+    assert state(ingest.soft_deleted(topics, retired), "doc_id") == {"d1": (True, True), "d3": (False, False)}
+    assert [r.doc_id for r in retired.collect()] == ["d1"]
 
 
 def test_batch_with_a_repeated_name_equals_one_by_one_loading(spark, tables):
@@ -50,8 +51,9 @@ def test_batch_with_a_repeated_name_equals_one_by_one_loading(spark, tables):
     assert {r.doc_id: r.is_deleted for r in versions.collect()} == {"n1": True, "n2": False, "n3": False}
     counts = spark.createDataFrame([("n1", 5), ("n2", 7), ("n3", 1)], "doc_id string, n_chunks int")
     known = spark.createDataFrame([("x",)], "topic_name string")
-    cascade = ingest.soft_delete_cascade(*tables, arrivals)
-    rows = ingest.ingest_stats(cascade, versions, known, counts, order="seq").collect()
+    documents, chunks, topics = tables
+    retired = ingest.retired_documents(documents, arrivals)
+    rows = ingest.ingest_stats(retired, chunks, topics, versions, known, counts, order="seq").collect()
     got = {r.doc_name: tuple(r)[1:] for r in rows}
     # deleted documents, chunks, topics; inserted documents, topics, topic rows, chunks
     assert got == {"a.pdf": (2, 6, 2, 2, 1, 3, 12), "c.pdf": (0, 0, 0, 1, 0, 1, 1)}
@@ -154,16 +156,6 @@ def test_inference_rows_per_table(spark):
     assert all(t.count() == 0 for t in nothing.values())
 
 
-def test_lead_in_blocks_equals_a_window(spark):
-    rows = [("hot", 3 * i, f"v{i}") for i in range(500)] + [("b", 7, "x"), ("b", 5000, None), ("b", 5001, "z"), ("c", 1, "y")]
-    df = spark.createDataFrame(rows, "k string, o int, v string").repartition(6)
-    got = lead_in_blocks(df, "k", "o", {"nxt": "v"}, block=64)
-    from pyspark.sql import Window
-
-    want = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("k").orderBy("o")))
-    assert sorted(got.collect(), key=str) == sorted(want.select(*got.columns).collect(), key=str)
-
-
 def test_first_row_per_key_with_null_order(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 2, 2), ("b", 5, 3), ("b", 4, 4)], "k string, o int, v int")
     got = {r.k: r.v for r in first_row_per_key(df, ["k"], "o").collect()}
