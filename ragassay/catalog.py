@@ -75,7 +75,9 @@ def active_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.documents(spark, sf).select("doc_id", F.array("text").alias("pages"))
-    return ingest.chunk_documents(docs)
+    return ingest.chunk_documents(docs).select(
+        "doc_id", *_big("chunk_index", "page_number"), "content"
+    )
 
 
 @query
@@ -94,8 +96,11 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def embed_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Default embedder over every chunk; one row per dimension a text uses."""
     embed = embed_texts(hashing_embedder(HASH_DIMENSION))
-    return fx.document_chunks(spark, sf).select("chunk_id", embed("content").alias("embedding"))
+    vectors = fx.document_chunks(spark, sf).select("chunk_id", embed("content").alias("embedding"))
+    rows = exploded(vectors, "embedding", ["chunk_id"], "value", "dimension")
+    return rows.filter("value <> 0").select("chunk_id", *_big("dimension"), *_rounded("value", places=6))
 
 
 @query
@@ -343,10 +348,12 @@ def golden_yield(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def golden_replace_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Accepted pairs of one run replace the batch of the same number."""
+    """Accepted pairs of every run become a batch; batch_2 gets no new version."""
     old = fx.golden_records(spark, sf).withColumn("id", F.col("id").cast("string"))
-    name = F.concat(F.lit("batch_"), F.col("run_id").cast("string"))
-    pairs = golden.accepted(fx.qa_pairs(spark, sf)).filter("run_id = 1")
+    run = F.col("run_id")
+    number = F.when(run < 2, run).otherwise(run + 1)
+    name = F.concat(F.lit("batch_"), number.cast("string"))
+    pairs = golden.accepted(fx.qa_pairs(spark, sf))
     new = golden.golden_rows(pairs, name, ["query_id"])
     return golden.replace_batch(old, new).select(
         "batch_name",
@@ -371,16 +378,21 @@ def golden_fetch_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def inference_worklist(spark: SparkSession, sf: str) -> DataFrame:
-    """A benchmark run over one batch and a blind run over all opening questions."""
+    """A benchmark run over one batch, a blind run, and a blind run with a limit."""
     case1 = inference.worklist("case1", golden=fx.golden_records(spark, sf), batch_name="batch_1")
-    asked = fx.query_history(spark, sf).select(F.col("turn").alias("ordinal"), "question")
-    case2 = inference.worklist("case2", questions=asked, limit=2)
+    asked = fx.query_history(spark, sf).select(F.col("query_id").alias("ordinal"), "question")
+    case2 = inference.worklist("case2", questions=asked)
+    first = inference.worklist("case2", questions=asked, limit=SAMPLE_SIZE)
 
     def shown(rows: DataFrame, mode: str) -> DataFrame:
         golden_id = F.coalesce(F.col("golden_record_id").cast("string"), F.lit(""))
         return rows.select(F.lit(mode).alias("mode"), "question", golden_id.alias("golden_record_id"))
 
-    return shown(case1, "case1").unionByName(shown(case2, "case2"))
+    return (
+        shown(case1, "case1")
+        .unionByName(shown(case2, "case2"))
+        .unionByName(shown(first, "case2 limited"))
+    )
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:

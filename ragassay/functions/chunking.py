@@ -6,6 +6,7 @@ a slice of the page and a chunk is a pair of offsets into it.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -30,21 +31,21 @@ def _piece_bounds(text: str, lo: int, hi: int, separator: str) -> Sequence[int]:
 
 
 def _packed(text: str, bounds: Sequence[int], size: int, overlap: int) -> Iterator[str]:
-    """Slide a window over consecutive pieces: at most ``size`` long, restarting
-    with at most ``overlap`` characters of the previous window. Windows come out
-    stripped, blank ones not at all."""
-    head = 0
-    for i in range(len(bounds) - 1):
-        start, end = bounds[i], bounds[i + 1]
-        if end - bounds[head] > size and start > bounds[head]:
-            if window := text[bounds[head] : start].strip():
-                yield window
-            while start > bounds[head] and (
-                start - bounds[head] > overlap or end - bounds[head] > size
-            ):
-                head += 1
-    if window := text[bounds[head] : bounds[-1]].strip():
-        yield window
+    """Slide a window over consecutive pieces, each shorter than ``size``.
+
+    A window takes as many pieces as fit. The next one starts at the first piece
+    that leaves at most ``overlap`` characters of it and room for one more piece.
+    Windows come out stripped, blank ones not at all.
+    """
+    head, last = 0, len(bounds) - 1
+    while head < last:
+        end = bisect_right(bounds, bounds[head] + size) - 1
+        if window := text[bounds[head] : bounds[end]].strip():
+            yield window
+        if end == last:
+            return
+        keep_from = max(bounds[end] - overlap, bounds[end + 1] - size)
+        head = bisect_left(bounds, keep_from, head, end)
 
 
 def _chunks(

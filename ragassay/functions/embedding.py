@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,8 +21,9 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 @lru_cache(maxsize=100_000)
-def _slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8"))
+def _code(word: str) -> int:
+    """32 bits of the word's MD5: the same on every machine and in SQL."""
+    return int.from_bytes(hashlib.md5(word.encode("utf-8")).digest()[:4], "big")
 
 
 def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> Embedder:
@@ -31,7 +32,7 @@ def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> Embedder:
     def embed(texts: list[str], task: str) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for row, text in zip(out, texts):
-            codes = np.fromiter((_slot(w) for w in _WORD.findall(text.lower())), dtype=np.int64)
+            codes = np.fromiter((_code(w) for w in _WORD.findall(text.lower())), dtype=np.int64)
             sign = 1.0 - 2.0 * ((codes >> 31) & 1)
             row += np.bincount(codes % dimension, weights=sign, minlength=dimension)
         norms = np.linalg.norm(out, axis=1, keepdims=True)

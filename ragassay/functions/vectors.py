@@ -60,19 +60,25 @@ class QueryBlock:
         return bool(self.topics) and all(self.topics)
 
 
+def _topic_matrix(topics: pa.Array, names: list[str]) -> np.ndarray:
+    """How often each chunk's document carries each wanted topic."""
+    lengths = pc.fill_null(pc.list_value_length(topics), 0).to_numpy()
+    row = np.repeat(np.arange(len(topics)), lengths)
+    slot = pc.fill_null(pc.index_in(topics.flatten(), value_set=pa.array(names, pa.string())), -1)
+    slot = slot.to_numpy()
+    has = np.zeros((len(topics), len(names)))
+    np.add.at(has, (row[slot >= 0], slot[slot >= 0]), 1)
+    return has
+
+
 def _topic_counts(
-    batch_topics: list[list[str] | None], block: QueryBlock, cols: slice, distinct: bool
+    has: np.ndarray, block: QueryBlock, cols: slice, distinct: bool
 ) -> np.ndarray | None:
     """How often a chunk satisfies each query's topic filter (1 without a filter)."""
     filters = block.topics[cols]
     if not any(filters):
         return None
     slot = {name: i for i, name in enumerate(block.wanted_topics)}
-    has = np.zeros((len(batch_topics), len(slot)))
-    for row, names in enumerate(batch_topics):
-        for name in names or ():
-            if name in slot:
-                has[row, slot[name]] += 1
     asks = np.zeros((len(slot), len(filters)))
     for col, names in enumerate(filters):
         for name in set(names or ()):
@@ -118,15 +124,17 @@ def similarity_hits(
                 f"chunk vectors have {vectors.shape[1]} dimensions, queries {block.unit.shape[1]}"
             )
         unit = normalised(vectors)
-        topics = batch.column("topics").to_pylist() if "topics" in batch.schema.names else None
+        has = None
+        if "topics" in batch.schema.names:
+            has = _topic_matrix(batch.column("topics"), block.wanted_topics)
         step = max(1, SCORE_CELLS // len(unit))
         for lo in range(0, len(block.ids), step):
             cols = slice(lo, lo + step)
             scores = unit @ block.unit[cols].T
             keep = scores >= floor[cols] - 10.0**-SCORE_PLACES
             counts = None
-            if topics is not None:
-                counts = _topic_counts(topics, block, cols, distinct_topics)
+            if has is not None:
+                counts = _topic_counts(has, block, cols, distinct_topics)
                 if counts is not None:
                     keep &= counts > 0
             rows, col = np.nonzero(keep)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragassay.functions.text import stable_id
-from ragassay.operators.retrieve import active
+from ragassay.operators.retrieve import TOPIC_LIST, active
 from ragassay.schemas import INVALID_CHUNK, REJECTED, SEED_MIN_LENGTH
 
 
@@ -27,7 +27,9 @@ def with_topic_matches(
 ) -> DataFrame:
     """One row per chunk and matching topic, so a chunk can appear several times."""
     named = active(topics).filter(F.col("topic_name").isin(names)).select(*{key, "topic_name"})
-    mapped = active(document_topics).select("doc_id", key).join(named, key)
+    # active names are unique: no more rows than names asked for
+    small = F.broadcast(named) if len(names) <= TOPIC_LIST else named
+    mapped = active(document_topics).select("doc_id", key).join(small, key)
     return chunks.join(mapped.select("doc_id", "topic_name"), "doc_id")
 
 

@@ -23,7 +23,8 @@ def worklist(
     """(item, question, golden_record_id) rows of a run; ``item`` tells rows apart.
 
     ``case1`` asks the active records of a batch, ``case2`` asks free questions
-    (columns ``ordinal``, ``question``) without ground truth.
+    (columns ``ordinal``, ``question``) without ground truth. A limit keeps the
+    first rows in id or list order.
     """
     if mode == "case1":
         if not batch_name or golden is None:
@@ -36,7 +37,7 @@ def worklist(
     if mode == "case2":
         if questions is None:
             raise ValueError("source questions are required for case2")
-        asked = questions.filter(F.col("ordinal") < limit) if limit else questions
+        asked = questions.orderBy("ordinal").limit(limit) if limit else questions
         return asked.select(
             F.col("ordinal").cast("string").alias("item"),
             "question",

@@ -33,31 +33,39 @@ def active(df: DataFrame) -> DataFrame:
     return df.filter("is_deleted = false")
 
 
-def searchable_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Active chunks of active documents that have a vector.
+def searchable_chunks(
+    chunks: DataFrame,
+    documents: DataFrame,
+    topics_of: DataFrame | None = None,
+    all_filtered: bool = False,
+) -> DataFrame:
+    """Active chunks of active documents that have a vector, with the topics of
+    the document when asked for.
 
-    A counted, small id list is broadcast so that vectors are not shuffled;
-    a larger one goes through a shuffled semi join.
+    Everything known about documents is joined first, so the vectors meet one
+    join. A counted, small document list is broadcast and the vectors stay where
+    they are; a larger one goes through a shuffled join.
     """
     live = active(documents).select("doc_id")
+    if topics_of is not None:
+        live = live.join(topics_of, "doc_id", "inner" if all_filtered else "left")
     if live.count() <= LIVE_ROWS:
         live = F.broadcast(live)
-    return (
-        active(chunks)
-        .filter("embedding IS NOT NULL")
-        .select("chunk_id", "doc_id", "embedding")
-        .join(live, "doc_id", "left_semi")
+    vectors = (
+        active(chunks).filter("embedding IS NOT NULL").select("chunk_id", "doc_id", "embedding")
     )
+    return vectors.join(live, "doc_id")
 
 
 def topics_by_document(
-    document_topics: DataFrame, topics: DataFrame, names: list[str] | None, key: str
+    document_topics: DataFrame, topics: DataFrame, names: list[str], key: str
 ) -> DataFrame:
     """Active topic names per document, one entry per mapping row."""
     mapped = active(document_topics).select("doc_id", key)
     named = active(topics).select(*{key, "topic_name"})
-    if names is not None and len(names) <= TOPIC_LIST:
-        named = named.filter(F.col("topic_name").isin(names))
+    if len(names) <= TOPIC_LIST:
+        # active names are unique: no more rows than names asked for
+        named = F.broadcast(named.filter(F.col("topic_name").isin(names)))
     joined = mapped.join(named, key)
     return joined.groupBy("doc_id").agg(F.collect_list("topic_name").alias("topics"))
 
@@ -199,18 +207,19 @@ def semantic_search(
     one of the k places; ``distinct_topics`` counts it once.
     """
     asked = with_search_defaults(queries, top_k, threshold)
-    pool = searchable_chunks(chunks, documents)
-    parts, most = [], 0
+    pool, parts, most = None, [], 0
     for block in query_blocks(asked, block_bytes=block_bytes):
         most += int(block.top_k.sum())
-        scanned = pool
         if block.wanted_topics:
             if document_topics is None or topics is None:
                 raise ValueError("topic filters need the document_topics and topics tables")
             by_doc = topics_by_document(document_topics, topics, block.wanted_topics, topic_key)
-            scanned = pool.join(by_doc, "doc_id", "inner" if block.all_filtered else "left")
+            scanned = searchable_chunks(chunks, documents, by_doc, block.all_filtered)
+        else:
+            pool = searchable_chunks(chunks, documents) if pool is None else pool
+            scanned = pool
         parts.append(_scan(scanned, block, distinct_topics))
-    ranked = _ranked(_union(parts, _no_hits(pool)))
+    ranked = _ranked(_union(parts, _no_hits(chunks)))
     # the result has at most the sum of all k: small enough to look up texts by broadcast?
     return ranked.hint("broadcast") if most <= LOOKUP_ROWS else ranked
 

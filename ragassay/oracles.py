@@ -279,6 +279,60 @@ VIEWS["st_findings"] = " UNION ALL ".join(
 )
 
 
+def _chunk_level(level: int, separator: str, width: int) -> str:
+    """One separator of the chunker: cut the units that contain it.
+
+    Short pieces between long ones form runs, long pieces and uncut units are
+    the units of the next level.
+    """
+    return f"""
+        cut{level} AS (
+            SELECT DISTINCT doc_id, lo, txt, lo AS pos FROM units{level} WHERE contains(txt, {separator})
+            UNION
+            SELECT doc_id, lo, txt, lo + sum(length(part) + {width}) OVER (PARTITION BY doc_id, lo ORDER BY i) - {width}
+            FROM (SELECT doc_id, lo, txt, unnest(string_split(txt, {separator})) AS part,
+                         unnest(range(1, len(string_split(txt, {separator})) + 1)) AS i
+                  FROM units{level} WHERE contains(txt, {separator}))),
+        piece{level} AS (
+            SELECT *, count(*) FILTER (WHERE hi - pos >= 1000) OVER (PARTITION BY doc_id, lo ORDER BY pos) AS run
+            FROM (SELECT doc_id, lo, txt, pos, lead(pos) OVER (PARTITION BY doc_id, lo ORDER BY pos) AS hi
+                  FROM cut{level})
+            WHERE hi IS NOT NULL),
+        runs{level} AS (
+            SELECT doc_id, list_prepend(CAST(min(pos) AS BIGINT), list(CAST(hi AS BIGINT) ORDER BY hi)) AS b
+            FROM piece{level} WHERE hi - pos < 1000 GROUP BY doc_id, lo, run),
+        units{level + 1} AS (
+            SELECT doc_id, CAST(pos AS BIGINT) AS lo, substr(txt, CAST(pos - lo + 1 AS BIGINT), CAST(hi - pos AS BIGINT)) AS txt
+            FROM piece{level} WHERE hi - pos >= 1000
+            UNION ALL
+            SELECT doc_id, lo, txt FROM units{level} WHERE NOT contains(txt, {separator}))"""
+
+
+_CHUNKS = f"""WITH RECURSIVE
+        units1 AS (
+            SELECT doc_id, CAST(0 AS BIGINT) AS lo, text AS txt FROM fx_documents
+            WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')),
+        {_chunk_level(1, "chr(10) || chr(10)", 2)},
+        {_chunk_level(2, "chr(10)", 1)},
+        {_chunk_level(3, "' '", 1)},
+        runs AS (
+            SELECT * FROM runs1 UNION ALL SELECT * FROM runs2 UNION ALL SELECT * FROM runs3
+            UNION ALL SELECT doc_id, range(lo, lo + length(txt) + 1) FROM units4),
+        windows AS (
+            SELECT doc_id, b, 1 AS h, len(list_filter(b, lambda x: x <= b[1] + 1000)) AS e FROM runs
+            UNION ALL
+            SELECT doc_id, b, n AS h, len(list_filter(b, lambda x: x <= b[n] + 1000)) AS e
+            FROM (SELECT doc_id, b, 1 + len(list_filter(b, lambda x: x < greatest(b[e] - 200, b[e + 1] - 1000))) AS n
+                  FROM windows WHERE e < len(b))),
+        chunks AS (
+            SELECT w.doc_id, b[h] AS start, regexp_replace(substr(text, b[h] + 1, b[e] - b[h]),
+                       '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS content
+            FROM windows w JOIN fx_documents d ON d.doc_id = w.doc_id)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index,
+               CAST(1 AS BIGINT) AS page_number, content
+        FROM chunks WHERE content <> ''"""
+
+
 def _single_rule(rule: str) -> str:
     return (
         "SELECT job_id, CAST(rule_no AS BIGINT) AS finding_no, issue, evidence, likely_root_causes, "
@@ -313,6 +367,7 @@ SQL: dict[str, str] = {
         FROM fx_documents""",
     "page_explode": "SELECT doc_id, page_number, page_text FROM st_pages",
     "active_documents": "SELECT doc_id, doc_name FROM fx_documents WHERE NOT is_deleted",
+    "chunk_recursive": _CHUNKS,
     "chunk_index": """
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) - 1 AS chunk_index,
                page_number, page_text AS content FROM st_pages""",
@@ -321,6 +376,21 @@ SQL: dict[str, str] = {
                'RecursiveCharacterTextSplitter' AS chunking_strategy,
                concat('{"page_number":', page_number, ',"token_count":null}') AS metadata
         FROM fx_document_chunks""",
+    "embed_batch": """
+        WITH words AS (
+            SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'),
+                                                lambda w: w <> '')) AS word
+            FROM fx_document_chunks),
+        codes AS (
+            SELECT chunk_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) AS code FROM words),
+        sums AS (
+            SELECT chunk_id, code % 64 AS dimension,
+                   CAST(sum(CASE WHEN code >= 2147483648 THEN -1 ELSE 1 END) AS DOUBLE) AS total
+            FROM codes GROUP BY ALL)
+        SELECT chunk_id, dimension,
+               round(CAST(CAST(total / sqrt(sum(total * total) OVER (PARTITION BY chunk_id)) AS FLOAT) AS DOUBLE), 6)
+                   AS value
+        FROM sums WHERE total <> 0""",
     "topic_id_uuid5": f"SELECT topic_name, {_uuid5('topic_name')} AS topic_id FROM fx_topics",
     "soft_delete_cascade": """
         SELECT 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS row_key,
@@ -462,9 +532,10 @@ SQL: dict[str, str] = {
               FROM fx_qa_pairs) GROUP BY run_id""",
     "golden_replace_batch": """
         WITH incoming AS (
-            SELECT concat('batch_', run_id) AS batch_name, question, answer AS ground_truth, complexity
+            SELECT concat('batch_', CASE WHEN run_id < 2 THEN run_id ELSE run_id + 1 END) AS batch_name,
+                   question, answer AS ground_truth, complexity
             FROM fx_qa_pairs
-            WHERE run_id = 1 AND NOT contains(question, 'INVALID_CHUNK') AND answer <> 'REJECTED')
+            WHERE NOT contains(question, 'INVALID_CHUNK') AND answer <> 'REJECTED')
         SELECT batch_name, question, ground_truth, complexity,
                CAST(coalesce(len(expected_topics), 0) AS BIGINT) AS n_topics,
                is_deleted OR batch_name IN (SELECT batch_name FROM incoming) AS is_deleted
@@ -479,7 +550,10 @@ SQL: dict[str, str] = {
         SELECT 'case1' AS mode, question, CAST(id AS VARCHAR) AS golden_record_id
         FROM fx_golden_records WHERE batch_name = 'batch_1' AND NOT is_deleted
         UNION ALL
-        SELECT 'case2', question, '' FROM fx_query_history WHERE turn < 2""",
+        SELECT 'case2', question, '' FROM fx_query_history
+        UNION ALL
+        SELECT 'case2 limited', question, ''
+        FROM (SELECT question FROM fx_query_history ORDER BY query_id LIMIT 50)""",
     "inference_golden_mapping": """
         SELECT query_id, golden_record_id FROM st_results WHERE golden_record_id IS NOT NULL""",
     "inference_summary": """
@@ -619,12 +693,13 @@ def _needed(sql: str) -> list[str]:
 
 def full_sql(name: str) -> str:
     sql = SQL[name].strip()
-    views = [f"{v} AS ({VIEWS[v].strip()})" for v in _needed(sql)]
+    views = ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in _needed(sql))
     if not views:
         return sql
-    own = sql.removeprefix("WITH ") if sql.startswith("WITH ") else None
-    head = "WITH " + ",\n".join(views)
-    return f"{head},\n{own}" if own else f"{head}\n{sql}"
+    for head in ("WITH RECURSIVE", "WITH"):
+        if sql.startswith(head):
+            return f"{head} {views},\n{sql.removeprefix(head)}"
+    return f"WITH {views}\n{sql}"
 
 
 def all_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,16 +37,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ragassay-checkpoint-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage behind expensive or remote stages.
+    """Cut the lineage behind expensive or remote stages with a written table.
 
-    The rows are written to the shared folder, so a lost executor re-reads
-    them instead of embedding, generating or judging again.
+    The rows go to the shared folder, so a lost executor re-reads them instead
+    of embedding, generating or judging again, and readers take the columns
+    they need.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(df.sparkSession)}/ragassay/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
