@@ -53,7 +53,11 @@ class QueryBlock:
 
     @property
     def wanted_topics(self) -> list[str]:
-        return sorted({t for names in self.topics if names for t in names})
+        return sorted({t for names in self.topics if names for t in names if t is not None})
+
+    @property
+    def any_filtered(self) -> bool:
+        return any(self.topics)
 
     @property
     def all_filtered(self) -> bool:
@@ -81,7 +85,7 @@ def _topic_counts(
     slot = {name: i for i, name in enumerate(block.wanted_topics)}
     asks = np.zeros((len(slot), len(filters)))
     for col, names in enumerate(filters):
-        for name in set(names or ()):
+        for name in {n for n in names or () if n is not None}:
             asks[slot[name], col] = 1
     counts = has @ asks
     counts[:, [i for i, names in enumerate(filters) if not names]] = 1

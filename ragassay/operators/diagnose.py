@@ -1,9 +1,13 @@
-"""Threshold rules over metric averages and the report built from them."""
+"""Threshold rules over metric averages and the report built from them.
+
+A rule is a column: a finding struct where it fires, else null.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +17,6 @@ from ragassay.functions.numbers import fixed_text
 from ragassay.operators.metrics import overall_quality
 from ragassay.schemas import METRICS
 
-# a rule maps the metric columns of a row to a finding struct or null
-Rule = Callable[[], Column]
-
 
 @dataclass(frozen=True)
 class Finding:
@@ -189,21 +190,25 @@ def stage_metrics_long(averages: DataFrame) -> DataFrame:
     return averages.select("job_id", F.explode(F.array(*pairs)).alias("m")).select("job_id", "m.*")
 
 
+# --- fixed values: data set marks and the report files they select --------------
+CASE1_MARKS = ("hsbc", "benchmark")
+CASE2_MARKS = ("blind", "case2")
+CASE1_REPORT = "case1_diagnosis_report.json"
+CASE2_REPORT = "case2_diagnosis_report.json"
+
+
 def report_file(dataset_name: Column, job_id: Column) -> Column:
     """File name of a job's report; the first matching data set mark decides."""
 
-    def has(*marks: str) -> Column:
-        hit = F.lit(False)
-        for mark in marks:
-            hit = hit | dataset_name.contains(mark)
-        return hit
+    def has(marks: tuple[str, ...]) -> Column:
+        return reduce(or_, (dataset_name.contains(mark) for mark in marks))
 
     own = F.concat(
         F.lit("diagnosis_report_"), F.substring(job_id.cast("string"), 1, 8), F.lit(".json")
     )
     return (
-        F.when(has("hsbc", "benchmark"), "case1_diagnosis_report.json")
-        .when(has("blind", "case2"), "case2_diagnosis_report.json")
+        F.when(has(CASE1_MARKS), CASE1_REPORT)
+        .when(has(CASE2_MARKS), CASE2_REPORT)
         .otherwise(own)
     )
 

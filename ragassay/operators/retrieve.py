@@ -60,12 +60,15 @@ def searchable_chunks(
 def topics_by_document(
     document_topics: DataFrame, topics: DataFrame, names: list[str], key: str
 ) -> DataFrame:
-    """Active topic names per document, one entry per mapping row."""
+    """Wanted active topic names per document, one entry per mapping row."""
     mapped = active(document_topics).select("doc_id", key)
     named = active(topics).select(*{key, "topic_name"})
     if len(names) <= TOPIC_LIST:
         # active names are unique: no more rows than names asked for
         named = F.broadcast(named.filter(F.col("topic_name").isin(names)))
+    else:
+        wanted = topics.sparkSession.createDataFrame([(n,) for n in names], "topic_name string")
+        named = named.join(wanted, "topic_name", "left_semi")
     joined = mapped.join(named, key)
     return joined.groupBy("doc_id").agg(F.collect_list("topic_name").alias("topics"))
 
@@ -106,10 +109,14 @@ def query_blocks(
 ) -> Iterator[QueryBlock]:
     """Questions in blocks whose size is checked before anything is fetched."""
     known = queries.filter("embedding IS NOT NULL")
-    size = known.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    size = known.agg(
+        F.count("*").alias("n"),
+        F.max(F.size("embedding")).alias("d"),
+        F.max(F.greatest(F.size("topic_filters"), F.lit(0))).alias("t"),
+    ).first()
     if not size.n:
         return
-    row_limit = max(1, block_bytes // (8 * size.d + 256))
+    row_limit = max(1, block_bytes // (8 * size.d + 128 * (size.t or 0) + 256))
     if size.n <= row_limit:
         yield _block(known.toArrow(), ranked)
         return
@@ -210,7 +217,7 @@ def semantic_search(
     pool, parts, most = None, [], 0
     for block in query_blocks(asked, block_bytes=block_bytes):
         most += int(block.top_k.sum())
-        if block.wanted_topics:
+        if block.any_filtered:
             if document_topics is None or topics is None:
                 raise ValueError("topic filters need the document_topics and topics tables")
             by_doc = topics_by_document(document_topics, topics, block.wanted_topics, topic_key)

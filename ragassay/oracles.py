@@ -341,10 +341,11 @@ def _single_rule(rule: str) -> str:
 
 
 def _report_file(dataset: str, job: str) -> str:
-    return f"""CASE WHEN contains({dataset}, 'hsbc') OR contains({dataset}, 'benchmark')
-                         THEN 'case1_diagnosis_report.json'
-                    WHEN contains({dataset}, 'blind') OR contains({dataset}, 'case2')
-                         THEN 'case2_diagnosis_report.json'
+    def has(marks: tuple[str, ...]) -> str:
+        return " OR ".join(f"contains({dataset}, '{mark}')" for mark in marks)
+
+    return f"""CASE WHEN {has(dx.CASE1_MARKS)} THEN '{dx.CASE1_REPORT}'
+                    WHEN {has(dx.CASE2_MARKS)} THEN '{dx.CASE2_REPORT}'
                     ELSE concat('diagnosis_report_', substr({job}, 1, 8), '.json') END"""
 
 

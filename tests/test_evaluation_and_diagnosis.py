@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ragassay.functions.prompts import correctness_prompt, judge_context_block, triad_prompt
 from ragassay.operators import diagnose, evaluate, export, metrics
 from ragassay.schemas import NO_CONTEXT
-from ragassay.functions.prompts import judge_context_block
 
 HISTORY = "query_id string, question string, generated_answer string, retrieved_contexts array<struct<text:string>>, is_deleted boolean"
 
@@ -113,6 +113,15 @@ def test_judge_context_block(spark):
     assert got == {1: "[Document 1]:\na\n\n[Document 2]:\nb", 2: NO_CONTEXT, 3: "[Document 1]:\n"}
 
 
+def test_judge_prompts_carry_every_field(spark):
+    df = spark.createDataFrame([("Q?", "T", "A", [("C",)])], "q string, t string, a string, c array<struct<text:string>>")
+    row = df.select(
+        correctness_prompt(F.col("q"), F.col("t"), F.col("a")), triad_prompt(F.col("q"), F.col("c"), F.col("a"))
+    ).first()
+    assert row[0].endswith("Question:\nQ?\n\nTrue answer:\nT\n\nAssistant answer:\nA\n")
+    assert row[1].endswith("Question:\nQ?\n\nContexts:\n[Document 1]:\nC\n\nAssistant answer:\nA\n")
+
+
 METRIC_ROWS = "event_id int, query_id string, evaluation_strategy string, metric_name string, job_id string, metric_value decimal(5,4)"
 
 
@@ -211,7 +220,7 @@ def test_quality_rounds_half_even(spark):
 @pytest.mark.parametrize(
     "scores, dataset, file, quality",
     [
-        (dict(correctness=4.270833333333333), "hsbc_2025_eval_v1", "case1_diagnosis_report.json", 4.27),
+        (dict(correctness=4.270833333333333), "benchmark_2025_v1", "case1_diagnosis_report.json", 4.27),
         (
             dict(context_relevance=4.883333333333333, faithfulness=4.933333333333334, answer_relevance=5.0),
             "case2_blind_test_dataset", "case2_diagnosis_report.json", 4.94,

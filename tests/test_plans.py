@@ -7,13 +7,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ragassay.functions.embedding import hashing_embedder
+from ragassay.operators import metrics
 from ragassay.plans.answering import run_inference
 from ragassay.plans.benchmark import build_benchmark
-from ragassay.plans.diagnosis import diagnose_jobs
+from ragassay.plans.diagnosis import diagnose_jobs, stored_pivot
 from ragassay.plans.evaluation import evaluate_runs
 from ragassay.plans.exporting import export_evaluations
 from ragassay.plans.ingestion import ingest_documents
-from ragassay.functions.embedding import hashing_embedder
 from ragassay.session import checkpoint_folder
 from ragassay.sources import store
 
@@ -140,6 +141,35 @@ def test_answer_evaluate_diagnose_export(spark, loaded, folder):
     assert {r["Question"] for r in rows} == {"climate report item", "zebra xylophone quux", "capital report"}
 
 
+def scans(df):
+    """ReadSchema and PushedFilters of every file scan."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    return [line for line in text.splitlines() if "FileScan" in line]
+
+
+def test_scans_of_stored_tables_are_pruned(spark, loaded):
+    root, _ = loaded
+    nothing = {}
+    for table in ("evaluation_metrics", "query_history"):
+        rows = spark.createDataFrame([], store.TABLES[table])
+        nothing[table] = [store.write_part(rows, root, table, "t")]
+    store.publish(spark, root, store.current_version(spark, root), append=nothing)
+    pivot = stored_pivot(spark, root)
+
+    (scan,) = [s for s in scans(pivot.filter("job_id = 'j'").select("query_id", "correctness_score")) if "metric_value" in s]
+    assert "EqualTo(job_id,j)" in scan and "Not(EqualTo(is_deleted,true))" in scan
+    assert "reasoning" not in scan
+
+    jobs = store.read(spark, root, "evaluation_job_history")
+    for scan in scans(metrics.metric_averages(pivot, jobs)):
+        assert not any(text in scan for text in ("question", "generated_answer", "retrieved_contexts", "reasoning"))
+
+
 def test_compaction_keeps_the_state(spark, loaded):
     root, _ = loaded
 

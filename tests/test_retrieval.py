@@ -111,6 +111,23 @@ def test_empty_topic_list_means_no_filter(spark, world):
     assert found(got) == brute(world, 5, 0.1)
 
 
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_unknown_and_null_topics_match_nothing(spark, world, monkeypatch, limit):
+    monkeypatch.setattr(retrieve, "TOPIC_LIST", limit)
+    queries = ask(spark, world, lambda d: d.withColumn(
+        "topic_filters",
+        F.when(F.col("query_id") == 0, F.array(F.lit(None).cast("string")))
+        .when(F.col("query_id") == 1, F.array(F.lit("unknown"), F.lit(None)))
+        .otherwise(F.array(F.lit("red"), F.lit("red"))),
+    ))
+    tables = (world["chunks"], world["docs"], world["doc_topics"], world["topics"])
+    got = found(retrieve.semantic_search(queries, *tables, topic_key="topic_name", threshold=0.0))
+    want = brute(world, 5, 0.0, ("red",))
+    assert got == {q: c for q, c in want.items() if q > 1}
+    only_null = queries.filter("query_id = 0")
+    assert retrieve.semantic_search(only_null, *tables, topic_key="topic_name", threshold=0.0).count() == 0
+
+
 def test_many_query_blocks_give_the_same_result(spark, world):
     asked = retrieve.with_search_defaults(ask(spark, world))
     blocks = list(retrieve.query_blocks(asked, block_bytes=3 * (8 * D + 256)))
