@@ -1,4 +1,4 @@
-"""Rounding and number-to-text expressions with half-even ties."""
+"""Rounding, fixed-place text and order-independent means."""
 
 from __future__ import annotations
 
@@ -6,14 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def half_even(value: Column, places: int) -> Column:
-    """Round a double the way the reports do: ties go to the even digit."""
-    return F.bround(value, places)
+def fixed_text(value: Column, places: int) -> Column:
+    """``%.Nf`` text as Python writes it.
+
+    The number format rounds the exact value half-even: the double 2.675 lies
+    below the tie and prints 2.67, the decimal 2.675 prints 2.68. ``round``,
+    ``bround`` and ``format_string`` all go through the shortest decimal form of
+    a double and miss that.
+    """
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
 
 
-def fixed_text(value: Column, places: int) -> Column:
-    """``%.Nf`` text; rounding happens first because Java formatting rounds ties up."""
-    return F.format_string(f"%.{places}f", half_even(value.cast("double"), places))
+def half_even(value: Column, places: int) -> Column:
+    """A double rounded to places, with the same rule."""
+    return fixed_text(value, places).cast("double")
 
 
 def exact_mean(value: Column, scale: int = 4) -> Column:

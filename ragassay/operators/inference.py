@@ -35,7 +35,7 @@ def worklist(
             F.col("id").alias("golden_record_id"),
         )
     if mode == "case2":
-        if questions is None:
+        if questions is None or questions.isEmpty():
             raise ValueError("source questions are required for case2")
         asked = questions.orderBy("ordinal").limit(limit) if limit else questions
         return asked.select(

@@ -86,7 +86,7 @@ def job_metadata(
     return asked.select(
         "job_id",
         or_not_found(F.col("inference_run_id").cast("string"), UNKNOWN_RUN).alias("setting_id"),
-        or_not_found(F.col("batch_name"), BLIND_DATASET).alias("dataset_name"),
+        or_not_found(F.nullif(F.col("batch_name"), F.lit("")), BLIND_DATASET).alias("dataset_name"),
     )
 
 

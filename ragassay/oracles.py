@@ -211,8 +211,8 @@ VIEWS: dict[str, str] = {
         GROUP BY r.job_id, j.job_id, j.inference_run_id""",
     "st_quality": f"""
         SELECT *, CASE WHEN len(list_filter([{", ".join(METRICS)}], lambda v: v > 0)) > 0
-                  THEN round_even(list_sum(list_filter([{", ".join(METRICS)}], lambda v: v > 0))
-                       / len(list_filter([{", ".join(METRICS)}], lambda v: v > 0)), 2)
+                  THEN CAST(printf('%.2f', list_sum(list_filter([{", ".join(METRICS)}], lambda v: v > 0))
+                       / len(list_filter([{", ".join(METRICS)}], lambda v: v > 0))) AS DOUBLE)
                   ELSE 0.0::DOUBLE END AS quality_score
         FROM st_averages""",
     "st_results": """
@@ -238,7 +238,17 @@ def _text(value: str) -> str:
 
 
 def _fixed2(value: str) -> str:
-    return f"printf('%.2f', round_even({value}, 2))"
+    return f"printf('%.2f', {value})"
+
+
+def _decimal_fixed2(value: str) -> str:
+    """Half-even text of a DECIMAL(5,4), in whole hundredths and a remainder."""
+    units = f"CAST({value} * 10000 AS BIGINT)"
+    cents = (
+        f"({units} // 100 + CASE WHEN {units} % 100 > 50 "
+        f"OR ({units} % 100 = 50 AND ({units} // 100) % 2 = 1) THEN 1 ELSE 0 END)"
+    )
+    return f"printf('%d.%02d', {cents} // 100, {cents} % 100)"
 
 
 def _finding(number: str, finding: dx.Finding, fires: str, evidence: str) -> str:
@@ -493,7 +503,7 @@ SQL: dict[str, str] = {
                {_text(prompts.ANSWER_PROMPT_QUESTION)}, question, {_text(prompts.ANSWER_PROMPT_TAIL)}) AS prompt
         FROM fx_questions q LEFT JOIN (
             SELECT query_id, string_agg(concat('[Source ', rank_no, ' | Score: ',
-                       printf('%.4f', round_even(round(sim, 6), 4)), ' | page_number=', page_number,
+                       printf('%.4f', round(sim, 6)), ' | page_number=', page_number,
                        ', token_count=None]', chr(10), content), chr(10) || chr(10) ORDER BY rank_no) AS block
             FROM st_hits GROUP BY query_id) b ON b.query_id = q.query_id""",
     "rag_answers": f"""
@@ -672,7 +682,7 @@ SQL: dict[str, str] = {
                coalesce(shown, '[]') AS retrieved_contexts, coalesce(generated_answer, 'None') AS generated_answer,
                coalesce(ground_truth, '') AS ground_truth,
                {", ".join(
-                   f"CASE WHEN {m}_score IS NULL THEN '' ELSE {_fixed2(f'CAST({m}_score AS DOUBLE)')} END AS {m}_score, "
+                   f"CASE WHEN {m}_score IS NULL THEN '' ELSE {_decimal_fixed2(f'{m}_score')} END AS {m}_score, "
                    f"coalesce({m}_reasoning, '') AS {m}_reasoning" for m in METRICS[:4])}
         FROM st_pivot p LEFT JOIN (
             SELECT query_id, concat('[', string_agg(concat('{{"chunk_id":"', chunk_id, '","text":', to_json(text), '}}'),

@@ -253,8 +253,8 @@ def test_export_row_text(spark):
     cols = "job_id string, query_id string, question string, generated_answer string, retrieved_contexts array<struct<text:string>>, ground_truth string"
     for m in metrics.METRICS:
         cols += f", {m}_score decimal(5,4), {m}_reasoning string"
-    row = ("j", "q", "Q", None, None, None, D("3.6250"), "r") + (None, None) * 4
+    row = ("j", "q", "Q", None, None, None, D("2.6750"), "r") + (None, None) * 4
     got = export.with_header(export.export_rows(spark.createDataFrame([row], cols))).first().asDict()
     assert got["Generated Answer"] == "None" and got["Golden Answer (Ground Truth)"] == ""
-    assert got["Context Relevance Score"] == "3.62" and got["Faithfulness Score"] == ""
+    assert got["Context Relevance Score"] == "2.68" and got["Faithfulness Score"] == ""
     assert len(got) == 13

@@ -137,7 +137,8 @@ def test_worklist_modes(spark):
     asked = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x")], "ordinal int, question string")
     case2 = inference.worklist("case2", questions=asked, limit=2).collect()
     assert [(r.item, r.question, r.golden_record_id) for r in case2] == [("0", "x", None), ("1", "y", None)]
-    for bad in (dict(mode="case1"), dict(mode="case2"), dict(mode="other")):
+    none = asked.filter("ordinal < 0")
+    for bad in (dict(mode="case1"), dict(mode="case2"), dict(mode="case2", questions=none), dict(mode="other")):
         with pytest.raises(ValueError):
             inference.worklist(**bad)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import uuid
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,11 +120,16 @@ def test_topic_key_is_a_version_5_uuid(spark, name):
     assert got == str(uuid.uuid5(uuid.NAMESPACE_OID, name))
 
 
-def test_rounding_and_fixed_text(spark):
-    row = spark.range(1).select(
-        half_even(F.lit(3.625), 2), fixed_text(F.lit(0.125), 2), fixed_text(F.lit(0.99), 4)
-    ).first()
-    assert tuple(row) == (3.62, "0.12", "0.9900")
+@pytest.mark.parametrize("value", [3.625, 0.125, 2.675, 1.005, 0.99, 4.270833333333333, 5.0, 0.0, 0.375])
+def test_rounding_and_fixed_text_follow_python(spark, value):
+    row = spark.range(1).select(half_even(F.lit(value), 2), fixed_text(F.lit(value), 2), fixed_text(F.lit(value), 4)).first()
+    assert tuple(row) == (round(value, 2), f"{value:.2f}", f"{value:.4f}")
+
+
+@pytest.mark.parametrize("text", ["2.6750", "3.6250", "0.1250", "9.9950", "0.0049"])
+def test_fixed_text_of_decimals_follows_python(spark, text):
+    got = spark.range(1).select(fixed_text(F.lit(Decimal(text)).cast("decimal(5,4)"), 2)).first()[0]
+    assert got == f"{Decimal(text):.2f}"
 
 
 def test_mean_is_exact_whatever_the_order(spark):
