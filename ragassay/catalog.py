@@ -47,9 +47,8 @@ def _rounded(*names: str, places: int = 9) -> list[Column]:
 @query
 def doc_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.documents(spark, sf)
-    path = F.concat(
-        F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")
-    )
+    number = F.col("doc_id").cast("string")
+    path = F.concat(F.lit("/corpus/"), F.concat_ws("/", "source", "lang", number), F.lit(".txt"))
     rows = docs.select("doc_id", path.alias("path"), "text", F.split("text", "\n").alias("pages"))
     return ingest.fingerprint(rows, content="text").select(
         "doc_id", "document_name", "md5_hash", F.size("pages").cast("bigint").alias("total_pages")
@@ -149,7 +148,11 @@ def soft_delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def reingest_documents(spark: SparkSession, sf: str) -> DataFrame:
     old = ingest.soft_deleted(fx.resident_documents(spark, sf), _retired(spark, sf)).select(
-        "doc_id", "doc_name", "is_deleted", F.lit("").alias("md5_hash"), F.lit(0).cast("bigint").alias("total_pages")
+        "doc_id",
+        "doc_name",
+        "is_deleted",
+        F.lit("").alias("md5_hash"),
+        F.lit(0).cast("bigint").alias("total_pages"),
     )
     new = ingest.new_document_versions(_arrivals(spark, sf)).select(
         "doc_id",
@@ -666,17 +669,16 @@ def diagnose_rules(spark: SparkSession, sf: str) -> DataFrame:
 def report_file_name(spark: SparkSession, sf: str) -> DataFrame:
     """File of every requested job, and of every batch name as a data set."""
     jobs = _metadata(spark, sf).select("dataset_name", F.col("job_id").cast("string").alias("job_id"))
+    kind = F.when(F.length("text") > 2000, "benchmark").otherwise("case2")
     batches = fx.documents(spark, sf).select(
-        F.concat_ws("_", "lang", F.when(F.length("text") > 2000, "benchmark").otherwise("case2"), "source").alias(
-            "dataset_name"
-        ),
-        F.md5("text").alias("job_id"),
+        F.concat_ws("_", "lang", kind, "source").alias("dataset_name"), F.md5("text").alias("job_id")
     )
     plain = fx.golden_records(spark, sf).select(
         F.col("batch_name").alias("dataset_name"), F.md5("ground_truth").alias("job_id")
     )
     rows = jobs.unionByName(batches).unionByName(plain)
-    return rows.withColumn("report_file", diagnose.report_file(F.col("dataset_name"), F.col("job_id")))
+    name = diagnose.report_file(F.col("dataset_name"), F.col("job_id"))
+    return rows.withColumn("report_file", name)
 
 
 @query
@@ -705,7 +707,8 @@ def export_job_case2(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def export_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
     contexts = F.transform(
-        "retrieved_contexts", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"))
+        "retrieved_contexts",
+        lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text")),
     )
     history = _history(spark, sf).withColumn("retrieved_contexts", contexts)
     return export.export_rows(_pivot(spark, sf, history))

@@ -6,10 +6,11 @@ goes to the tasks, and a task returns at most k rows per question.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ragassay.functions.vectors import QueryBlock, matrix_of, normalised, similarity_hits
 from ragassay.schemas import SIMILARITY_THRESHOLD, TOP_K
+from ragassay.session import durable
 
 # memory of the question vectors one scan may carry; more questions take more scans
 BLOCK_BYTES = 256 * 1024 * 1024
@@ -104,10 +106,8 @@ def _block(rows: pa.Table, ranked: bool) -> QueryBlock:
     )
 
 
-def query_blocks(
-    queries: DataFrame, ranked: bool = True, block_bytes: int = BLOCK_BYTES
-) -> Iterator[QueryBlock]:
-    """Questions in blocks whose size is checked before anything is fetched."""
+def query_parts(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """Questions in parts whose size is checked before anything is fetched."""
     known = queries.filter("embedding IS NOT NULL")
     size = known.agg(
         F.count("*").alias("n"),
@@ -115,28 +115,50 @@ def query_blocks(
         F.max(F.greatest(F.size("topic_filters"), F.lit(0))).alias("t"),
     ).first()
     if not size.n:
-        return
+        return []
     row_limit = max(1, block_bytes // (8 * size.d + 128 * (size.t or 0) + 256))
     if size.n <= row_limit:
-        yield _block(known.toArrow(), ranked)
-        return
-    # more than one block: split by key hash until the largest part fits
+        return [known]
+    # split by key hash until the largest part fits
     parts = -(-size.n // row_limit)
-    while True:
+    while parts <= 64 * size.n:
         part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
         counts = known.groupBy(part.alias("p")).count()
         if counts.agg(F.max("count")).first()[0] <= row_limit:
-            break
-        if parts > 64 * size.n:
-            raise ValueError("query_id must be unique: one id exceeds a whole query block")
+            return [known.filter(part == p) for p in range(parts)]
         parts *= 2
-    for p in range(parts):
-        rows = known.filter(part == p).toArrow()
-        if rows.num_rows:
-            yield _block(rows, ranked)
+    raise ValueError("query_id must be unique: one id exceeds a whole query block")
 
 
-def _scan(chunks: DataFrame, block: QueryBlock, distinct_topics: bool = False) -> DataFrame:
+def _for_each_block(
+    queries: DataFrame,
+    block_bytes: int,
+    ranked: bool,
+    search: Callable[[QueryBlock], tuple[DataFrame, Broadcast]],
+) -> list[DataFrame]:
+    """Search results per block of questions.
+
+    A single block stays a lazy plan. Several are run one after the other, each
+    result written to the shared folder and its block released, so that driver
+    and executors hold one block of questions at a time.
+    """
+    parts = query_parts(queries, block_bytes)
+    results = []
+    for part in parts:
+        block = _block(part.toArrow(), ranked)
+        if not len(block.ids):
+            continue
+        found, shipped = search(block)
+        if len(parts) > 1:
+            found = durable(found)
+            shipped.destroy()
+        results.append(found)
+    return results
+
+
+def _scan(
+    chunks: DataFrame, block: QueryBlock, distinct_topics: bool = False
+) -> tuple[DataFrame, Broadcast]:
     spark = chunks.sparkSession
     id_type = T.LongType() if pa.types.is_integer(block.ids.type) else T.StringType()
     out = T.StructType(
@@ -159,7 +181,7 @@ def _scan(chunks: DataFrame, block: QueryBlock, distinct_topics: bool = False) -
         )
         return kernel(batches)
 
-    return chunks.mapInArrow(run, out)
+    return chunks.mapInArrow(run, out), shipped
 
 
 def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
@@ -191,7 +213,7 @@ def similar_pairs(
 ) -> DataFrame:
     """Every (question, chunk) pair whose cosine similarity reaches the threshold."""
     asked = with_search_defaults(queries, threshold=threshold)
-    parts = [_scan(chunks, b) for b in query_blocks(asked, ranked=False, block_bytes=block_bytes)]
+    parts = _for_each_block(asked, block_bytes, False, lambda block: _scan(chunks, block))
     return _union(parts, _no_hits(chunks)).drop("order_score", "copies", "top_k")
 
 
@@ -214,19 +236,22 @@ def semantic_search(
     one of the k places; ``distinct_topics`` counts it once.
     """
     asked = with_search_defaults(queries, top_k, threshold)
-    pool, parts, most = None, [], 0
-    for block in query_blocks(asked, block_bytes=block_bytes):
+    most = 0
+
+    def search(block: QueryBlock) -> tuple[DataFrame, Broadcast]:
+        nonlocal most
         most += int(block.top_k.sum())
+        by_doc = None
         if block.any_filtered:
             if document_topics is None or topics is None:
                 raise ValueError("topic filters need the document_topics and topics tables")
             by_doc = topics_by_document(document_topics, topics, block.wanted_topics, topic_key)
-            scanned = searchable_chunks(chunks, documents, by_doc, block.all_filtered)
-        else:
-            pool = searchable_chunks(chunks, documents) if pool is None else pool
-            scanned = pool
-        parts.append(_scan(scanned, block, distinct_topics))
-    ranked = _ranked(_union(parts, _no_hits(chunks)))
+        pool = searchable_chunks(chunks, documents, by_doc, block.all_filtered)
+        hits, shipped = _scan(pool, block, distinct_topics)
+        return _ranked(hits), shipped
+
+    results = _for_each_block(asked, block_bytes, True, search)
+    ranked = _union(results, _ranked(_no_hits(chunks)))
     # the result has at most the sum of all k: small enough to look up texts by broadcast?
     return ranked.hint("broadcast") if most <= LOOKUP_ROWS else ranked
 

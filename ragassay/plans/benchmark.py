@@ -49,8 +49,7 @@ def build_benchmark(
     records = golden.golden_rows(golden.accepted(pairs), batch_name, list(key))
     if not records.isEmpty():
         old = store.read(spark, root, "golden_records", base)
-        part = store.write_part(
-            golden.replace_batch(old, store.conform(records, "golden_records", by)), root, "golden_records", by
-        )
+        new = golden.replace_batch(old, store.conform(records, "golden_records", by))
+        part = store.write_part(new, root, "golden_records", by)
         store.publish(spark, root, base, replace={"golden_records": [part]})
     return golden.synthesis_yield(pairs, "batch_name")

@@ -130,18 +130,26 @@ def test_unknown_and_null_topics_match_nothing(spark, world, monkeypatch, limit)
 
 def test_many_query_blocks_give_the_same_result(spark, world):
     asked = retrieve.with_search_defaults(ask(spark, world))
-    blocks = list(retrieve.query_blocks(asked, block_bytes=3 * (8 * D + 256)))
-    assert len(blocks) >= 4 and all(len(b.ids) <= 3 for b in blocks)
+    parts = retrieve.query_parts(asked, block_bytes=3 * (8 * D + 256))
+    sizes = [part.count() for part in parts]
+    assert len(parts) >= 4 and max(sizes) <= 3 and sum(sizes) == 12
     got = retrieve.semantic_search(
         ask(spark, world), world["chunks"], world["docs"], threshold=0.1, block_bytes=3 * (8 * D + 256)
     )
     assert found(got) == brute(world, 5, 0.1)
 
 
+def test_threshold_join_in_blocks(spark, world):
+    chunks = world["chunks"].filter("embedding IS NOT NULL")
+    one = retrieve.similar_pairs(ask(spark, world), chunks, 0.4)
+    many = retrieve.similar_pairs(ask(spark, world), chunks, 0.4, block_bytes=4 * (8 * D + 256))
+    assert sorted(one.collect()) == sorted(many.collect())
+
+
 def test_repeated_query_ids_beyond_a_block_are_refused(spark):
     queries = spark.createDataFrame([(1, [1.0])] * 40, "query_id long, embedding array<float>")
     with pytest.raises(ValueError, match="unique"):
-        list(retrieve.query_blocks(retrieve.with_search_defaults(queries), block_bytes=3 * (8 + 256)))
+        retrieve.query_parts(retrieve.with_search_defaults(queries), block_bytes=3 * (8 + 256))
 
 
 def test_threshold_join_returns_every_pair(spark, world):
