@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ragassay.functions.embedding import hashing_embedder
 from ragassay.operators import metrics
-from ragassay.plans.answering import run_inference
+from ragassay.plans.answering import answer_questions, run_inference
 from ragassay.plans.benchmark import build_benchmark
 from ragassay.plans.diagnosis import diagnose_jobs, stored_pivot
 from ragassay.plans.evaluation import evaluate_runs
 from ragassay.plans.exporting import export_evaluations
 from ragassay.plans.ingestion import ingest_documents
+from ragassay.schemas import NO_ANSWER
 from ragassay.session import checkpoint_folder
 from ragassay.sources import store
 
@@ -141,6 +142,21 @@ def test_answer_evaluate_diagnose_export(spark, loaded, folder):
     assert {r["Question"] for r in rows} == {"climate report item", "zebra xylophone quux", "capital report"}
 
 
+def test_ad_hoc_questions_with_overrides(spark, loaded):
+    root, _ = loaded
+    asked = spark.createDataFrame(
+        [("a", "climate report item", 1, 0.2, ["Climate"]), ("b", "climate report item", None, None, ["Risk"]), ("c", "climate report item", 2, 0.99, None)],
+        "query_id string, question string, top_k int, similarity_threshold double, topic_filters array<string>",
+    )
+    version = store.current_version(spark, root)
+    answers = answer_questions(spark, root, asked, version, embed=EMBED, threshold=0.5)
+    got = {r.query_id: r for r in answers.collect()}
+    assert len(got["a"].retrieved_contexts) == 1 and "climate" in got["a"].generated_answer
+    # the only document about risk was retired by its second version
+    assert got["b"].retrieved_contexts == [] and got["b"].generated_answer == NO_ANSWER
+    assert got["c"].retrieved_contexts == []
+
+
 def scans(df):
     """ReadSchema and PushedFilters of every file scan."""
     spark = df.sparkSession
