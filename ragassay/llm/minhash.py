@@ -11,7 +11,7 @@ ROWS coordinates make a band. Documents that agree in a band are candidates: two
 of similarity 0.8 miss all 32 bands with probability (1 - 0.8**4)**32 = 5e-8. Equal
 sets are one class from the start. Candidates are tested on the whole sets (of 64-bit
 shingle hashes). A bucket is not expanded into its pairs: its classes are tested
-against two leaders, then only pairs of different components remain to be tested.
+against a leader, then only pairs of different components remain to be tested.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from ragassay.llm.components import components
 
 SIZE, ROWS = 128, 4
 SHIFT = np.uint64(57)  # the upper 7 bits of a hash choose one of 128 coordinates
-#: rounds against one leader in each bucket before all open pairs are tested
+#: rounds against a leader in each bucket go on while each takes a quarter of the open
+#: pairs away, at most so many; then all open pairs are tested
 LEADER_ROUNDS = 6
 
 
@@ -129,7 +130,7 @@ def _verified(
 
 def _against_leader(members: DataFrame, leader: Column, percent: int) -> DataFrame:
     """Pairs of each bucket's leader with its members of other components."""
-    chosen = members.groupBy("band", "key").agg(leader.alias("lead"))
+    chosen = durable(members.groupBy("band", "key").agg(leader.alias("lead")))
     pairs = members.join(chosen, ["band", "key"]).filter(
         (F.col("lead.label") != F.col("label"))
         & _close_in_size(F.col("n"), F.col("lead.n"), percent)
@@ -157,11 +158,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
         .agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     )
     members = classes.select("sig", "n", F.posexplode("bands").alias("band", "key"))
+    # a written table on one side of a join lets Spark split the crowded keys of the other
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = durable(
-        members.join(crowded, ["band", "key"]).select("band", "key", "sig", "n", F.col("sig").alias("label"))
+        members.join(durable(crowded), ["band", "key"]).select(
+            "band", "key", "sig", "n", F.col("sig").alias("label")
+        )
     )
-    links, labels = None, None
+    links, labels, before = None, None, float("inf")
     for turn in range(LEADER_ROUNDS + 1):
         if labels is not None:
             known = members.drop("label").join(
@@ -170,7 +174,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
             spread = known.groupBy("band", "key").agg(
                 F.min("label").alias("low"), F.max("label").alias("high")
             ).filter("low <> high")
-            members = durable(known.join(spread, ["band", "key"], "left_semi").select(members.columns))
+            members = durable(
+                known.join(durable(spread), ["band", "key"], "left_semi").select(members.columns)
+            )
         of = F.struct("sig", "n", "label")
         order = F.xxhash64("sig", F.lit(turn))
         open_pairs = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("m"))
@@ -180,7 +186,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
         ).agg(F.sum("pairs").alias("pairs"), F.sum("m").alias("m")).first()
         if not load["m"]:
             break
-        last = turn == LEADER_ROUNDS or (turn and load["pairs"] <= 2 * load["m"])
+        few = load["pairs"] <= 2 * load["m"] or load["pairs"] > 0.75 * before
+        last = turn == LEADER_ROUNDS or (turn > 0 and few)
+        before = load["pairs"] if turn else before
         if last:
             other = members.select("band", "key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
             pairs = (

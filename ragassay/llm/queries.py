@@ -4,27 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragassay.llm import minhash, radix
+from ragassay.llm import (
+    dropout,
+    minhash,
+    nbsvm,
+    packing,
+    radix,
+    revisit,
+    simhash,
+    suffix,
+    urltree,
+    winnow,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.scores(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "start_word", "end_word", "source_doc_ids")
+
+
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisit.resolve(revisit.archive(table(spark, sf_dir, "pages")))
+    entries = F.transform(
+        F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])
+    )
+    return found.withColumn("headers", F.array_join(entries, "; "))
+
+
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return dropout.round_trip(table(spark, sf_dir, "documents"), model, seed=17, rate=0.1)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_pairs_with_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op6_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = winnow.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return cut.select(
+        "doc_id", F.char_length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, capacity=4096, end=1)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), shingle=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_exact_dedup": op7_exact_dedup,
-    "op10_minhash_dedup": op10_minhash_dedup,
+    query.__name__: query
+    for query in (
+        op1_nbsvm_quality,
+        op2_suffix_dedup,
+        op3_revisit_resolution,
+        op4_merge_dropout,
+        op5_simhash,
+        op6_line_winnowing,
+        op7_exact_dedup,
+        op8_url_templates,
+        op9_best_fit_packing,
+        op10_minhash_dedup,
+    )
 }
 
 _LOWER = (

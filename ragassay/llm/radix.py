@@ -38,10 +38,14 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
         "rest",
     )
     keys = ["part", "digit", "left"]
-    counts = dealt.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.max("row_id").alias("__part"),
-        F.max(F.struct("doc_id", "row_id")).alias("best"),
+    # written first: both sides of the join are then dealt by its keys alone, and Spark
+    # splits the rows of a group that is too large for one task
+    counts = durable(
+        dealt.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("group_size"),
+            F.max("row_id").alias("__part"),
+            F.max(F.struct("doc_id", "row_id")).alias("best"),
+        )
     )
     split = dealt.join(counts, keys)
     goes_on = (F.col("group_size") > 1) & (F.col("left") > width)
@@ -76,13 +80,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
             "left": F.least(F.octet_length("rest"), F.lit(FIRST + 1)),
         }
     )
-    sizes = text.groupBy("digit", "left").agg(F.count(F.lit(1)).alias("group_size"))
+    sizes = text.groupBy("digit", "left").agg(F.count(F.lit(1)).alias("n"))
+    several = F.coalesce(F.col("n"), F.lit(1))
     first = durable(
-        text.join(sizes, ["digit", "left"]).select(
+        text.join(durable(sizes.filter("n > 1")), ["digit", "left"], "left").select(
             "doc_id",
             "digest",
-            "group_size",
-            F.when(F.col("group_size") > 1, F.col("rest")).alias("rest"),
+            several.alias("group_size"),
+            F.when(several > 1, F.col("rest")).alias("rest"),
         )
     )
     # written rows keep their order, so that their numbers hold however often they are read
