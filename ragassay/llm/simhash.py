@@ -47,7 +47,7 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
         *keys,
         (F.coalesce("at", F.lit(0)) == 0).cast("bigint").alias("first"),
         F.col("term").alias("hi"),
-        F.xxhash64("term").alias("lo"),
+        F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("lo"),
     )
     votes = [
         F.sum(F.shiftrightunsigned(half, j).bitwiseAND(F.lit(_LANES))).alias(f"{half}{j}")
