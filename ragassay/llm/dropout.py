@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from ragassay.llm.common import mix, texts_of
 
 VARIANTS = 4
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 LONG = 64  # characters of a stretch that gets its own heap
 _NEVER = np.int64(1 << 40)
 
@@ -129,7 +129,7 @@ class Segmenter:
         new = {
             (s, v) for c, vs in zip(cut, chosen, strict=True) for s, v in zip(c, vs, strict=True) if s not in known[v]
         }
-        short = sorted(k for k in new if len(k[0]) <= LONG)
+        short = [k for k in new if len(k[0]) <= LONG]
         for (stretch, variant), ids in zip(short, self.together(short), strict=True):
             known[variant][stretch] = ids
         for stretch, variant in new.difference(short):
@@ -174,6 +174,24 @@ class Segmenter:
                 out += [symbol] if symbol >= 0 else words.spell(char)
         return out
 
+    def candidates(self, at, owner, start, end, symbol, salts) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged piece of the pairs that begin at the given symbols."""
+        words = self.words
+        rank, new = np.full(len(at), _NEVER), np.zeros(len(at), np.int64)
+        after = np.minimum(at + 1, len(symbol) - 1)
+        pair = np.flatnonzero((owner[at] == owner[after]) & (after > at) & (symbol[at] >= 0) & (symbol[after] >= 0))
+        left, right = at[pair], after[pair]
+        wanted = symbol[left] << 20 | symbol[right]
+        found = np.minimum(np.searchsorted(words.keys, wanted), len(words.keys) - 1)
+        hit = words.keys[found] == wanted
+        pair, left, right, found = pair[hit], left[hit], right[hit], found[hit]
+        if self.limit:
+            borders = (a.astype(np.uint64) for a in (start[left], start[right], end[right]))
+            stays = _keyed(salts[owner[left]], *borders) >= self.limit
+            pair, found = pair[stays], found[stays]
+        rank[pair], new[pair] = words.ranks[found], words.merged[found]
+        return rank, new
+
     def together(self, keys: list[tuple[str, int]]) -> list[bytes]:
         """Many short stretches, one merge each per step."""
         if not keys:
@@ -187,22 +205,11 @@ class Segmenter:
         start = np.arange(len(text)) - base[owner]
         end = start + 1
         salts = np.array([self.salt(s, v) for s, v in keys], np.uint64)
+        rank, new = self.candidates(np.arange(len(symbol)), owner, start, end, symbol, salts)
         done: list[tuple[np.ndarray, ...]] = []
         while len(symbol):
-            rank, new = np.full(len(symbol), _NEVER), np.zeros(len(symbol), np.int64)
-            pair = np.flatnonzero((owner[1:] == owner[:-1]) & (symbol[1:] >= 0) & (symbol[:-1] >= 0))
-            wanted = symbol[pair] << 20 | symbol[pair + 1]
-            at = np.minimum(np.searchsorted(words.keys, wanted), len(words.keys) - 1)
-            hit = words.keys[at] == wanted
-            pair, at = pair[hit], at[hit]
-            if self.limit:
-                borders = (a.astype(np.uint64) for a in (start[pair], start[pair + 1], end[pair + 1]))
-                stays = _keyed(salts[owner[pair]], *borders) >= self.limit
-                pair, at = pair[stays], at[stays]
-            rank[pair], new[pair] = words.ranks[at], words.merged[at]
             firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            place = np.arange(len(symbol))
-            best = np.minimum.reduceat(rank << 22 | place, firsts)
+            best = np.minimum.reduceat(rank << 22 | np.arange(len(symbol)), firsts)
             ended = best >> 22 >= _NEVER
             chosen = (best & ((1 << 22) - 1))[~ended]
             symbol[chosen], end[chosen] = new[chosen], end[chosen + 1]
@@ -211,7 +218,12 @@ class Segmenter:
             over = np.repeat(ended, np.diff(np.append(firsts, len(symbol))))
             done.append((owner[over], start[over], symbol[over]))
             stay &= ~over
-            owner, start, end, symbol = owner[stay], start[stay], end[stay], symbol[stay]
+            # only the pairs at a merged symbol are new
+            at = np.cumsum(stay)[chosen] - 1
+            owner, start, end, symbol, rank, new = (c[stay] for c in (owner, start, end, symbol, rank, new))
+            touched = np.concatenate((at[at > 0] - 1, at))
+            if len(touched):
+                rank[touched], new[touched] = self.candidates(touched, owner, start, end, symbol, salts)
         owner, start, symbol = (np.concatenate(c) for c in zip(*done, strict=True))
         order = np.lexsort((start, owner))
         owner, start, symbol = owner[order], start[order], symbol[order]
