@@ -41,7 +41,9 @@ def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.transform(
         F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])
     )
-    return found.withColumn("headers", F.array_join(entries, "; "))
+    return found.withColumns(
+        {"headers": F.array_join(entries, "; "), "response_id": F.col("response_id").cast("string")}
+    )
 
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,35 @@ _LOWER = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 
+_BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
+
+def _tree_levels() -> str:
+    """The template tree, one level of it after the other."""
+    steps = []
+    for d in range(urltree.DEPTH):
+        steps.append(f"""
+        n{d} AS (
+            SELECT host, template, count(DISTINCT s{d}) AS children, count(*) AS pages
+            FROM l{d} WHERE s{d} IS NOT NULL GROUP BY host, template),
+        l{d + 1} AS (
+            SELECT page_id, l.host, path, s0, s1, s2, s3, bad,
+                   CASE WHEN s{d} IS NULL THEN parent ELSE l.template END AS parent,
+                   CASE WHEN s{d} IS NULL THEN l.template ELSE concat(l.template, '/',
+                        CASE WHEN children >= {urltree.FAN_OUT} AND children * 2 >= pages THEN '*'
+                             ELSE s{d} END) END AS template
+            FROM l{d} l LEFT JOIN n{d} n ON n.host = l.host AND n.template = l.template)""")
+    return ",".join(steps)
+
+
+def _rules(value: Callable[[str, str, str], str]) -> str:
+    cases = []
+    for host, path, says in sorted(urltree.RULES, key=lambda r: -len(r[0] + r[1])):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        cases.append(f"WHEN {fits} THEN '{value(host, path, says)}'")
+    return "CASE " + " ".join(cases)
+
+
 SQL = {
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
@@ -135,4 +166,120 @@ SQL = {
                s.doc_id = c.component_id AS kept
         FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c
           ON s.doc_id = c.doc_id""",
+    "op3_revisit_resolution": r"""
+        WITH p AS (
+            SELECT page_id AS n, page_id * 7919 % 2592000 AS start, length(coalesce(html, '')) AS size,
+                   substr(md5(coalesce(html, '')), 1, 12) AS digest,
+                   regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+            FROM pages),
+        parts AS (
+            SELECT *, concat('day ', start // 86400) AS day,
+                   regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^www[.]', ''),
+                                  ':(80|443)$', '') AS host,
+                   regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/$', '') AS path,
+                   regexp_replace(regexp_replace(regexp_extract(rest, '[?](.*)$', 1),
+                       '(^|&)(utm_[a-z]+|gclid|fbclid)=[^&]*', '', 'g'), '^&', '') AS query
+            FROM p),
+        c AS (
+            SELECT *, concat(host, path, CASE WHEN query <> '' THEN '?' || query ELSE '' END) AS url
+            FROM parts),
+        full_ones AS (
+            SELECT n * 3 AS id, url, start AS ts, CASE WHEN n % 5 > 0 THEN digest END AS etag, day, size FROM c),
+        revisits AS (
+            SELECT n * 3 + 1 AS id, url, start + 3600 * (1 + n % 5) AS ts,
+                   CASE WHEN n % 4 = 0 THEN digest WHEN n % 7 = 0 THEN 'other' ELSE digest END AS etag,
+                   CASE WHEN n % 3 > 0 THEN day END AS day, start + 3600 AS date, 'max-age=10' AS control, '' AS more
+            FROM c
+            UNION ALL
+            SELECT n * 3 + 2, url, start - 40000 + 86400 * (n % 9), NULL,
+                   CASE WHEN n % 2 = 0 THEN day WHEN n % 3 = 0 THEN 'day x' END, start + 86400, 'max-age=60',
+                   '; expires: 0'
+            FROM c),
+        met AS (
+            SELECT r.*, f.id AS of, f.etag AS f_etag, f.day AS f_day, f.size
+            FROM revisits r LEFT JOIN full_ones f ON f.url = r.url AND f.ts < r.ts
+            QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY f.ts DESC NULLS LAST, f.id DESC) = 1),
+        said AS (
+            SELECT *, CASE
+                WHEN of IS NULL THEN 'no response'
+                WHEN etag IS NOT NULL AND f_etag IS NOT NULL
+                    THEN CASE WHEN etag = f_etag THEN 'resolved' ELSE 'changed' END
+                WHEN day IS NOT NULL AND f_day IS NOT NULL
+                    THEN CASE WHEN day = f_day THEN 'resolved' ELSE 'changed' END
+                ELSE 'no validator' END AS state
+            FROM met)
+        SELECT id AS record_id, url, ts, CASE WHEN state = 'resolved' THEN CAST(of AS VARCHAR) END AS response_id, state,
+               CASE WHEN state = 'resolved' THEN concat('cache-control: ', control, '; content-length: ', size,
+                    '; content-type: text/html; date: ', date, more) END AS headers
+        FROM said""",
+    "op6_line_winnowing": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS place FROM d),
+        ink AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS no
+            FROM l WHERE trim(line, {_BLANK}) <> ''),
+        runs AS (
+            SELECT doc_id, no, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c
+            FROM ink WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
+        later AS (
+            SELECT doc_id, no FROM runs WHERE c IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, no) > 1),
+        gone AS (SELECT DISTINCT doc_id, no + k AS no FROM later, range(3) r(k)),
+        dropped AS (SELECT doc_id, place FROM ink JOIN gone USING (doc_id, no)),
+        kept AS (
+            SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.place)
+                       FILTER (WHERE x.place IS NULL), '') AS text
+            FROM l LEFT JOIN dropped x ON x.doc_id = l.doc_id AND x.place = l.place GROUP BY l.doc_id)
+        SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM kept""",
+    "op8_url_templates": f"""
+        WITH p AS (
+            SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0
+                THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+        h AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                   translate(regexp_extract(rest, '^[^/?#]*', 0),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
+        s AS (
+            SELECT *, regexp_extract(path, '[0-9]+', 0) AS digits,
+                   [x for x in string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/') if x <> ''] AS parts
+            FROM h),
+        marks AS (
+            SELECT doc_id AS number, 1 - min(quality) AS bad FROM labels WHERE quality IN (0, 1)
+            GROUP BY doc_id HAVING min(quality) = max(quality)),
+        l0 AS (
+            SELECT page_id, host, path, parts[1] AS s0, parts[2] AS s1, parts[3] AS s2,
+                   CASE WHEN len(parts) >= 4 THEN array_to_string(parts[4:], '/') END AS s3,
+                   bad, '' AS parent, '' AS template
+            FROM s LEFT JOIN marks ON length(digits) BETWEEN 1 AND 18
+                 AND number = TRY_CAST(digits AS BIGINT)),{_tree_levels()},
+        own AS (
+            SELECT host, parent, template, count(bad) AS tl, coalesce(sum(bad), 0)::DOUBLE AS tb
+            FROM l4 GROUP BY ALL),
+        over AS (
+            SELECT host, parent, count(bad) AS pl, coalesce(sum(bad), 0)::DOUBLE AS pb FROM l4 GROUP BY ALL),
+        shares AS (
+            SELECT o.*, CASE WHEN pl > 0 THEN pb / pl ELSE 0::DOUBLE END AS share
+            FROM own o JOIN over v ON v.host = o.host AND v.parent = o.parent),
+        branches AS (
+            SELECT *, CASE WHEN abs(tb - tl * share) * abs(tb - tl * share)
+                                <= tl * share * (1::DOUBLE - share) * 4::DOUBLE
+                           THEN concat(parent, '/~') ELSE template END AS branch FROM shares),
+        hosts AS (
+            SELECT host, (sum(tb) + {urltree.CORPUS_WEIGHT}::DOUBLE
+                          * (SELECT CASE WHEN sum(tl) > 0 THEN sum(tb) / sum(tl) ELSE 0::DOUBLE END FROM own))
+                         / (sum(tl) + {urltree.CORPUS_WEIGHT}::DOUBLE) AS prior FROM own GROUP BY host),
+        grouped AS (SELECT host, branch, sum(tl) AS gl, sum(tb) AS gb FROM branches GROUP BY ALL),
+        scored AS (
+            SELECT g.host, branch, (gb + {urltree.HOST_WEIGHT}::DOUBLE * prior)
+                                   / (gl + {urltree.HOST_WEIGHT}::DOUBLE) AS impurity
+            FROM grouped g JOIN hosts USING (host))
+        SELECT page_id, l.host, path,
+               {_rules(lambda h, p, v: h + p)} END AS rule,
+               {_rules(lambda h, p, v: v)} WHEN impurity > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+               l.template
+        FROM (SELECT page_id, host, path, parent, template FROM l4) l
+        JOIN (SELECT host AS b_host, parent AS b_parent, template AS b_template, branch FROM branches)
+          ON b_host = l.host AND b_parent = l.parent AND b_template = l.template
+        JOIN (SELECT host AS g_host, branch AS g_branch, impurity FROM scored)
+          ON g_host = l.host AND g_branch = branch""",
 }
