@@ -88,7 +88,7 @@ def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = fx.document_chunks(spark, sf)
+    chunks = fx.text_chunks(spark, sf)
     rows = ingest.chunk_metadata_json(ingest.chunk_rows(chunks))
     return rows.select("doc_id", *_big("chunk_index"), "content", "chunking_strategy", "metadata")
 
@@ -97,7 +97,7 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 def embed_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Default embedder over every chunk; one row per dimension a text uses."""
     embed = embed_texts(hashing_embedder(HASH_DIMENSION))
-    vectors = fx.document_chunks(spark, sf).select("chunk_id", embed("content").alias("embedding"))
+    vectors = fx.text_chunks(spark, sf).select("chunk_id", embed("content").alias("embedding"))
     rows = exploded(vectors, "embedding", ["chunk_id"], "value", "dimension")
     return rows.filter("value <> 0").select("chunk_id", *_big("dimension"), *_rounded("value", places=6))
 
@@ -122,7 +122,7 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def soft_delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
     retired = _retired(spark, sf)
-    chunks = fx.document_chunks(spark, sf).select("chunk_id", "doc_id", "is_deleted")
+    chunks = fx.text_chunks(spark, sf).select("chunk_id", "doc_id", "is_deleted")
 
     def state(rows: DataFrame, name: str, *key: str) -> DataFrame:
         parts = [F.col(k).cast("string") for k in key]
@@ -180,10 +180,10 @@ def document_topics_map(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
     arrivals = _arrivals(spark, sf)
     versions = ingest.new_document_versions(arrivals.select("doc_id", "doc_name", "topics"))
-    pieces = ingest.page_pieces(F.col("pages"))
-    counts = arrivals.select("doc_id", F.size(F.flatten(pieces)).alias("n_chunks"))
+    chunks = fx.text_chunks(spark, sf).drop("content")
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     return ingest.ingest_stats(
-        _retired(spark, sf), fx.document_chunks(spark, sf), fx.document_topics(spark, sf),
+        _retired(spark, sf), chunks, fx.document_topics(spark, sf),
         versions, fx.known_topics(spark, sf), counts,
     )
 
@@ -309,7 +309,7 @@ def rag_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def context_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.document_chunks(spark, sf).select("chunk_id", preview(F.col("content")).alias("preview"))
+    return fx.text_chunks(spark, sf).select("chunk_id", preview(F.col("content")).alias("preview"))
 
 
 # --- benchmark sets -------------------------------------------------------------------
@@ -317,7 +317,7 @@ def context_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def seed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = golden.seed_candidates(fx.document_chunks(spark, sf)).drop("embedding")
+    rows = golden.seed_candidates(fx.text_chunks(spark, sf))
     picked = golden.sample(rows, SAMPLE_SIZE, SEED, by=("chunk_id",))
     return picked.select("chunk_id", "content", *_big("page_number"))
 
@@ -325,7 +325,7 @@ def seed_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def seed_chunks_topics(spark: SparkSession, sf: str) -> DataFrame:
     rows = golden.with_topic_matches(
-        golden.seed_candidates(fx.document_chunks(spark, sf)).drop("embedding"),
+        golden.seed_candidates(fx.text_chunks(spark, sf)),
         fx.document_topics(spark, sf), fx.topics(spark, sf), SEARCH_TOPICS, key="topic_name",
     )
     picked = golden.sample(rows, SAMPLE_SIZE, SEED, by=("chunk_id", "topic_name"))
@@ -334,7 +334,7 @@ def seed_chunks_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def qa_generate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = golden.seed_candidates(fx.document_chunks(spark, sf))
+    rows = golden.seed_candidates(fx.text_chunks(spark, sf))
     return rows.select("chunk_id", golden.lexical_qa(F.col("content")).alias("qa")).select("chunk_id", "qa.*")
 
 
@@ -574,17 +574,21 @@ def metrics_insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
 # --- metrics and diagnosis ------------------------------------------------------------------
 
 
-def _pivot(spark: SparkSession, sf: str, history: DataFrame | None = None) -> DataFrame:
+def _pivot(
+    spark: SparkSession, sf: str, history: DataFrame | None = None, jobs: DataFrame | None = None
+) -> DataFrame:
     return metrics.metrics_pivot(
         fx.evaluation_metrics(spark, sf),
         fx.query_history(spark, sf) if history is None else history,
         fx.golden_mapping(spark, sf),
         fx.golden_records(spark, sf),
+        jobs,
     )
 
 
 def _averages(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.metric_averages(_pivot(spark, sf), fx.requested_jobs(spark, sf))
+    jobs = fx.requested_jobs(spark, sf)
+    return metrics.metric_averages(_pivot(spark, sf, jobs=jobs), jobs)
 
 
 def _metadata(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ragassay.functions.numbers import fixed_text
 from ragassay.functions.text import is_not_blank
-from ragassay.schemas import NO_CONTEXT
+from ragassay.schemas import INVALID_CHUNK, NO_CONTEXT, REJECTED
 
 # --- fixed value: the text around context and question in the answer prompt ----
 ANSWER_PROMPT_HEAD = (
@@ -68,52 +68,27 @@ def judge_context_block(contexts: Column) -> Column:
     return F.when(is_not_blank(F.coalesce(block, F.lit(""))), block).otherwise(NO_CONTEXT)
 
 
-# --- prompts for outside models -------------------------------------------------
-# Scores run from 0.0 to 5.0 and each needs a reason; the judge stages pass the
-# filled prompt, or the plain fields, to any scorer.
-
-CORRECTNESS_TASK = """Grade how correct an assistant's answer is, compared with the true answer.
-Give a score from 0.0 to 5.0 and explain it.
-5.0 - accurate and complete, agrees with the true answer throughout
-4.0 - right on the main points, small nuances missing
-3.0 - partly right, important details missing or slightly wrong
-1.0 to 2.0 - mostly wrong or beside the point
-0.0 - wrong, invented, or declines although the true answer exists
-"""
-
-TRIAD_TASK = """Audit one exchange of a retrieval-augmented assistant.
-Give three scores from 0.0 to 5.0 and explain each.
-context_relevance - 5.0 when the contexts hold exactly what the question needs, 0.0 when none of it
-faithfulness - 5.0 when every statement of the answer comes from the contexts, 0.0 when it is invented;
-an answer that rightly says the contexts do not tell gets 5.0
-answer_relevance - 5.0 when the answer addresses the question directly and usefully, 0.0 when it evades it
-"""
-
-SYNTHESIS_TASK = """Write one specific, unambiguous question that this passage alone can answer,
-and the exact short answer taken from it. Name the complexity: Factoid or Reasoning.
-If the passage is too short, boilerplate or without facts, the question is INVALID_CHUNK
-and the answer is REJECTED.
-"""
-
-
-def _filled(task: str, **fields: Column) -> Column:
-    parts = [F.lit(task)]
-    for title, value in fields.items():
-        parts += [F.lit(f"\n{title.replace('_', ' ').capitalize()}:\n"), value, F.lit("\n")]
-    return F.concat(*parts)
-
-
-def correctness_prompt(question: Column, ground_truth: Column, answer: Column) -> Column:
-    return _filled(
-        CORRECTNESS_TASK, question=question, true_answer=ground_truth, assistant_answer=answer
-    )
-
-
-def triad_prompt(question: Column, contexts: Column, answer: Column) -> Column:
-    return _filled(
-        TRIAD_TASK, question=question, contexts=judge_context_block(contexts), assistant_answer=answer
-    )
-
-
-def synthesis_prompt(passage: Column) -> Column:
-    return _filled(SYNTHESIS_TASK, passage=passage)
+# --- tasks for outside models ----------------------------------------------------
+# A task lists what its stage takes back: field, what it is about, allowed values.
+
+SCORE = "number from 0 to 5 with a reason"
+CORRECTNESS_FIELDS = {"correctness": ("answer against true answer", SCORE)}
+TRIAD_FIELDS = {
+    "context_relevance": ("contexts against question", SCORE),
+    "faithfulness": ("answer against contexts", SCORE),
+    "answer_relevance": ("answer against question", SCORE),
+}
+SYNTHESIS_FIELDS = {
+    "question": ("asked of the passage", f"text, or {INVALID_CHUNK}"),
+    "answer": ("found in the passage", f"text, or {REJECTED}"),
+    "complexity": ("of the question", "Factoid or Reasoning"),
+}
+
+
+def task(fields: dict[str, tuple[str, str]], **inputs: Column) -> Column:
+    """Inputs under their names, then the wanted fields, one to a line."""
+    wanted = "".join(f"{name} ({about}): {values}\n" for name, (about, values) in fields.items())
+    given = []
+    for name, value in inputs.items():
+        given += [F.lit(f"<{name}>\n"), F.coalesce(value, F.lit("")), F.lit(f"\n</{name}>\n")]
+    return F.concat(*given, F.lit(f"Return JSON with these fields.\n{wanted}"))

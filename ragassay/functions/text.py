@@ -40,8 +40,12 @@ def name_uuid(name: Column) -> Column:
 
 
 def stable_id(*parts: Column) -> Column:
-    """Reproducible row id: a retried task writes the same id again."""
-    digest = F.sha2(F.concat_ws("\u0001", *[p.cast("string") for p in parts]), 256)
+    """Reproducible row id: a retried task writes the same id again.
+
+    A null part differs from an empty one and keeps its place.
+    """
+    marked = [F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts]
+    digest = F.sha2(F.concat_ws("\u0001", *marked), 256)
     return F.concat_ws(
         "-",
         F.substring(digest, 1, 8),

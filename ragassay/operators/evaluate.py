@@ -196,18 +196,28 @@ def judged_by(score: Scorer) -> Callable[..., Column]:
     return run
 
 
-def model_judges(fetched: DataFrame, correctness: Scorer, triad: Scorer) -> DataFrame:
-    """Same routing with outside scorers; each sees only its own rows."""
+def judged(
+    fetched: DataFrame, correctness: Scorer | None = None, triad: Scorer | None = None
+) -> DataFrame:
+    """Route each query to its judge: a given scorer, else the default of that case.
+
+    Each scorer sees only its own rows.
+    """
+    if correctness is None and triad is None:
+        return default_judges(fetched)
     truth = F.col("ground_truth")
-    case1 = fetched.filter(truth.isNotNull()).withColumn(
-        "scores", judged_by(correctness)("question", "ground_truth", "generated_answer")
-    )
-    case2 = fetched.filter(truth.isNull()).withColumn(
-        "scores",
-        judged_by(triad)(
-            F.col("question"), judge_context_block(F.col("retrieved_contexts")), F.col("generated_answer")
-        ),
-    )
+    case1, case2 = fetched.filter(truth.isNotNull()), fetched.filter(truth.isNull())
+    if correctness is None:
+        case1 = default_judges(case1)
+    else:
+        scores = judged_by(correctness)("question", "ground_truth", "generated_answer")
+        case1 = case1.withColumn("scores", scores)
+    if triad is None:
+        case2 = default_judges(case2)
+    else:
+        block = judge_context_block(F.col("retrieved_contexts"))
+        scores = judged_by(triad)(F.col("question"), block, F.col("generated_answer"))
+        case2 = case2.withColumn("scores", scores)
     return case1.unionByName(case2)
 
 
@@ -230,11 +240,14 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, order: str) -> Da
     """Incoming rows that may be inserted: first per key, and key not stored yet.
 
     A null job never conflicts. Repeats are reduced before the shuffle, so one
-    key may hold any share of the batch; only keys of the table are read.
+    key may hold any share of the batch; only keys of the table are read, and of them
+    only those of jobs that arrive.
     """
     keyed = incoming.filter("job_id IS NOT NULL")
     first = first_row_per_key(keyed, METRIC_KEY, order)
-    new = first.join(existing.select(*METRIC_KEY), METRIC_KEY, "left_anti")
+    jobs = keyed.select("job_id").distinct()
+    stored = existing.select(*METRIC_KEY).join(jobs, "job_id", "left_semi")
+    new = first.join(stored, METRIC_KEY, "left_anti")
     return new.unionByName(incoming.filter("job_id IS NULL"))
 
 
@@ -251,8 +264,9 @@ def job_rows(runs: DataFrame, model: str, prompt_version: str = "v1.0") -> DataF
 
 
 def job_summary(judged: DataFrame) -> DataFrame:
-    """Queries evaluated and scores produced per job."""
+    """Queries evaluated, scores produced and queries left without any score, per job."""
     return judged.groupBy("job_id").agg(
         F.count("*").alias("total_queries_evaluated"),
         F.sum(F.size("scores")).alias("metrics_generated"),
+        F.count_if(F.size("scores") == 0).alias("failed"),
     )

@@ -96,11 +96,17 @@ def accepted(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~refused)
 
 
-def golden_rows(pairs: DataFrame, batch_name: Column | str, key: list[str]) -> DataFrame:
-    """Accepted pairs as golden records; topics start empty."""
+def golden_rows(
+    pairs: DataFrame, batch_name: Column | str, key: list[str], version: int = 0
+) -> DataFrame:
+    """Accepted pairs as golden records; topics start empty.
+
+    ``version`` of the store goes into the ids: a batch built again has new records,
+    and the links of logged queries stay with the retired ones.
+    """
     batch = F.lit(batch_name) if isinstance(batch_name, str) else batch_name
     return pairs.select(
-        stable_id(batch, *[F.col(c) for c in key], F.col("question")).alias("id"),
+        stable_id(F.lit(version), batch, *[F.col(c) for c in key], F.col("question")).alias("id"),
         batch.alias("batch_name"),
         "question",
         F.col("answer").alias("ground_truth"),
@@ -118,18 +124,21 @@ def synthesis_yield(pairs: DataFrame, by: str) -> DataFrame:
     return counted.withColumn("yield_rate", F.col("valid") / F.col("sampled") * 100)
 
 
-def replace_batch(golden: DataFrame, incoming: DataFrame) -> DataFrame:
+def replace_batch(golden: DataFrame, incoming: DataFrame, by: str | None = None) -> DataFrame:
     """Retire the active rows of every incoming batch name and add the new rows.
 
-    No incoming rows means no names, so the old batch stays.
+    No incoming rows means no names, so the old batch stays. With ``by`` the retired
+    rows are stamped with it and the time.
     """
     names = incoming.select("batch_name").distinct().withColumn("_hit", F.lit(True))
     retire = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("is_deleted") == F.lit(False))
-    kept = (
-        golden.join(names, "batch_name", "left")
-        .withColumn("is_deleted", F.when(retire, True).otherwise(F.col("is_deleted")))
-        .select(*golden.columns)
-    )
+    joined = golden.join(names, "batch_name", "left").withColumn("_retire", retire)
+    changes = {"is_deleted": F.lit(True)}
+    if by is not None:
+        changes |= {"updated_by": F.lit(by), "updated_at": F.localtimestamp()}
+    kept = joined.withColumns(
+        {c: F.when(F.col("_retire"), v).otherwise(F.col(c)) for c, v in changes.items()}
+    ).select(*golden.columns)
     return kept.unionByName(incoming.withColumn("is_deleted", F.lit(False)).select(*golden.columns))
 
 

@@ -146,7 +146,11 @@ def topics_upsert(topics: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def checked_topics(topics: Column) -> Column:
-    """A topic named twice for one document breaks the mapping key: fail the load."""
+    """A topic named twice for one document breaks the mapping key: fail the load.
+
+    No topics at all is an empty list.
+    """
+    topics = F.coalesce(topics, F.array().cast("array<string>"))
     return F.when(
         F.size(F.array_distinct(topics)) == F.size(topics), topics
     ).otherwise(F.raise_error(F.lit("a document lists the same topic twice")))
@@ -174,9 +178,13 @@ def ingest_stats(
     inserted for the first arrival that brings it.
     """
 
+    ids = retired.select("doc_id")
+
     def lost(rows: DataFrame, out: str) -> DataFrame:
-        # counted per document first: one document may own most of the rows
-        return active(rows).groupBy("doc_id").agg(F.count("*").alias(out))
+        # rows of other documents leave first; then counted per document, as one
+        # document may own most of the rows
+        mine = active(rows).select("doc_id").join(ids, "doc_id", "left_semi")
+        return mine.groupBy("doc_id").agg(F.count("*").alias(out))
 
     gone = (
         retired.join(lost(chunks, "chunks_of"), "doc_id", "left")

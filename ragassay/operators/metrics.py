@@ -11,14 +11,24 @@ from ragassay.operators.retrieve import active
 from ragassay.schemas import BLIND_DATASET, METRICS, NOT_FOUND, UNKNOWN_RUN
 
 
+def of_jobs(rows: DataFrame, jobs: DataFrame | None) -> DataFrame:
+    """Rows of the given jobs, all of them by default."""
+    return rows if jobs is None else rows.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+
+
 def metrics_pivot(
-    metrics: DataFrame, history: DataFrame, golden_mapping: DataFrame, golden: DataFrame
+    metrics: DataFrame,
+    history: DataFrame,
+    golden_mapping: DataFrame,
+    golden: DataFrame,
+    jobs: DataFrame | None = None,
 ) -> DataFrame:
     """One row per job, query and distinct ground truth, five metrics wide.
 
-    Value and reasoning are separate maxima. The long table is reduced to
-    (job, query) before any join: joined columns depend on the query alone, so
-    the texts never take part in the grouping or its shuffle.
+    With ``jobs`` the metrics of other jobs leave before anything is grouped. Value and
+    reasoning are separate maxima. The long table is reduced to (job, query) before any
+    join: joined columns depend on the query alone. Ground truths are told apart by
+    their digests, the texts join afterwards.
     """
     wanted = []
     for name in METRICS:
@@ -27,15 +37,21 @@ def metrics_pivot(
             F.max(F.when(mine, F.col("metric_value"))).alias(f"{name}_score"),
             F.max(F.when(mine, F.col("reasoning"))).alias(f"{name}_reasoning"),
         ]
-    scored = active(metrics).groupBy("job_id", "query_id").agg(*wanted)
+    scored = of_jobs(active(metrics), jobs).groupBy("job_id", "query_id").agg(*wanted)
     carried = [
         c
         for c in ("question", "generated_answer", "retrieved_contexts")
         if c in history.columns
     ]
     asked = active(history).select("query_id", *carried)
-    truths = ground_truths(golden_mapping, golden).select("query_id", "ground_truth").distinct()
-    return scored.join(asked, "query_id").join(truths, "query_id", "left")
+    digests = golden.withColumn("ground_truth", F.md5("ground_truth"))
+    links = ground_truths(golden_mapping, digests)
+    one_each = links.groupBy("query_id", "ground_truth").agg(
+        F.min("golden_record_id").alias("golden_record_id")
+    )
+    texts = active(golden).select(F.col("id").alias("golden_record_id"), "ground_truth")
+    truths = one_each.drop("ground_truth").join(texts, "golden_record_id", "left")
+    return scored.join(asked, "query_id").join(truths.drop("golden_record_id"), "query_id", "left")
 
 
 def metric_averages(pivot: DataFrame, jobs: DataFrame) -> DataFrame:

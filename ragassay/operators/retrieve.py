@@ -115,6 +115,8 @@ def query_parts(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Data
     ).first()
     if not size.n:
         return []
+    if not known.groupBy("query_id").count().filter("count > 1").isEmpty():
+        raise ValueError("query_id must be unique")
     row_limit = max(1, block_bytes // (8 * size.d + 128 * (size.t or 0) + 256))
     if size.n <= row_limit:
         return [known]
@@ -126,7 +128,7 @@ def query_parts(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Data
         if counts.agg(F.max("count")).first()[0] <= row_limit:
             return [known.filter(part == p) for p in range(parts)]
         parts *= 2
-    raise ValueError("query_id must be unique: one id exceeds a whole query block")
+    raise ValueError("one question exceeds a whole query block")
 
 
 def _for_each_block(

@@ -89,14 +89,14 @@ VIEWS: dict[str, str] = {
         FROM (SELECT event_id, ts, user_id % 8 AS job_id,
                      event_id % n * 100 + CAST(floor(event_id / n) AS BIGINT) % 4 AS query_id,
                      CAST(round(value * 100) AS BIGINT) AS cents,
-                     CASE WHEN event_type = 'signup' THEN 'CASE1_GROUND_TRUTH'
+                     CASE WHEN event_type = 'signup' OR user_id % 8 = 6 THEN 'CASE1_GROUND_TRUTH'
                           ELSE 'CASE2_RAG_TRIAD' END AS evaluation_strategy,
-                     CASE event_type WHEN 'click' THEN 'context_relevance'
-                          WHEN 'view' THEN 'faithfulness' WHEN 'purchase' THEN 'answer_relevance'
-                          WHEN 'signup' THEN 'correctness' ELSE 'semantic_similarity' END AS metric_name
-              FROM events, (SELECT count(DISTINCT conv_id) AS n FROM conversations))
-        WHERE NOT (job_id = 6 AND metric_name <> 'correctness')
-          AND NOT (job_id IN (4, 5) AND metric_name = 'semantic_similarity')""",
+                     CASE WHEN event_type = 'signup' OR user_id % 8 = 6 THEN 'correctness'
+                          WHEN event_type = 'click' THEN 'context_relevance'
+                          WHEN event_type = 'view' THEN 'faithfulness'
+                          WHEN event_type = 'purchase' OR user_id % 8 IN (4, 5) THEN 'answer_relevance'
+                          ELSE 'semantic_similarity' END AS metric_name
+              FROM events, (SELECT count(DISTINCT conv_id) AS n FROM conversations))""",
     "fx_evaluation_metrics": """
         SELECT * FROM fx_metric_candidates
         QUALIFY row_number() OVER (
@@ -341,6 +341,10 @@ _CHUNKS = f"""WITH RECURSIVE
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index,
                CAST(1 AS BIGINT) AS page_number, content
         FROM chunks WHERE content <> ''"""
+VIEWS["fx_text_chunks"] = f"""
+        SELECT concat(doc_id, '-', chunk_index) AS chunk_id, doc_id, chunk_index, content, page_number,
+               (doc_id + chunk_index) % 13 = 0 AS is_deleted
+        FROM ({_CHUNKS})"""
 
 
 def _single_rule(rule: str) -> str:
@@ -386,12 +390,12 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, content,
                'RecursiveCharacterTextSplitter' AS chunking_strategy,
                concat('{"page_number":', page_number, ',"token_count":null}') AS metadata
-        FROM fx_document_chunks""",
+        FROM fx_text_chunks""",
     "embed_batch": """
         WITH words AS (
             SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'),
                                                 lambda w: w <> '')) AS word
-            FROM fx_document_chunks),
+            FROM fx_text_chunks),
         codes AS (
             SELECT chunk_id, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) AS code FROM words),
         sums AS (
@@ -412,7 +416,7 @@ SQL: dict[str, str] = {
         SELECT 'document_chunks', CAST(chunk_id AS VARCHAR),
                is_deleted OR doc_id IN (SELECT doc_id FROM st_retired),
                NOT is_deleted AND doc_id IN (SELECT doc_id FROM st_retired)
-        FROM fx_document_chunks WHERE doc_id IN (SELECT doc_id FROM fx_resident)
+        FROM fx_text_chunks WHERE doc_id IN (SELECT doc_id FROM fx_resident)
         UNION ALL
         SELECT 'document_topics', concat(doc_id, '/', topic_name),
                is_deleted OR doc_id IN (SELECT doc_id FROM st_retired),
@@ -438,7 +442,7 @@ SQL: dict[str, str] = {
         FROM (SELECT doc_id, unnest([lang, source]) AS topic_name FROM fx_arrivals)""",
     "ingest_stats": """
         WITH new_chunks AS (
-            SELECT doc_id, count(*) AS n FROM st_pages GROUP BY doc_id),
+            SELECT doc_id, count(*) AS n FROM fx_text_chunks GROUP BY doc_id),
         per_name AS (
             SELECT doc_name, count(*) AS docs, sum(n) AS chunks, count(*) FILTER (WHERE is_deleted) AS old_docs,
                    coalesce(sum(n) FILTER (WHERE is_deleted), 0) AS old_chunks
@@ -451,7 +455,7 @@ SQL: dict[str, str] = {
                 GROUP BY topic_name) GROUP BY doc_name),
         gone_docs AS (SELECT doc_name, count(*) AS n FROM st_retired GROUP BY doc_name),
         gone_chunks AS (
-            SELECT doc_name, count(*) AS n FROM fx_document_chunks c JOIN st_retired r USING (doc_id)
+            SELECT doc_name, count(*) AS n FROM fx_text_chunks c JOIN st_retired r USING (doc_id)
             WHERE NOT c.is_deleted GROUP BY doc_name),
         gone_topics AS (
             SELECT doc_name, count(*) AS n FROM fx_document_topics t JOIN st_retired r USING (doc_id)
@@ -513,14 +517,14 @@ SQL: dict[str, str] = {
     "context_preview": """
         SELECT chunk_id, CASE WHEN length(content) > 100
                THEN concat(replace(substr(content, 1, 100), chr(10), ' '), '...') ELSE content END AS preview
-        FROM fx_document_chunks""",
+        FROM fx_text_chunks""",
     "seed_chunks": """
-        SELECT chunk_id, content, CAST(page_number AS BIGINT) AS page_number FROM fx_document_chunks
+        SELECT chunk_id, content, CAST(page_number AS BIGINT) AS page_number FROM fx_text_chunks
         WHERE NOT is_deleted AND length(content) > 300
         ORDER BY md5(concat(chunk_id, '|42')), chunk_id LIMIT 50""",
     "seed_chunks_topics": f"""
         SELECT chunk_id, topic_name, content, CAST(page_number AS BIGINT) AS page_number
-        FROM fx_document_chunks c JOIN st_topic_rows t ON t.doc_id = c.doc_id
+        FROM fx_text_chunks c JOIN st_topic_rows t ON t.doc_id = c.doc_id
         WHERE NOT c.is_deleted AND length(content) > 300 AND topic_name IN {_TOPIC_LIST}
         ORDER BY md5(concat(chunk_id, '|', topic_name, '|42')), chunk_id, topic_name LIMIT 50""",
     "qa_generate": """
@@ -532,7 +536,7 @@ SQL: dict[str, str] = {
         FROM (SELECT *, words >= 5 AND sentence <> '' AS usable FROM (
             SELECT chunk_id, trim(regexp_extract(content, '^[^.!?]*[.!?]?', 0), ' ') AS sentence,
                    len(list_filter(regexp_split_to_array(content, '[ \\n]+'), lambda w: w <> '')) AS words
-            FROM fx_document_chunks WHERE NOT is_deleted AND length(content) > 300))""",
+            FROM fx_text_chunks WHERE NOT is_deleted AND length(content) > 300))""",
     "qa_reject_filter": """
         SELECT query_id, question, answer, complexity FROM fx_qa_pairs
         WHERE NOT contains(question, 'INVALID_CHUNK') AND answer <> 'REJECTED'""",

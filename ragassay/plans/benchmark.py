@@ -46,10 +46,10 @@ def build_benchmark(
         sampled.select(*key, make(F.col("content")).alias("qa")).select(*key, "qa.*")
     ).withColumn("batch_name", F.lit(batch_name))
 
-    records = golden.golden_rows(golden.accepted(pairs), batch_name, list(key))
+    records = golden.golden_rows(golden.accepted(pairs), batch_name, list(key), base + 1)
     if not records.isEmpty():
         old = store.read(spark, root, "golden_records", base)
-        new = golden.replace_batch(old, store.conform(records, "golden_records", by))
+        new = golden.replace_batch(old, store.conform(records, "golden_records", by), by)
         part = store.write_part(new, root, "golden_records", by)
         store.publish(spark, root, base, replace={"golden_records": [part]})
     return golden.synthesis_yield(pairs, "batch_name")

@@ -8,7 +8,7 @@ from ragassay.operators import diagnose, metrics
 from ragassay.sources import sinks, store
 
 
-def stored_pivot(spark: SparkSession, root: str) -> DataFrame:
+def stored_pivot(spark: SparkSession, root: str, jobs: DataFrame | None = None) -> DataFrame:
     version = store.current_version(spark, root)
 
     def table(name: str) -> DataFrame:
@@ -19,6 +19,7 @@ def stored_pivot(spark: SparkSession, root: str) -> DataFrame:
         table("query_history"),
         table("golden_record_query_mapping"),
         table("golden_records"),
+        jobs,
     )
 
 
@@ -32,7 +33,7 @@ def build_reports(
     version = store.current_version(spark, root)
     history = store.read(spark, root, "evaluation_job_history", version)
     asked = history if jobs is None else jobs
-    averages = metrics.metric_averages(stored_pivot(spark, root), asked)
+    averages = metrics.metric_averages(stored_pivot(spark, root, jobs), asked)
     metadata = metrics.job_metadata(
         history,
         store.read(spark, root, "inference_run_query_mapping", version),

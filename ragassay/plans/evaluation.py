@@ -18,16 +18,21 @@ def evaluate_runs(
     *,
     correctness: evaluate.Scorer | None = None,
     triad: evaluate.Scorer | None = None,
-    model: str = "lexical",
+    model: str | None = None,
     prompt_version: str = "v1.0",
     by: str = "evaluation_pipeline",
 ) -> DataFrame:
     """Evaluate the given runs (all by default), one new job per run.
 
+    Where a judge is not given the lexical default scores instead; without a ``model``
+    name the jobs record which of the two ran.
     Returns queries evaluated and scores produced per job; a run without
     queries gets no job. The job rows are published before scoring starts.
     """
     ship_package(spark)
+    if model is None:
+        names = ("lexical" if judge is None else "given" for judge in (correctness, triad))
+        model = "correctness: {}, triad: {}".format(*names)
     base = store.current_version(spark, root)
     mapping = store.read(spark, root, "inference_run_query_mapping", base)
     if run_ids is not None:
@@ -48,10 +53,7 @@ def evaluate_runs(
         return evaluate.job_summary(fetched.withColumn("scores", F.array()))
     base = store.publish(spark, root, base, append={"evaluation_job_history": [job_part]})
 
-    if correctness and triad:
-        judged = evaluate.model_judges(fetched, correctness, triad)
-    else:
-        judged = evaluate.default_judges(fetched)
+    judged = evaluate.judged(fetched, correctness, triad)
     judged = durable(judged.select("job_id", "query_id", "golden_record_id", "ground_truth", "scores"))
     rows = evaluate.metric_rows(judged, arrival=["golden_record_id"])
     new = evaluate.insert_if_absent(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragassay.operators import export
 from ragassay.plans.diagnosis import stored_pivot
+from ragassay.session import durable
 from ragassay.sources import sinks, store
 
 CASE1_FILE = "case1_benchmark_evaluation.csv"
@@ -20,8 +21,13 @@ def export_evaluations(
 
     Case 2 takes the newest job of the blind run, else the best covered job.
     """
-    pivot = stored_pivot(spark, root)
     jobs = store.read(spark, root, "evaluation_job_history")
+    # one narrow pass over the metrics chooses the jobs, then only their rows are pivoted
+    pivot = durable(
+        stored_pivot(spark, root).select(
+            "job_id", "query_id", "correctness_score", "faithfulness_score"
+        )
+    )
     wanted = spark.range(1).select(F.lit(blind_run).alias("run_id"))
     chosen = {
         CASE1_FILE: export.case1_job(pivot),
@@ -29,8 +35,8 @@ def export_evaluations(
     }
     written = {}
     for name, job in chosen.items():
-        rows = export.export_rows(pivot.join(job, "job_id", "left_semi"))
         if not job.isEmpty():
+            rows = export.export_rows(stored_pivot(spark, root, job))
             sinks.write_evaluation_csv(rows, f"{folder}/{name}")
             written[name] = rows
     return written

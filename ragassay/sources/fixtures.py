@@ -6,21 +6,15 @@ evaluation tables; these builders derive them from the whole input tables.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragassay.functions.aggregates import first_row_per_key
-
-# the plans (not the rows) are kept per session and folder: building one takes
-# longer than running it on small data
-plan = lru_cache(maxsize=256)
+from ragassay.operators.ingest import chunk_documents
 
 METRIC_KEY = ["query_id", "evaluation_strategy", "metric_name", "job_id"]
 
 
-@plan
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,7 +33,6 @@ def with_scalar(df: DataFrame, scalar: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, scalar.select("n").scalar())
 
 
-@plan
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         "doc_id",
@@ -51,14 +44,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def topics(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     names = docs.select(F.explode(F.array("lang", "source")).alias("topic_name")).distinct()
     return names.withColumn("is_deleted", F.col("topic_name") == "src13")
 
 
-@plan
 def known_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Topic table before an ingest: the sources only."""
     docs = table(spark, sf, "documents")
@@ -66,7 +57,6 @@ def known_topics(spark: SparkSession, sf: str) -> DataFrame:
     return names.withColumn("is_deleted", F.col("topic_name") == "src13")
 
 
-@plan
 def document_topics(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return docs.select(
@@ -76,9 +66,12 @@ def document_topics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Two chunks per embedded document: the halves of its text."""
+    """The searched chunks, one per given vector: the halves of a document's text.
+
+    There are fewer vectors than documents; queries that need no given vector take
+    ``text_chunks``.
+    """
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("chunk_id"),
         F.floor(F.col("vec_id") / 2).alias("doc_id"),
@@ -101,7 +94,20 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk the chunker makes of every document."""
+    docs = documents(spark, sf).select("doc_id", F.array("text").alias("pages"))
+    number = F.col("doc_id") + F.col("chunk_index")
+    return chunk_documents(docs).select(
+        F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"),
+        "doc_id",
+        "chunk_index",
+        "content",
+        "page_number",
+        (number % 13 == 0).alias("is_deleted"),
+    )
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item as a question with its vector."""
     items = table(spark, sf, "benchmark")
@@ -111,7 +117,6 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def query_history(spark: SparkSession, sf: str) -> DataFrame:
     """User turns answered by the assistant in the turn numbered next."""
     turns = table(spark, sf, "conversations")
@@ -137,7 +142,6 @@ def query_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieved chunks of each logged query: up to two active documents."""
     asked = query_history(spark, sf).select("query_id", "conv_id", "turn")
@@ -159,7 +163,6 @@ def contexts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def run_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return query_history(spark, sf).select(
         (F.col("conv_id") % 4).alias("run_id"),
@@ -168,7 +171,6 @@ def run_mapping(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def golden_records(spark: SparkSession, sf: str) -> DataFrame:
     item = F.col("item_id")
     return table(spark, sf, "benchmark").select(
@@ -184,7 +186,6 @@ def golden_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def golden_mapping(spark: SparkSession, sf: str) -> DataFrame:
     asked = query_history(spark, sf).filter("conv_id % 2 = 0").select("query_id")
     items = _count_of(table(spark, sf, "benchmark"), "item_id")
@@ -200,7 +201,6 @@ def golden_mapping(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def evaluation_jobs(spark: SparkSession, sf: str) -> DataFrame:
     jobs = table(spark, sf, "events").select((F.col("user_id") % 8).alias("job_id")).distinct()
     return jobs.select(
@@ -213,34 +213,34 @@ def evaluation_jobs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def requested_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Job ids somebody asks for; two of them do not exist."""
     return table(spark, sf, "events").select((F.col("user_id") % 10).alias("job_id")).distinct()
 
 
-@plan
 def metric_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Scores as they arrive: repeated keys, partly for unknown queries."""
     convs = _count_of(table(spark, sf, "conversations"), "conv_id")
     events = with_scalar(table(spark, sf, "events"), convs, "n_convs")
     kind = F.col("event_type")
+    job = F.col("user_id") % 8
+    # jobs 4 to 6 compute fewer metrics: the events of the others count for another one
     metric = (
-        F.when(kind == "click", "context_relevance")
+        F.when((kind == "signup") | (job == 6), "correctness")
+        .when(kind == "click", "context_relevance")
         .when(kind == "view", "faithfulness")
-        .when(kind == "purchase", "answer_relevance")
-        .when(kind == "signup", "correctness")
+        .when((kind == "purchase") | job.isin(4, 5), "answer_relevance")
         .otherwise("semantic_similarity")
     )
     rows = events.select(
         "event_id",
         "ts",
-        (F.col("user_id") % 8).alias("job_id"),
+        job.alias("job_id"),
         (
             (F.col("event_id") % F.col("n_convs")) * 100
             + F.floor(F.col("event_id") / F.col("n_convs")) % 4
         ).alias("query_id"),
-        F.when(kind == "signup", "CASE1_GROUND_TRUTH")
+        F.when(metric == "correctness", "CASE1_GROUND_TRUTH")
         .otherwise("CASE2_RAG_TRIAD")
         .alias("evaluation_strategy"),
         F.lit("generation").alias("metric_category"),
@@ -251,10 +251,7 @@ def metric_candidates(spark: SparkSession, sf: str) -> DataFrame:
     offset = F.when((name == "answer_relevance") & (job % 2 == 1), 0.0).otherwise((job % 6) * 0.5)
     bonus = F.when(name == "faithfulness", 1.25).when(name == "correctness", 0.5).otherwise(0.0)
     value = F.least(F.lit(5.0), (F.col("cents") % 251).cast("double") / 100 + offset + bonus)
-    kept = ~((job == 6) & (name != "correctness")) & ~(
-        job.isin(4, 5) & (name == "semantic_similarity")
-    )
-    return rows.filter(kept).select(
+    return rows.select(
         "event_id",
         "ts",
         "job_id",
@@ -268,12 +265,10 @@ def metric_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def evaluation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return first_row_per_key(metric_candidates(spark, sf), METRIC_KEY, "event_id")
 
 
-@plan
 def arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest batch: documents whose label says good quality, in id order."""
     good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
@@ -282,7 +277,6 @@ def arrivals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@plan
 def resident_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents already loaded before the ingest batch."""
     good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
@@ -294,7 +288,6 @@ def resident_of(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     return rows.join(resident_documents(spark, sf).select("doc_id"), "doc_id", "left_semi")
 
 
-@plan
 def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Generated question/answer pairs; short ones carry the rejection marks."""
     return query_history(spark, sf).select(

@@ -33,12 +33,12 @@ def current_version(spark: SparkSession, root: str) -> int:
     fs, folder = _hadoop(spark, f"{root}/manifest")
     if not fs.exists(folder):
         return 0
-    newest = 0
-    for status in fs.listStatus(folder):
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if fs.exists(done):
-            newest = max(newest, int(status.getPath().getName().split("-")[1]))
-    return newest
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    # newest first; a folder without the mark is what a failed writer left
+    for name in sorted((n for n in names if n.startswith("v-")), reverse=True):
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}/_SUCCESS")):
+            return int(name.removeprefix("v-"))
+    return 0
 
 
 def manifest(spark: SparkSession, root: str, version: int) -> Manifest:
@@ -133,7 +133,9 @@ def publish(
 ) -> int:
     """Make written parts visible as the version after ``base``.
 
-    Fails when somebody else published that version meanwhile.
+    The manifest is written to a folder of its own and renamed when it is complete.
+    Fails when somebody else published that version meanwhile; what a failed writer
+    left in its place gives way.
     """
     files = manifest(spark, root, base)
     for table, paths in (append or {}).items():
@@ -142,5 +144,17 @@ def publish(
     rows = [(table, path) for table, paths in files.items() for path in paths]
     listed = spark.createDataFrame(rows, "table string, path string")
     version = base + 1
-    listed.coalesce(1).write.mode("errorifexists").json(f"{root}/manifest/v-{version:08d}")
+    name = f"writing-{uuid.uuid4()}"
+    listed.coalesce(1).write.json(f"{root}/manifest/{name}")
+    fs, made = _hadoop(spark, f"{root}/manifest/{name}")
+    _, place = _hadoop(spark, f"{root}/manifest/v-{version:08d}")
+    _, done = _hadoop(spark, f"{root}/manifest/v-{version:08d}/_SUCCESS")
+    _, inside = _hadoop(spark, f"{root}/manifest/v-{version:08d}/{name}")
+    if fs.exists(place) and not fs.exists(done):
+        fs.delete(place, True)
+    # a rename onto a folder that another writer put there fails or lands inside it
+    taken = fs.exists(place) or not fs.rename(made, place)
+    if taken or fs.exists(inside):
+        fs.delete(inside if fs.exists(inside) else made, True)
+        raise FileExistsError(f"version {version} was published by somebody else")
     return version

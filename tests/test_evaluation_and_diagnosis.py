@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ragassay.functions.prompts import correctness_prompt, judge_context_block, triad_prompt
+from ragassay.functions import prompts
+from ragassay.functions.prompts import judge_context_block
 from ragassay.operators import diagnose, evaluate, export, metrics
 from ragassay.schemas import NO_CONTEXT
 
@@ -100,7 +101,7 @@ def test_failing_scorer_loses_only_its_query(spark):
         assert contexts == "[Document 1]:\nctx"
         return [(m, 9.99999, "") for m in ("context_relevance", "faithfulness", "answer_relevance")][:2]
 
-    rows = evaluate.metric_rows(evaluate.model_judges(fetched, correctness, triad), [])
+    rows = evaluate.metric_rows(evaluate.judged(fetched, correctness, triad), [])
     with pytest.raises(Exception):
         rows.collect()  # 9.99999 does not fit NUMERIC(5,4)
     ok = rows.filter("query_id <> 'q3'").collect()
@@ -113,13 +114,32 @@ def test_judge_context_block(spark):
     assert got == {1: "[Document 1]:\na\n\n[Document 2]:\nb", 2: NO_CONTEXT, 3: "[Document 1]:\n"}
 
 
-def test_judge_prompts_carry_every_field(spark):
-    df = spark.createDataFrame([("Q?", "T", "A", [("C",)])], "q string, t string, a string, c array<struct<text:string>>")
-    row = df.select(
-        correctness_prompt(F.col("q"), F.col("t"), F.col("a")), triad_prompt(F.col("q"), F.col("c"), F.col("a"))
-    ).first()
-    assert row[0].endswith("Question:\nQ?\n\nTrue answer:\nT\n\nAssistant answer:\nA\n")
-    assert row[1].endswith("Question:\nQ?\n\nContexts:\n[Document 1]:\nC\n\nAssistant answer:\nA\n")
+def test_task_names_inputs_and_fields(spark):
+    df = spark.createDataFrame([("Q?", None)], "q string, t string")
+    row = df.select(prompts.task(prompts.TRIAD_FIELDS, question=F.col("q"), contexts=F.col("t"))).first()
+    assert row[0].startswith("<question>\nQ?\n</question>\n<contexts>\n\n</contexts>\n")
+    assert all(f"\n{name} (" in row[0] for name in prompts.TRIAD_FIELDS)
+
+
+def test_a_lone_judge_is_used(spark):
+    rows = [("q1", "a", "T", "a"), ("q2", "a", None, "b")]
+    fetched = spark.createDataFrame(rows, "query_id string, question string, ground_truth string, generated_answer string")
+    fetched = fetched.withColumn("retrieved_contexts", F.array(F.struct(F.lit("a").alias("text"))))
+    given = evaluate.judged(fetched, correctness=lambda *_: [("correctness", 1.25, "given")])
+    got = {r.query_id: [(s.metric_name, s.score) for s in r.scores] for r in given.collect()}
+    assert got["q1"] == [("correctness", 1.25)]
+    assert [name for name, _ in got["q2"]] == list(prompts.TRIAD_FIELDS)
+
+
+def test_metrics_of_other_jobs_leave_before_the_first_aggregate(spark):
+    metric = spark.createDataFrame([], "job_id string, query_id string, metric_name string, metric_value decimal(5,4), reasoning string, is_deleted boolean")
+    history = spark.createDataFrame([], "query_id string, is_deleted boolean")
+    links = spark.createDataFrame([], "query_id string, golden_record_id string")
+    golden = spark.createDataFrame([], "id string, ground_truth string, is_deleted boolean")
+    jobs = spark.createDataFrame([("j",)], "job_id string")
+    pivot = metrics.metrics_pivot(metric, history, links, golden, jobs)
+    tree = pivot._jdf.queryExecution().analyzed().toString()
+    assert "LeftSemi" in tree.split("Aggregate [job_id")[1]
 
 
 METRIC_ROWS = "event_id int, query_id string, evaluation_strategy string, metric_name string, job_id string, metric_value decimal(5,4)"

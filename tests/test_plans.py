@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from ragassay.plans.diagnosis import diagnose_jobs, stored_pivot
 from ragassay.plans.evaluation import evaluate_runs
 from ragassay.plans.exporting import export_evaluations
 from ragassay.plans.ingestion import ingest_documents
-from ragassay.schemas import NO_ANSWER
+from ragassay.schemas import METRICS, NO_ANSWER
 from ragassay.session import checkpoint_folder
-from ragassay.sources import store
+from ragassay.sources import sinks, store
 
 EMBED = hashing_embedder(64)
 DOC = "document_name string, file_path string, md5_hash string, total_pages int, pages array<string>, topics array<string>"
@@ -86,10 +87,90 @@ def test_nothing_shows_before_the_manifest(spark, loaded):
     before = store.read(spark, root, "topics").count()
     store.write_part(spark.createDataFrame([("x", "y")], "topic_id string, topic_name string"), root, "topics", "t")
     assert store.read(spark, root, "topics").count() == before
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    with pytest.raises(FileExistsError):
         store.publish(spark, root, version - 1, append={})
 
 
+def test_a_torn_manifest_gives_way(spark, folder):
+    torn = f"{folder}/manifest/v-{1:08d}"
+    os.makedirs(torn)
+    with open(f"{torn}/part-0.json", "w") as half:
+        half.write('{"table": "top')
+    assert store.current_version(spark, folder) == 0
+    part = store.write_part(spark.createDataFrame([("x", "y")], "topic_id string, topic_name string"), folder, "topics", "t")
+    assert store.publish(spark, folder, 0, append={"topics": [part]}) == 1
+    assert store.current_version(spark, folder) == 1
+    assert store.read(spark, folder, "topics").count() == 1
+    # two writers that start from one version: the second one fails and leaves nothing
+    assert store.publish(spark, folder, 1, append={"topics": [part]}) == 2
+    with pytest.raises(FileExistsError):
+        store.publish(spark, folder, 1, append={"topics": [part]})
+    assert store.read(spark, folder, "topics").count() == 2
+    assert sorted(os.listdir(f"{folder}/manifest")) == ["v-00000001", "v-00000002"]
+
+
+def test_one_file_twice_in_a_batch(spark, folder):
+    twice = documents(spark, *[("a.pdf", "a.pdf", [text("income")], ["Finance"])] * 2)
+    stats = stats_of(ingest_documents(spark, folder, twice, embed=EMBED))["a.pdf"]
+    assert (stats["inserted_documents"], stats["soft_deleted_documents"]) == (2, 1)
+    docs = store.read(spark, folder, "documents").collect()
+    assert len({r.doc_id for r in docs}) == 2 and sorted(r.is_deleted for r in docs) == [False, True]
+    chunks = store.read(spark, folder, "document_chunks")
+    assert chunks.select("id").distinct().count() == chunks.count()
+
+
+def test_topics_may_be_missing_and_others_stay_untouched(spark, folder):
+    first = documents(spark, ("a", "a", [text("income")], ["Finance"]), ("n", "n", [text("sea")], None))
+    stats = stats_of(ingest_documents(spark, folder, first, embed=EMBED))
+    assert stats["n"]["inserted_document_topics"] == 0
+    before = {r.topic_name: r for r in store.read(spark, folder, "topics").collect()}
+    second = documents(spark, ("b", "b", [text("risk")], ["Risk"])).drop("topics")
+    ingest_documents(spark, folder, second, embed=EMBED)
+    third = documents(spark, ("c", "c", [text("coal")], ["Coal"]))
+    ingest_documents(spark, folder, third, embed=EMBED, by="someone")
+    after = {r.topic_name: r for r in store.read(spark, folder, "topics").collect()}
+    assert after["Finance"] == before["Finance"] and set(after) == {"Finance", "Coal"}
+    ingest_documents(spark, folder, first.filter("document_name = 'a'"), embed=EMBED, by="again")
+    again = {r.topic_name: r for r in store.read(spark, folder, "topics").collect()}
+    assert again["Finance"].updated_by == "again" and again["Coal"] == after["Coal"]
+
+
+def test_a_rebuilt_batch_has_new_records(spark, folder):
+    docs = documents(spark, ("a", "a", [text("income")], ["Finance"]))
+    ingest_documents(spark, folder, docs, embed=EMBED)
+    build_benchmark(spark, folder, "b1", 3, seed=5)
+    run_inference(spark, folder, "case1", batch_name="b1", run_id="old", embed=EMBED)
+    assert [r.metrics_generated for r in evaluate_runs(spark, folder, ["old"]).collect()] == [3]
+    build_benchmark(spark, folder, "b1", 3, seed=5, by="rebuild")
+    golden = store.read(spark, folder, "golden_records").collect()
+    assert len({r.id for r in golden}) == len(golden) == 6
+    assert {r.updated_by for r in golden if r.is_deleted} == {"rebuild"}
+    # the old run's records are retired: its queries are judged without a ground truth
+    assert [r.metrics_generated for r in evaluate_runs(spark, folder, ["old"]).collect()] == [9]
+
+
+def test_reports_of_other_jobs_stay(spark, folder):
+    row = "job_id string, report_file string, report struct<quality_score:double>"
+    one, two = ("j1", "f.json", (1.0,)), ("j2", "f.json", (2.0,))
+    sinks.write_reports(spark.createDataFrame([one, two], row), f"{folder}/r")
+    sinks.write_reports(spark.createDataFrame([("j1", "f.json", (3.0,))], row), f"{folder}/r")
+    found = {p.split("job_id=")[1][:2]: json.load(open(p)) for p in glob.glob(f"{folder}/r/*/*/part-*")}
+    assert found == {"j1": {"quality_score": 3.0}, "j2": {"quality_score": 2.0}}
+
+
+def test_csv_keeps_blanks(spark, folder):
+    names = [
+        "job_id", "query_id", "question", "retrieved_contexts", "generated_answer", "ground_truth",
+        *[f"{m}_{part}" for m in METRICS[:4] for part in ("score", "reasoning")],
+    ]
+    row = ["j", "q", "  padded  ", "", 'say "x" ', *[""] * (len(names) - 5)]
+    rows = spark.createDataFrame([tuple(row)], ", ".join(f"{n} string" for n in names))
+    sinks.write_evaluation_csv(rows.coalesce(1), f"{folder}/csv")
+    (path,) = glob.glob(f"{folder}/csv/part-*")
+    (got,) = csv.DictReader(open(path, newline=""))
+    assert got["Question"] == "  padded  " and 'say "x" ' in got.values()
+
+
 def test_answer_evaluate_diagnose_export(spark, loaded, folder):
     root, _ = loaded
     built = build_benchmark(spark, root, "benchmark_v1", 4, seed=5).first()
