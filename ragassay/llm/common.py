@@ -41,12 +41,6 @@ def lower_ascii(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def with_columns_of(docs: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
-    """Join per-document marks to the rows of docs; null ids meet null ids."""
-    right = marks.withColumnRenamed("doc_id", "__doc_id")
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["__doc_id"]), how).drop("__doc_id")
-
-
 def map_rows(
     df: DataFrame, schema: str, of_row: Callable[..., Iterator[tuple]]
 ) -> DataFrame:

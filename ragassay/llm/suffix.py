@@ -20,7 +20,7 @@ occurs earlier in the corpus, in order of doc_id and position.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -223,36 +223,40 @@ def _without(text: str, spans: list) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def replace_texts(docs: DataFrame, marks: DataFrame, change) -> DataFrame:
-    """Put change(text, spans) for the text of each row that has marks, in any order."""
+def replace_texts(
+    docs: DataFrame, marks: DataFrame, change: Callable[[str, list], str]
+) -> DataFrame:
+    """Put change(text, spans) for the text of each row of docs that has marks (doc_id,
+    version, spans)."""
     marks = marks.select(
         F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("spans").alias("__spans")
     )
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__of", F.xxhash64(text))
-    rows = rows.join(
+    # the columns of docs stay together, whatever their names
+    rows = docs.select(
+        F.struct(*docs.columns).alias("__row"),
+        F.col("doc_id").alias("__of"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__hash"),
+    )
+    joined = rows.join(
         marks,
-        rows["doc_id"].eqNullSafe(marks["__id"]) & (rows["__of"] == marks["__version"]),
+        rows["__of"].eqNullSafe(marks["__id"]) & (rows["__hash"] == marks["__version"]),
         "left",
     )
-
-    kept = docs.columns
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            texts = batch.column("text").to_pylist()
+            columns = dict(zip(names, batch.column("__row").flatten(), strict=True))
+            texts = columns["text"].to_pylist()
             spans = batch.column("__spans").to_pylist()
             new = [change(t or "", s) if s else t for t, s in zip(texts, spans, strict=True)]
-            columns = dict(zip(names, batch.columns, strict=True))
-            columns["text"] = pa.array(new, batch.schema.field("text").type)
+            columns["text"] = pa.array(new, columns["text"].type)
             if "n_chars" in columns:
-                old = columns["n_chars"].to_pylist()
-                counted = [len(t or "") if s else n for t, s, n in zip(new, spans, old, strict=True)]
-                columns["n_chars"] = pa.array(counted, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(
-                [columns[n] for n in kept],
-                schema=pa.schema([batch.schema.field(n) for n in kept]),
-            )
-
-    return rows.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+                old = columns["n_chars"]
+                counted = [
+                    len(t or "") if s else n for t, s, n in zip(new, spans, old.to_pylist(), strict=True)
+                ]
+                columns["n_chars"] = pa.array(counted, old.type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return joined.select("__row", "__spans").mapInArrow(run, docs.schema)
