@@ -21,6 +21,12 @@ def _now() -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def _clock() -> Column:
+    """The time at which a row passes, in UTC; another one for each row."""
+    millis = F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("decimal(18,3)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=millis / 1000)
+
+
 def answer_questions(
     spark: SparkSession,
     root: str,
@@ -32,7 +38,12 @@ def answer_questions(
     top_k: int = TOP_K,
     threshold: float = SIMILARITY_THRESHOLD,
 ) -> DataFrame:
-    """Contexts and answers for questions (query_id, question, optional overrides)."""
+    """Contexts and answers for questions (query_id, question, optional overrides).
+
+    ``query_time`` is the moment a question was embedded, ``response_time`` the moment
+    its answer was made.
+    """
+    asked = asked.withColumn("query_time", _clock())
     embedded = durable(asked.withColumn("embedding", embed_texts(embed, task="query")("question")))
     chunks = store.read(spark, root, "document_chunks", version, own_flag=True).withColumnRenamed(
         "id", "chunk_id"
@@ -53,7 +64,8 @@ def answer_questions(
     found = retrieve.contexts_per_query(retrieve.with_chunk_text(hits, texts), context)
     with_found = inference.with_contexts(embedded.drop("embedding"), found)
     text = answer(F.col("retrieved_contexts"), F.col("question")) if answer else None
-    return inference.answered(with_found, text)
+    done = inference.answered(with_found, text)
+    return done.withColumns({"retrieval_time": F.col("query_time"), "response_time": _clock()})
 
 
 def run_inference(
@@ -87,9 +99,6 @@ def run_inference(
         {
             "run_id": F.lit(run_id),
             "queried_by": F.lit(by),
-            "query_time": started,
-            "retrieval_time": started,
-            "response_time": _now(),
         }
     )
     settings = {

@@ -190,6 +190,8 @@ def test_answer_evaluate_diagnose_export(spark, loaded, folder):
     assert tuple(two) == ("run-2", 1, 3, 3, 0)
     assert run_inference(spark, root, "case1", batch_name="none", run_id="run-3", **options).count() == 0
     log = {r.question: r for r in store.read(spark, root, "query_history").collect()}
+    assert all(r.query_time <= r.response_time for r in log.values())
+    assert len({r.response_time for r in log.values()}) > 1
     assert log["zebra xylophone quux"].retrieved_contexts == []
     assert log["zebra xylophone quux"].generated_answer.startswith("I'm sorry")
     assert log["climate report item"].retrieved_contexts[0].text == log["climate report item"].generated_answer
