@@ -22,29 +22,35 @@ from pyspark.sql import functions as F
 from ragassay.llm.common import durable, map_rows, texts_of
 
 #: words kept with their ids in one worker
-WORDS = 300_000
+WORDS = 800_000
 
-# The tokenizer cuts lower-cased text by this pattern. For letters up to U+024F its
+# The tokenizer cuts lower-cased text by this pattern. For letters up to U+017F its
 # classes are spelled out, so that re finds the same pieces; other texts go to the
 # tokenizer whole. Fixed values of word_bpe_49k.json.
-_LETTERS = "a-zªµºß-öø-ɏ"
+_LETTERS = "a-zªµºß-öø-ſ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+")
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ɏ]*")
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
 
 
 class Encoder(dict):
     """Little-endian 32-bit ids of a text; ids of words are remembered."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # the model sees bytes as printable characters
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = (chr(c) for c in range(0x180) if not 0x80 <= c < 0xA0)
+        self.printable = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        found = self[word] = self.whole(word)
+        ids = [token.id for token in self.model.tokenize(word.translate(self.printable))]
+        found = self[word] = np.array(ids, "<u4").tobytes()
         return found
 
     def whole(self, text: str) -> bytes:
