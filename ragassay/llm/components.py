@@ -15,28 +15,36 @@ def components(links: DataFrame) -> DataFrame:
     takes the smallest label among the neighbours and then that label's own label,
     so that chains shorten by more than half; rounds end when no label changes.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = durable(both.filter("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other"))
-    labels = labels.select("node", F.least("node", "other").alias("label"))
+    both = durable(_both_ways(links))
+    labels = durable(one_step(links))
     while True:
-        # two rounds for one written table
-        step = durable(_nearer(both, _nearer(both, labels).drop("moved")))
+        heard = (
+            both.join(labels, both["b"] == labels["node"])
+            .groupBy("a")
+            .agg(F.min("label").alias("heard"))
+        )
+        nearer = labels.join(heard, labels["node"] == heard["a"]).select(
+            "node", "label", F.least("label", "heard").alias("near")
+        )
+        own = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        step = durable(
+            nearer.join(own, "near").select(
+                "node",
+                F.least("near", "far").alias("label"),
+                (F.least("near", "far") < F.col("label")).alias("moved"),
+            )
+        )
         labels = step.select("node", "label")
         if step.filter("moved").isEmpty():
             return labels
 
 
-def _nearer(both: DataFrame, labels: DataFrame) -> DataFrame:
-    heard = (
-        both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-    )
-    nearer = labels.join(heard, labels["node"] == heard["a"]).select(
-        "node", "label", F.least("label", "heard").alias("near")
-    )
-    own = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-    return nearer.join(own, "near").select(
-        "node",
-        F.least("near", "far").alias("label"),
-        (F.least("near", "far") < F.col("label")).alias("moved"),
-    )
+def _both_ways(links: DataFrame) -> DataFrame:
+    back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return links.select("a", "b").union(back).filter("a <> b")
+
+
+def one_step(links: DataFrame) -> DataFrame:
+    """node, label: the smallest of each linked node and its neighbours."""
+    least = _both_ways(links).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other"))
+    return least.select("node", F.least("node", "other").alias("label"))

@@ -10,8 +10,16 @@ concentration of independent samples (Dahlgaard, Knudsen, Thorup 2017).
 ROWS coordinates make a band. Documents that agree in a band are candidates: two sets
 of similarity 0.8 miss all 32 bands with probability (1 - 0.8**4)**32 = 5e-8. Equal
 sets are one class from the start. Candidates are tested on the whole sets (of 64-bit
-shingle hashes). A bucket is not expanded into its pairs: its classes are tested
-against a leader, then only pairs of different components remain to be tested.
+shingle hashes). A bucket is not expanded into its pairs:
+
+* A class is left out if more than a fifth of its shingles are in no other candidate
+  set: then no similarity can reach 0.8. In a group of copies with many edits each this
+  leaves those that can have links at all. The bound is exact.
+* The others are compared with the bucket's leader, the one with the fewest shingles
+  of its own, and form components.
+* Only pairs of different components that share a bucket remain. Two sets share at most
+  what both share with the leader, and outside the leader what either shares with
+  anybody. Pairs that this leaves possible are tested, in the first band they share.
 """
 
 from __future__ import annotations
@@ -24,13 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragassay.llm.common import durable, gram_hashes, map_rows, mix, span_hashes, texts_of, words
-from ragassay.llm.components import components
+from ragassay.llm.components import components, one_step
 
 SIZE, ROWS = 128, 4
 SHIFT = np.uint64(57)  # the upper 7 bits of a hash choose one of 128 coordinates
-#: rounds against a leader in each bucket go on while each takes a quarter of the open
-#: pairs away, at most so many; then all open pairs are tested
-LEADER_ROUNDS = 6
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
@@ -99,45 +104,98 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return map_rows(texts_of(docs), "sig binary, elements array<bigint>", of_row)
 
 
-def _close_in_size(x: Column, y: Column, percent: int) -> Column:
-    """Sizes of which the smaller can be the share of the larger that the threshold asks."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-
-def _verified(
-    docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int
-) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough."""
-    pairs = durable(pairs)
-    sigs = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    ids = classes.join(sigs, "sig", "left_semi").select(F.col("class_id").alias("__id")).distinct()
+def candidate_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """sig, elements of the classes in members, from the documents that stand for them."""
+    ids = members.select(F.col("class_id").alias("__id")).distinct()
     wanted = docs.select("doc_id", "text").join(
         ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi"
     )
-    # rows that share a class or a doc_id come more than once
-    sets = whole_sets(wanted, k).join(sigs, "sig", "left_semi")
-    sets = durable(sets.groupBy("sig").agg(F.first("elements").alias("elements")))
+    # rows of one class, or of one doc_id, may come more than once
+    return whole_sets(wanted, k).groupBy("sig").agg(F.first("elements").alias("elements"))
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """sig, own: the number of elements that are in no other of the sets.
+
+    sets must be a written table, as it is numbered and read twice.
+    """
+    numbered = sets.withColumn("no", F.monotonically_increasing_id())
+    once = (
+        numbered.select("no", F.explode("elements").alias("element"))
+        .groupBy("element")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("no"))
+        .filter("n = 1")
+    )
+    own = once.groupBy("no").agg(F.count(F.lit(1)).alias("own"))
+    return numbered.select("no", "sig").join(own, "no", "left").select(
+        "sig", F.coalesce("own", F.lit(0)).alias("own")
+    )
+
+
+def _compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, both: the size of the intersection of the whole sets of each pair."""
     left = sets.select(F.col("sig").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    tested = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total")
-    )
-    return tested.filter(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select(
-        "a", "b"
+    near = F.size("x") + F.size("y")
+    return durable(pairs).join(left, "a").join(right, "b").select(
+        "a", "b", both.alias("both"), near.alias("total")
     )
 
 
-def _against_leader(members: DataFrame, leader: Column, percent: int) -> DataFrame:
-    """Pairs of each bucket's leader with its members of other components."""
-    chosen = durable(members.groupBy("band", "key").agg(leader.alias("lead")))
-    pairs = members.join(chosen, ["band", "key"]).filter(
-        (F.col("lead.label") != F.col("label"))
-        & _close_in_size(F.col("n"), F.col("lead.n"), percent)
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    enough = F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent
+    return compared.filter(enough).select("a", "b")
+
+
+def _pair(one: str, two: str) -> list[Column]:
+    x, y = F.col(f"{one}sig"), F.col(f"{two}sig")
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _with_leader(members: DataFrame) -> DataFrame:
+    """Members with the bucket's leader: the one with the fewest shingles of its own."""
+    first = F.min_by("sig", F.struct("own", F.xxhash64("sig")))
+    chosen = members.groupBy("band", "key").agg(first.alias("lead"))
+    return members.join(durable(chosen), ["band", "key"])
+
+
+def _with_overlap(led: DataFrame, compared: DataFrame) -> DataFrame:
+    """Members with `inside`, the shingles they share with the leader, and `outside`,
+    those they may share with others beyond it."""
+    pairs = led.select("*", F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b"))
+    joined = pairs.join(compared.select("a", "b", "both"), ["a", "b"], "left")
+    inside = F.coalesce("both", "n")  # no row for the leader itself
+    outside = F.col("n") - inside - F.when(F.col("both").isNull(), 0).otherwise(F.col("own"))
+    return joined.select(*led.columns, inside.alias("inside"), outside.alias("outside"))
+
+
+def _all_open(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a bucket and may be similar enough."""
+    other = members.select(
+        "band", "key", F.struct("sig", "n", "label", "inside", "outside", "bands").alias("o")
+    )
+    shared = F.least("inside", "o.inside") + F.least("outside", "o.outside")
+    earlier = F.zip_with(
+        F.slice("bands", F.lit(1), F.col("band")),
+        F.slice("o.bands", F.lit(1), F.col("band")),
+        lambda x, y: x == y,
+    )
+    met = members.join(other, ["band", "key"]).filter(
+        (F.col("label") < F.col("o.label"))
+        & (shared * 100 >= (F.col("n") + F.col("o.n") - shared) * percent)
+        & ~F.array_contains(earlier, True)
     )
-    return pairs.select(
-        F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")
-    ).distinct()
+    return met.select(*_pair("", "o."))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, with their labels."""
+    labels = labels.select(F.col("node").alias("sig"), F.col("label").alias("__label"))
+    known = members.join(labels, "sig", "left").withColumn("label", F.coalesce("__label", "label"))
+    spread = known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    spread = durable(spread.filter("low <> high").select("band", "key"))
+    return durable(known.join(spread, ["band", "key"], "left_semi").select(members.columns))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -153,65 +211,30 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """
     rows = durable(sketches(docs, shingle))
     classes = durable(
-        rows.filter("n > 0")
-        .groupBy("sig")
-        .agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        rows.filter("n > 0").groupBy("sig").agg(
+            F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        )
     )
-    members = classes.select("sig", "n", F.posexplode("bands").alias("band", "key"))
+    members = classes.select("sig", "class_id", "n", F.posexplode("bands").alias("band", "key"))
     # a written table on one side of a join lets Spark split the crowded keys of the other
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = durable(
-        members.join(durable(crowded), ["band", "key"]).select(
-            "band", "key", "sig", "n", F.col("sig").alias("label")
-        )
+    members = durable(members.join(durable(crowded), ["band", "key"]).drop("size"))
+    sets = durable(candidate_sets(docs, members, shingle))
+    able = durable(own_shingles(sets))
+    members = members.join(able, "sig").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    led = durable(_with_leader(members.drop("class_id").withColumn("label", F.col("sig"))))
+    tests = led.filter("sig <> lead").select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b"))
+    compared = durable(_compared(sets, tests.distinct()))
+    links = _links(compared, percent)
+    still = _open(_with_overlap(led, compared), one_step(links))
+    still = durable(still.join(classes.select("sig", "bands"), "sig"))
+    links = links.union(durable(_links(_compared(sets, _all_open(still, percent)), percent)))
+    labels = components(links)
+    known = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
+        "sig", "class_id", F.coalesce("label", "sig").alias("label")
     )
-    links, labels, before = None, None, float("inf")
-    for turn in range(LEADER_ROUNDS + 1):
-        if labels is not None:
-            known = members.drop("label").join(
-                labels.withColumnRenamed("node", "sig"), "sig", "left"
-            ).withColumn("label", F.coalesce("label", "sig"))
-            spread = known.groupBy("band", "key").agg(
-                F.min("label").alias("low"), F.max("label").alias("high")
-            ).filter("low <> high")
-            members = durable(
-                known.join(durable(spread), ["band", "key"], "left_semi").select(members.columns)
-            )
-        of = F.struct("sig", "n", "label")
-        order = F.xxhash64("sig", F.lit(turn))
-        open_pairs = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("m"))
-        load = open_pairs.groupBy("band", "key").agg(
-            ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"),
-            F.sum("m").alias("m"),
-        ).agg(F.sum("pairs").alias("pairs"), F.sum("m").alias("m")).first()
-        if not load["m"]:
-            break
-        few = load["pairs"] <= 2 * load["m"] or load["pairs"] > 0.75 * before
-        last = turn == LEADER_ROUNDS or (turn > 0 and few)
-        before = load["pairs"] if turn else before
-        if last:
-            other = members.select("band", "key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            pairs = (
-                members.join(other, ["band", "key"])
-                .filter((F.col("label") < F.col("label2")) & _close_in_size(F.col("n"), F.col("n2"), percent))
-                .select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b"))
-                .distinct()
-            )
-        else:
-            pairs = _against_leader(members, F.min_by(of, order), percent)
-        found = durable(_verified(docs, classes, pairs, shingle, percent))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if last:
-            break
-    if labels is None:
-        named = classes.select("sig", F.col("class_id").alias("component_id"))
-    else:
-        known = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
-            "sig", "class_id", F.coalesce("label", "sig").alias("label")
-        )
-        lowest = known.groupBy("label").agg(F.min("class_id").alias("component_id"))
-        named = known.join(lowest, "label").select("sig", "component_id")
+    lowest = known.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    named = durable(known.join(lowest, "label").select("sig", "component_id"))
     out = rows.select("doc_id", "n", "sig").join(named, "sig", "left")
     component = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
