@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragassay.llm.common import durable, gram_hashes, map_rows, mix, span_hashes, texts_of, words
-from ragassay.llm.components import components, one_step
+from ragassay.llm.components import components
 
 SIZE, ROWS = 128, 4
 SHIFT = np.uint64(57)  # the upper 7 bits of a hash choose one of 128 coordinates
@@ -226,7 +226,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     tests = led.filter("sig <> lead").select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b"))
     compared = durable(_compared(sets, tests.distinct()))
     links = _links(compared, percent)
-    still = _open(_with_overlap(led, compared), one_step(links))
+    still = _open(_with_overlap(led, compared), components(links))
     still = durable(still.join(classes.select("sig", "bands"), "sig"))
     links = links.union(durable(_links(_compared(sets, _all_open(still, percent)), percent)))
     labels = components(links)
