@@ -233,8 +233,9 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -
     # the two lowest bits of the blocks that agree
     rest = same.bitwiseAND(same - 1)
     two = same - rest + rest.bitwiseAND(-rest)
+    # both sides grow with the documents: a merge join, whatever sizes are estimated
     met = left.join(
-        right,
+        right.hint("merge"),
         (left["blocks"] == right["blocks"])
         & (left["key"] == right["key"])
         & (distance(F.col("hi"), F.col("lo"), F.col("q_hi"), F.col("q_lo")) <= radius)
