@@ -84,21 +84,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     several = F.coalesce(F.col("n"), F.lit(1))
     first = durable(
         text.join(durable(sizes.filter("n > 1")), ["digit", "left"], "left").select(
+            # written with the rows: reads of one table need not be split alike
+            F.monotonically_increasing_id().alias("row_id"),
             "doc_id",
             "digest",
             several.alias("group_size"),
             F.when(several > 1, F.col("rest")).alias("rest"),
         )
     )
-    # written rows keep their order, so that their numbers hold however often they are read
-    numbered = first.withColumn("row_id", F.monotonically_increasing_id())
     alone = F.col("group_size") == 1
     done = [
-        numbered.filter(alone).select(
+        first.filter(alone).select(
             "row_id", "doc_id", "digest", "group_size", F.struct("doc_id", "row_id").alias("best")
         )
     ]
-    rows = numbered.filter(~alone).withColumn("part", F.lit(-1).cast("bigint"))
+    rows = first.filter(~alone).withColumn("part", F.lit(-1).cast("bigint"))
     width = FIRST
     while not rows.isEmpty():
         width *= GROWTH

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -54,3 +55,24 @@ def corpus():
         rows.append((i, " ".join(base)))
     r.shuffle(rows)
     return rows
+
+
+@pytest.fixture
+def dealt_anew(spark, monkeypatch):
+    """Let each written table of a module change how the next reads are split."""
+    names = [f"spark.sql.files.{n}" for n in ("minPartitionNum", "openCostInBytes")]
+
+    def arrange(module):
+        write, parts = module.durable, itertools.cycle((1, 40, 3))
+
+        def durable(df):
+            done = write(df)
+            spark.conf.set(names[0], str(next(parts)))
+            return done
+
+        spark.conf.set(names[1], "1")
+        monkeypatch.setattr(module, "durable", durable)
+
+    yield arrange
+    for name in names:
+        spark.conf.unset(name)

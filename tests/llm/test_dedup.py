@@ -43,6 +43,14 @@ def test_exact_groups(make, request, which):
     assert sorted(kept) == sorted(texts) and all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_exact_groups_when_reads_are_split_anew(make, dealt_anew):
+    rows = [(i, f"{i % 50} " + "same text " * 20) for i in range(400)]
+    dealt_anew(radix)
+    got = radix.exact_groups(make(rows).repartition(23)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert sorted(r.doc_id for r in got if r.kept) == list(range(350, 400))
+
+
 def test_empty_tables(make):
     none = make([]).limit(0)
     for run in (radix.exact_groups, minhash.near_groups, suffix.repeated_passages, suffix.cut_passages, winnow.drop_lines, minhash.keep_one_of_each):
