@@ -130,13 +130,14 @@ def plan(counts: Iterable[tuple[int, int]], capacity: int) -> list[tuple[int, ..
 def place(rows: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to rows with a length from 1 to capacity.
 
-    rows must come from a written table: they are numbered, and read twice. Ranks
-    within a length are taken in buckets of row numbers, so that a length that many
-    pieces share is spread; the histogram has at most `capacity` rows.
+    Rows are written with their numbers first, as they are read twice. Ranks within a
+    length are taken in buckets of row numbers, so that a length that many pieces share
+    is spread; the histogram has at most `capacity` rows.
     """
     spark = rows.sparkSession
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn(
+    # the number is a column of the table: reads of it need not be split alike
+    rows = durable(rows.withColumn("__row", F.monotonically_increasing_id())).withColumn(
         "__bucket", F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int")
     )
     counts = durable(rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n")))
@@ -177,7 +178,7 @@ def pack(
     doc_id is carried along. An empty table gives an empty result; further columns are
     not read.
     """
-    return place(durable(pieces(docs, tokenizer, capacity, end, with_ids)), capacity)
+    return place(pieces(docs, tokenizer, capacity, end, with_ids), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

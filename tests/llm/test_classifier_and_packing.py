@@ -124,6 +124,14 @@ def test_pack(spark, make, odd):
     assert packing.pack(make([]).limit(0), TOKENIZER).count() == 0
 
 
+def test_pack_when_reads_are_split_anew(make, dealt_anew):
+    rows = [(i, "word " * (i % 7)) for i in range(600)]
+    dealt_anew(packing)
+    got = packing.pack(make(rows).repartition(23), TOKENIZER, capacity=16).collect()
+    assert sorted(r.doc_id for r in got) == list(range(600))
+    check_packing(rows, got, 16)
+
+
 def test_sequences(spark, make):
     rows = [(i, " ".join(f"{i} {j}" for j in range(i))) for i in range(60)]
     packed = packing.pack(make(rows), TOKENIZER, capacity=64, end=7, with_ids=True)
