@@ -32,6 +32,8 @@ from ragassay.llm.common import mix, texts_of
 VARIANTS = 4
 REMEMBERED = 1_000_000
 LONG = 64  # characters of a stretch that gets its own heap
+#: characters whose agendas go on at once; places of symbols have 22 bits
+TOGETHER = 1_000_000
 _NEVER = np.int64(1 << 40)
 
 
@@ -193,7 +195,13 @@ class Segmenter:
         return rank, new
 
     def together(self, keys: list[tuple[str, int]]) -> list[bytes]:
-        """Many short stretches, one merge each per step."""
+        """Many short stretches, in blocks of up to TOGETHER characters."""
+        block = np.cumsum([len(s) for s, _ in keys], dtype=np.int64) // (TOGETHER - LONG)
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(keys)]
+        return [ids for a, b in zip(cuts, cuts[1:], strict=False) for ids in self.block(keys[a:b])]
+
+    def block(self, keys: list[tuple[str, int]]) -> list[bytes]:
+        """Stretches of fewer than 2**22 characters in all, one merge each per step."""
         if not keys:
             return []
         words = self.words

@@ -148,6 +148,13 @@ def test_encode_and_decode(make, odd):
         dropout.Segmenter(MODEL, 0, 1.0)
 
 
+def test_one_text_of_many_distinct_words():
+    text = " ".join(f"{i:x}{i * 7919 % 1_000_003:06x}" for i in range(400_000))
+    assert len(text) > 4_500_000
+    (ids,) = dropout.Segmenter(MODEL, 5, 0.1).encode([(1, text)])
+    assert dropout.vocabulary(MODEL).decode(ids_of(ids)) == text
+
+
 # --- revisits ---------------------------------------------------------------------
 
 RECORD = "record_id bigint, url string, ts bigint, kind string, etag string, last_modified string, headers map<string,string>, span int, near string"
