@@ -4,14 +4,14 @@ A text is cut before each run of blanks and around characters outside the vocabu
 no piece crosses these places. In a stretch, adjacent symbols that form a piece are
 candidates of an agenda; the best-scored candidate (the leftmost of equals) is merged
 first. Each candidate is skipped for good with the given rate, by a hash keyed with the
-seed, the stretch, its variant and the candidate's three borders. A merge makes new
-candidates with new borders. Which of VARIANTS variants an occurrence takes depends on
-seed, document and place, so equal words are cut in several ways, all of them decode to
-the same text, and a run can be repeated to the last id.
-
-The agendas of all new stretches of some texts go on at once, one merge each per step;
-long stretches have a heap of their own. What a variant of a stretch was cut into is
-remembered in the worker, up to REMEMBERED entries.
+seed, the document, the stretch, its place and the candidate's three borders. A
+merge makes new candidates with new borders. Every occurrence is drawn on its own, all
+of them decode to the same text, and a run can be repeated to the last id.
+
+Work is shared only where the same candidates are skipped: what a stretch is cut into
+then, and which candidates it meets, is remembered in the worker, up to REMEMBERED
+entries. The agendas of all new entries go on at once, one merge each per step; long
+stretches have a heap of their own.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 
 from ragassay.llm.common import mix, texts_of
 
-VARIANTS = 4
 REMEMBERED = 1_000_000
 LONG = 64  # characters of a stretch that gets its own heap
 #: characters whose agendas go on at once; places of symbols have 22 bits
 TOGETHER = 1_000_000
+SLICE = 100_000  # stretches drawn at once
+BITS = 62  # candidates of an entry whose skips are looked up
 _NEVER = np.int64(1 << 40)
 
 
@@ -95,6 +96,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _blocks(stretches: list[str]) -> list[tuple[int, int]]:
+    """Ranges of short stretches of up to TOGETHER characters."""
+    block = np.cumsum([len(s) for s in stretches], dtype=np.int64) // (TOGETHER - LONG)
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(stretches)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def _keyed(salt, start, middle, end):
     """Hash of a candidate; numbers or arrays of unsigned 64-bit values."""
     place = (start << np.uint64(42)) ^ (middle << np.uint64(21)) ^ end
@@ -108,41 +116,102 @@ class Segmenter:
         self.words = vocabulary(path)
         self.seed = seed & (1 << 64) - 1
         self.limit = np.uint64(int(rate * 2**64))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if rate else 1)]
+        self.forget()
 
-    def salt(self, stretch: str, variant: int) -> int:
-        return (self.seed ^ zlib.crc32(stretch.encode()) << 8 ^ variant) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    def salts(self, stretches: list[str], variants) -> np.ndarray:
+        """Keys of the draws of stretches with their variants."""
+        sums = {s: zlib.crc32(s.encode()) << 8 for s in set(stretches)}
+        sums = np.array([sums[s] for s in stretches], np.uint64)
+        return (np.uint64(self.seed) ^ sums ^ np.asarray(variants, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
 
-    def variants(self, doc_id: int | None, n: int) -> list[int]:
-        """Variants of the n stretches of a document."""
-        if len(self.known) == 1:
-            return [0] * n
+    def variants(self, doc_id: int | None, n: int) -> np.ndarray:
+        """A number for each of the n stretches of a document, by its place."""
         key = mix(np.array([self.seed ^ (0 if doc_id is None else doc_id + 1) & (1 << 64) - 1], np.uint64))
-        return (mix(key ^ np.arange(n, dtype=np.uint64)) % np.uint64(VARIANTS)).tolist()
+        return mix(key ^ np.arange(n, dtype=np.uint64))
 
     def encode(self, rows: list[tuple[int | None, str]]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [_STRETCH.findall(("▁" + t.replace(" ", "▁")) if t else "") for _, t in rows]
-        chosen = [self.variants(d, len(c)) for (d, _), c in zip(rows, cut, strict=True)]
-        if sum(map(len, self.known)) > REMEMBERED:
-            for part in self.known:
-                part.clear()
-        known = self.known
-        new = {
-            (s, v) for c, vs in zip(cut, chosen, strict=True) for s, v in zip(c, vs, strict=True) if s not in known[v]
-        }
-        short = [k for k in new if len(k[0]) <= LONG]
-        for (stretch, variant), ids in zip(short, self.together(short), strict=True):
-            known[variant][stretch] = ids
-        for stretch, variant in new.difference(short):
-            known[variant][stretch] = np.array(self.alone(stretch, variant), "<u4").tobytes()
-        return [
-            b"".join([known[v][s] for s, v in zip(c, vs, strict=True)]) for c, vs in zip(cut, chosen, strict=True)
-        ]
+        stretches = [s for c in cut for s in c]
+        variants = np.concatenate(
+            [np.empty(0, np.uint64), *(self.variants(d, len(c)) for (d, _), c in zip(rows, cut, strict=True))]
+        )
+        ids: list[bytes] = []
+        for a in range(0, len(stretches), SLICE):
+            ids += self.drawn(stretches[a : a + SLICE], variants[a : a + SLICE])
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def forget(self) -> None:
+        """Nodes: a stretch with the candidates skipped so far, what it is cut into then,
+        and the candidates that were met on the way and not skipped. Node 0 is none."""
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}  # node and bits of its skipped candidates -> node
+        self.stretch, self.skips, self.ids, self.met = [""], [b""], [b""], [b""]
+
+    def learn(self, nodes: list[tuple[str, bytes]]) -> range:
+        """Numbers of new nodes for stretches and their skipped candidates."""
+        first = len(self.ids)
+        for a, b in _blocks([s for s, _ in nodes]):
+            part = nodes[a:b]
+            ids, met = self.block([s for s, _ in part], skips=[k for _, k in part])
+            self.stretch += [s for s, _ in part]
+            self.skips += [k for _, k in part]
+            self.ids += ids
+            self.met += met
+        return range(first, len(self.ids))
+
+    def drawn(self, stretches: list[str], variants: np.ndarray) -> list[bytes]:
+        """Ids of each stretch, its merges drawn with its own variant.
+
+        What was cut with the same candidates skipped is looked up: from the node without
+        skips on, the candidates met there are drawn; if some are skipped, the node with
+        these skipped too comes next, until none of those met is.
+        """
+        if len(self.ids) > REMEMBERED:
+            self.forget()
+        new = list({s for s in stretches if s not in self.roots and len(s) <= LONG})
+        self.roots.update(zip(new, self.learn([(s, b"") for s in new]), strict=True))
+        node = np.array([self.roots.get(s, 0) for s in stretches], np.int64)
+        alone = np.flatnonzero(node == 0).tolist()
+        at = np.flatnonzero(node)
+        salts = self.salts(stretches, variants) if self.limit else None
+        while self.limit and len(at):
+            parts = [self.met[k] for k in node[at].tolist()]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            codes = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
+            which = np.repeat(np.arange(len(at)), sizes)
+            low = np.uint64(127)
+            borders = codes & low, codes >> np.uint64(7) & low, codes >> np.uint64(14)
+            skipped = np.flatnonzero(_keyed(salts[at[which]], *borders) < self.limit)
+            if not len(skipped):
+                break
+            of = which[skipped]
+            firsts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            bit = np.minimum(skipped - (np.cumsum(sizes) - sizes)[of], BITS)
+            bits = np.bitwise_or.reduceat(np.int64(1) << bit, firsts)
+            narrow = sizes[of[firsts]] <= BITS
+            alone += at[of[firsts][~narrow]].tolist()
+            at, bits = at[of[firsts][narrow]], bits[narrow].tolist()
+            keys = [k << BITS | b for k, b in zip(node[at].tolist(), bits, strict=True)]
+            new = list({k for k in keys if k not in self.children})
+            self.children.update(zip(new, self.learn([self.below(k) for k in new]), strict=True))
+            node[at] = [self.children[k] for k in keys]
+        out = [self.ids[k] for k in node.tolist()]
+        for i in alone:
+            out[i] = np.array(self.alone(stretches[i], int(variants[i])), "<u4").tobytes()
+        return out
+
+    def below(self, key: int) -> tuple[str, bytes]:
+        """The stretch and the skipped candidates of a node's child."""
+        k, bits = key >> BITS, key & (1 << BITS) - 1
+        met = self.met[k]
+        more = [met[4 * i : 4 * i + 4] for i in range(len(met) // 4) if bits >> i & 1]
+        return self.stretch[k], b"".join([self.skips[k], *more])
 
     def alone(self, stretch: str, variant: int) -> list[int]:
         """One stretch, with a heap as its agenda."""
-        words, salt = self.words, np.uint64(self.salt(stretch, variant))
+        words, salt = self.words, self.salts([stretch], [variant])[0]
         symbols = [words.ids.get(c, -1) for c in stretch]
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         agenda: list[tuple[int, int, int, int]] = []
@@ -176,8 +245,9 @@ class Segmenter:
                 out += [symbol] if symbol >= 0 else words.spell(char)
         return out
 
-    def candidates(self, at, owner, start, end, symbol, salts) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged piece of the pairs that begin at the given symbols."""
+    def candidates(self, at, owner, start, end, symbol, salts, skips, met) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged piece of the pairs that begin at the given symbols. Without
+        salts those among skips are skipped, and met gets the others."""
         words = self.words
         rank, new = np.full(len(at), _NEVER), np.zeros(len(at), np.int64)
         after = np.minimum(at + 1, len(symbol) - 1)
@@ -187,7 +257,12 @@ class Segmenter:
         found = np.minimum(np.searchsorted(words.keys, wanted), len(words.keys) - 1)
         hit = words.keys[found] == wanted
         pair, left, right, found = pair[hit], left[hit], right[hit], found[hit]
-        if self.limit:
+        if salts is None:
+            code = owner[left] << 21 | end[right] << 14 | start[right] << 7 | start[left]
+            stays = skips[np.minimum(np.searchsorted(skips, code), len(skips) - 1)] != code
+            pair, found = pair[stays], found[stays]
+            met.append(code[stays])
+        elif self.limit:
             borders = (a.astype(np.uint64) for a in (start[left], start[right], end[right]))
             stays = _keyed(salts[owner[left]], *borders) >= self.limit
             pair, found = pair[stays], found[stays]
@@ -195,25 +270,30 @@ class Segmenter:
         return rank, new
 
     def together(self, keys: list[tuple[str, int]]) -> list[bytes]:
-        """Many short stretches, in blocks of up to TOGETHER characters."""
-        block = np.cumsum([len(s) for s, _ in keys], dtype=np.int64) // (TOGETHER - LONG)
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(keys)]
-        return [ids for a, b in zip(cuts, cuts[1:], strict=False) for ids in self.block(keys[a:b])]
-
-    def block(self, keys: list[tuple[str, int]]) -> list[bytes]:
-        """Stretches of fewer than 2**22 characters in all, one merge each per step."""
-        if not keys:
-            return []
-        words = self.words
-        text = "".join(s for s, _ in keys)
-        lengths = np.array([len(s) for s, _ in keys])
+        """Many short stretches with their variants, in blocks."""
+        out: list[bytes] = []
+        for a, b in _blocks([s for s, _ in keys]):
+            part = [s for s, _ in keys[a:b]]
+            out += self.block(part, self.salts(part, [v for _, v in keys[a:b]]))[0]
+        return out
+
+    def block(self, stretches: list[str], salts=None, skips=()) -> tuple[list[bytes], list[bytes]]:
+        """Short stretches of fewer than 2**22 characters in all, one merge each per step:
+        their ids, and without salts the candidates met. Candidates are 32-bit numbers."""
+        if not stretches:
+            return [], []
+        words, met = self.words, []
+        held = np.repeat(np.arange(len(skips)), [len(k) // 4 for k in skips])
+        held = np.sort(held << 21 | np.frombuffer(b"".join(skips), "<u4"))
+        skips = np.append(held, -1) if not len(held) else held
+        text = "".join(stretches)
+        lengths = np.array([len(s) for s in stretches])
         symbol = np.array([words.ids.get(c, -1) for c in text], np.int64)
-        owner = np.repeat(np.arange(len(keys)), lengths)
+        owner = np.repeat(np.arange(len(stretches)), lengths)
         base = np.concatenate(([0], np.cumsum(lengths)))
         start = np.arange(len(text)) - base[owner]
         end = start + 1
-        salts = np.array([self.salt(s, v) for s, v in keys], np.uint64)
-        rank, new = self.candidates(np.arange(len(symbol)), owner, start, end, symbol, salts)
+        rank, new = self.candidates(np.arange(len(symbol)), owner, start, end, symbol, salts, skips, met)
         done: list[tuple[np.ndarray, ...]] = []
         while len(symbol):
             firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -231,19 +311,22 @@ class Segmenter:
             owner, start, end, symbol, rank, new = (c[stay] for c in (owner, start, end, symbol, rank, new))
             touched = np.concatenate((at[at > 0] - 1, at))
             if len(touched):
-                rank[touched], new[touched] = self.candidates(touched, owner, start, end, symbol, salts)
+                rank[touched], new[touched] = self.candidates(touched, owner, start, end, symbol, salts, skips, met)
         owner, start, symbol = (np.concatenate(c) for c in zip(*done, strict=True))
         order = np.lexsort((start, owner))
         owner, start, symbol = owner[order], start[order], symbol[order]
         data = symbol.astype("<u4").tobytes()
-        cuts = np.searchsorted(owner, np.arange(len(keys) + 1)).tolist()
+        cuts = np.searchsorted(owner, np.arange(len(stretches) + 1)).tolist()
         out = [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for i in np.unique(owner[symbol < 0]).tolist():
             ids: list[int] = []
             for k in range(cuts[i], cuts[i + 1]):
-                ids += [int(symbol[k])] if symbol[k] >= 0 else words.spell(keys[i][0][start[k]])
+                ids += [int(symbol[k])] if symbol[k] >= 0 else words.spell(stretches[i][start[k]])
             out[i] = np.array(ids, "<u4").tobytes()
-        return out
+        codes = np.sort(np.concatenate(met)) if met else np.empty(0, np.int64)
+        cuts = np.searchsorted(codes, np.arange(len(stretches) + 1) << 21).tolist()
+        data = (codes & (1 << 21) - 1).astype("<u4").tobytes()
+        return out, [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)

@@ -155,6 +155,23 @@ def test_one_text_of_many_distinct_words():
     assert dropout.vocabulary(MODEL).decode(ids_of(ids)) == text
 
 
+def test_every_occurrence_is_drawn_on_its_own(corpus):
+    some = dropout.Segmenter(MODEL, 11, 0.2)
+    for i, text in corpus[:20] + [(7, "thousandfold " * 500 + "-" * 64 + "internationalization " * 30)]:
+        cut = dropout._STRETCH.findall("▁" + text.replace(" ", "▁"))
+        variants = some.variants(i, len(cut)).tolist()
+        want = [k for s, v in zip(cut, variants, strict=True) for k in some.alone(s, v)]
+        assert ids_of(some.encode([(i, text)])[0]) == want
+    # the rate holds in each run, and a word is cut in more and more ways
+    for seed in range(8):
+        segmenter = dropout.Segmenter(MODEL, seed, 0.1)
+        whole = dropout.Segmenter(MODEL, 0, 0.0).encode([(0, "a")])[0]
+        (ids,) = segmenter.encode([(3, " ".join("a" * 5000))])
+        assert 0.08 < 1 - ids_of(ids).count(*ids_of(whole)) / 5000 < 0.12
+        words = segmenter.drawn(["▁internationalization"] * 2000, segmenter.variants(1, 2000))
+        assert len(set(words[:200])) > 12 and len(set(words)) > 2 * len(set(words[:200]))
+
+
 # --- revisits ---------------------------------------------------------------------
 
 RECORD = "record_id bigint, url string, ts bigint, kind string, etag string, last_modified string, headers map<string,string>, span int, near string"
