@@ -1,7 +1,8 @@
 """Line deduplication by winnowing over line hashes.
 
 Documents are sequences of lines; lines of white space only do not count. The hashes of
-GRAM lines in a row are winnowed: of each window of least - GRAM + 1 of them the smallest
+GRAM lines in a row (one, if runs of one line count) are winnowed: of each window of
+least - GRAM + 1 of them the smallest
 is the fingerprint, so that every run of `least` lines has a fingerprint, wherever it
 stands. Positions that share a fingerprint are joined, and the match is extended line by
 line to both sides: the runs of `least` lines around a shared position are looked up
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, least: int) -> DataFrame:
 
     def of_row(doc_id: int | None, version: int, text: str) -> Iterator[tuple]:
         _, hashes = line_hashes(text)
-        keys, _, lows, highs = anchors(hashes, least, GRAM)
+        keys, _, lows, highs = anchors(hashes, least, min(GRAM, least))
         for key, low, high in zip(
             keys.view(np.int64).tolist(), lows.tolist(), highs.tolist(), strict=True
         ):

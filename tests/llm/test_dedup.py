@@ -213,3 +213,13 @@ def test_drop_lines(spark, make, corpus, odd, least):
         (low(i), want[i, version[i, t or ""]]) for i, t in rows
     )
     assert got[0].__fields__ == docs.columns
+
+
+def test_single_lines_pairs_and_one_line_copies(spark, make):
+    rows = [(1, "a\nb\nc"), (2, "x\nb\ny"), (3, "only"), (4, "only"), (5, "a\nb"), (6, "\nz\n \nz"), (7, "")]
+    got = {r.doc_id: r.text for r in winnow.drop_lines(make(rows), 1).collect()}
+    assert got == {1: "a\nb\nc", 2: "x\ny", 3: "only", 4: "", 5: "", 6: "\nz\n ", 7: ""}
+    want = {i: t for (i, _), t in kept_lines(in_order(spark, rows), 1).items()}
+    assert got == want
+    pairs = {r.doc_id: r.text for r in winnow.drop_lines(make(rows), 2).collect()}
+    assert pairs == dict(rows) | {5: ""}
