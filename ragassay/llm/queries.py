@@ -13,7 +13,9 @@ from ragassay.llm import (
     minhash,
     nbsvm,
     packing,
+    periodic,
     radix,
+    resample,
     revisit,
     simhash,
     suffix,
@@ -80,6 +82,19 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "benchmark"),
+        lo=1, hi=1, buckets=10_000, seed=2024, percent=10, least_words=20,
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"), least=24, times=3, edit=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -93,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_templates,
         op9_best_fit_packing,
         op10_minhash_dedup,
+        op11_importance_resampling,
+        op13_periodic_runs,
     )
 }
 
@@ -282,4 +299,44 @@ SQL = {
           ON b_host = l.host AND b_parent = l.parent AND b_template = l.template
         JOIN (SELECT host AS g_host, branch AS g_branch, impurity FROM scored)
           ON g_host = l.host AND g_branch = branch""",
+    "op11_importance_resampling": f"""
+        WITH table_of AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS tab
+            FROM range(256) r(i)),
+        texts AS (
+            SELECT 0 AS kind, doc_id AS id, {_LOWER} AS t FROM documents
+            UNION ALL SELECT 1, item_id, {_LOWER} FROM benchmark),
+        words AS (
+            SELECT kind, id, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w
+            FROM texts),
+        spelled AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+        buckets AS (
+            SELECT w, xor(list_reduce(
+                       [4294967295] || [CAST('0x' || substr(h, 2 * k - 1, 2) AS BIGINT) for k in range(1, len(h) // 2 + 1)],
+                       lambda a, x: xor(a // 256, tab[xor(a % 256, x) + 1])), 4294967295) % 10000 AS bucket
+            FROM spelled, table_of),
+        found AS (SELECT kind, id, bucket FROM words JOIN buckets USING (w)),
+        sizes AS (
+            SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t
+            FROM found GROUP BY bucket),
+        totals AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM sizes),
+        gains AS (
+            SELECT bucket, CAST(floor(1000::DOUBLE * ln((t + 1)::DOUBLE * (ss + 10000)::DOUBLE
+                   / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sizes, totals),
+        weighed AS (
+            SELECT id, count(*) AS n, sum(gain)::BIGINT AS gain
+            FROM found JOIN gains USING (bucket) WHERE kind = 0 GROUP BY id),
+        scored AS (
+            SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(gain, 0)::BIGINT AS weight,
+                   coalesce(gain, 0)::BIGINT + CAST(floor(-1000::DOUBLE * ln(-ln((CAST('0x' ||
+                       substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT)
+                       AS score
+            FROM documents LEFT JOIN weighed ON id = doc_id),
+        placed AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able
+            FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, n_features, weight, score,
+               CASE WHEN place <= 10 * able // 100 THEN place END AS rank
+        FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id""",
 }
