@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ragassay.llm import (
     dropout,
+    maxent,
     minhash,
     nbsvm,
     packing,
@@ -91,6 +92,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    corpus, model = maxent.train(docs.filter(~held_out))
+    return maxent.scores(docs, corpus, model, held_out)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(table(spark, sf_dir, "documents"), least=24, times=3, edit=True)
 
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_best_fit_packing,
         op10_minhash_dedup,
         op11_importance_resampling,
+        op12_maxent_scores,
         op13_periodic_runs,
     )
 }
