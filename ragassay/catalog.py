@@ -11,7 +11,18 @@ from ragassay.functions import prompts
 from ragassay.functions.arrays import exploded
 from ragassay.functions.embedding import embed_texts, hashing_embedder
 from ragassay.functions.text import name_uuid, preview
-from ragassay.operators import diagnose, evaluate, export, golden, inference, ingest, metrics, retrieve
+from ragassay.operators import (
+    diagnose,
+    evaluate,
+    export,
+    golden,
+    hybrid,
+    inference,
+    ingest,
+    metrics,
+    retrieve,
+    sparse,
+)
 from ragassay.schemas import METRICS
 from ragassay.sources import fixtures as fx
 
@@ -312,6 +323,36 @@ def context_preview(spark: SparkSession, sf: str) -> DataFrame:
     return fx.text_chunks(spark, sf).select("chunk_id", preview(F.col("content")).alias("preview"))
 
 
+# --- sparse and hybrid retrieval ------------------------------------------------------
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark text as a question."""
+    items = fx.table(spark, sf, "benchmark")
+    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+@query
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """All active chunks of all documents, indexed and searched."""
+    chunks = retrieve.active(fx.text_chunks(spark, sf)).select("chunk_id", "content")
+    found = sparse.sparse_search(sparse.build_index(chunks), _asked(spark, sf), top_k=5)
+    return found.select(*_big("query_id", "rank_no"), "chunk_id", *_rounded("score", places=6))
+
+
+@query
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty chunks by words and ten by vectors become five."""
+    live = retrieve.active(fx.documents(spark, sf)).select("doc_id")
+    chunks = retrieve.active(fx.document_chunks(spark, sf)).join(live, "doc_id", "left_semi")
+    index = sparse.build_index(chunks.select("chunk_id", "content"))
+    by_words = sparse.sparse_search(index, _asked(spark, sf), top_k=20)
+    found = hybrid.fused(by_words, _hits(spark, sf, k=10), top_k=5)
+    return found.select(
+        *_big("query_id", "rank_no", "chunk_id", "sparse_rank", "dense_rank"), *_rounded("fused_score")
+    )
+
+
 # --- benchmark sets -------------------------------------------------------------------
 
 

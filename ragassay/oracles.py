@@ -695,6 +695,52 @@ SQL: dict[str, str] = {
 }
 
 
+def _bm25(chunks: str, k: int) -> str:
+    """Common table expressions that score every posting of chunks; the last is best."""
+    return f"""
+        worded AS (
+            SELECT chunk_id, list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\\p{{L}}\\p{{N}}]+'),
+                                         lambda w: w <> '') AS ws FROM ({chunks})),
+        figures AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM worded),
+        postings AS (
+            SELECT term, chunk_id, count(*) AS tf, any_value(length) AS length
+            FROM (SELECT chunk_id, len(ws) AS length, unnest(ws) AS term FROM worded) GROUP BY term, chunk_id),
+        weights AS (
+            SELECT term, ln(1.0::DOUBLE + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS weight
+            FROM postings, figures GROUP BY term, n),
+        asked AS (
+            SELECT query_id, term, count(*) AS times
+            FROM (SELECT item_id AS query_id,
+                         unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'),
+                                            lambda w: w <> '')) AS term FROM benchmark) GROUP BY query_id, term),
+        scored AS (
+            SELECT query_id, chunk_id,
+                   sum(times * CAST(floor(weight * ((tf * 2.2::DOUBLE)
+                       / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (length / mean)))) * 1000000) AS BIGINT)) AS score
+            FROM asked JOIN weights USING (term) JOIN postings USING (term), figures GROUP BY query_id, chunk_id),
+        best AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank_no,
+                   chunk_id, score FROM scored QUALIFY rank_no <= {k})"""
+
+
+SQL["bm25_topk"] = f"""WITH {_bm25("SELECT * FROM fx_text_chunks WHERE NOT is_deleted", 5)}
+        SELECT query_id, rank_no, chunk_id, round(score / 1000000.0::DOUBLE, 6) AS score FROM best"""
+
+SQL["hybrid_topk"] = f"""WITH {_bm25("""SELECT c.chunk_id, content FROM fx_document_chunks c
+        JOIN fx_documents d ON d.doc_id = c.doc_id WHERE NOT c.is_deleted AND NOT d.is_deleted""", 20)},
+        near AS (
+            SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank_no
+            FROM st_scored WHERE sim >= 0.15 QUALIFY rank_no <= 10),
+        met AS (
+            SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.chunk_id, v.chunk_id) AS chunk_id,
+                   b.rank_no AS sparse_rank, v.rank_no AS dense_rank,
+                   coalesce(1.0::DOUBLE / (b.rank_no + 60), 0) + coalesce(1.0::DOUBLE / (v.rank_no + 60), 0) AS fused_score
+            FROM best b FULL JOIN near v ON v.query_id = b.query_id AND v.chunk_id = b.chunk_id)
+        SELECT query_id, chunk_id, sparse_rank, dense_rank, round(fused_score, 9) AS fused_score,
+               row_number() OVER (PARTITION BY query_id ORDER BY met.fused_score DESC, chunk_id) AS rank_no
+        FROM met QUALIFY rank_no <= 5"""
+
+
 def _needed(sql: str) -> list[str]:
     """Views a text uses, directly or through other views, in definition order."""
     todo, seen = [sql], set()
