@@ -22,6 +22,7 @@ from ragassay.operators import (
     metrics,
     retrieve,
     sparse,
+    vector_index,
 )
 from ragassay.schemas import METRICS
 from ragassay.sources import fixtures as fx
@@ -353,6 +354,22 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate search, with the share of the exact result that it finds."""
+    live = retrieve.active(fx.documents(spark, sf)).select("doc_id")
+    chunks = retrieve.active(fx.document_chunks(spark, sf)).join(live, "doc_id", "left_semi")
+    index = vector_index.build_index(chunks.select("chunk_id", "doc_id", "embedding"), list_size=64)
+    found = vector_index.approximate_search(index, fx.questions(spark, sf), 5, THRESHOLD)
+    met = vector_index.recall(found, _hits(spark, sf))
+    mean = met.select(F.avg("recall").alias("n"))
+    rows = found.join(met.select("query_id", F.col("recall").alias("query_recall")), "query_id")
+    return fx.with_scalar(rows, mean, "recall").select(
+        *_big("query_id", "rank_no", "chunk_id", "doc_id"),
+        *_rounded("similarity_score", places=6), *_rounded("query_recall", "recall"),
+    )
+
+
 # --- benchmark sets -------------------------------------------------------------------
 
 
