@@ -736,7 +736,8 @@ SQL["hybrid_topk"] = f"""WITH {_bm25("""SELECT c.chunk_id, content FROM fx_docum
                    b.rank_no AS sparse_rank, v.rank_no AS dense_rank,
                    coalesce(1.0::DOUBLE / (b.rank_no + 60), 0) + coalesce(1.0::DOUBLE / (v.rank_no + 60), 0) AS fused_score
             FROM best b FULL JOIN near v ON v.query_id = b.query_id AND v.chunk_id = b.chunk_id)
-        SELECT query_id, chunk_id, sparse_rank, dense_rank, round(fused_score, 9) AS fused_score,
+        SELECT query_id, chunk_id, coalesce(sparse_rank, 0) AS sparse_rank,
+               coalesce(dense_rank, 0) AS dense_rank, round(fused_score, 9) AS fused_score,
                row_number() OVER (PARTITION BY query_id ORDER BY met.fused_score DESC, chunk_id) AS rank_no
         FROM met QUALIFY rank_no <= 5"""
 
