@@ -20,11 +20,13 @@ from ragassay.operators import (
     inference,
     ingest,
     metrics,
+    ranking,
     retrieve,
     sparse,
     vector_index,
 )
 from ragassay.schemas import METRICS
+from ragassay.session import durable
 from ragassay.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -568,6 +570,39 @@ def judge_triad(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(evaluate.judge_triad(blind))
 
 
+@query
+def judge_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(evaluate.judge_similarity(_fetched(spark, sf), hashing_embedder(HASH_DIMENSION)))
+
+
+@query
+def similarity_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """The similarity judge's scores of every job, as metric rows and their averages."""
+    jobs = fx.evaluation_jobs(spark, sf).select("job_id", F.col("inference_run_id").alias("run_id"))
+    judged = evaluate.judge_similarity(_fetched(spark, sf), hashing_embedder(HASH_DIMENSION))
+    rows = evaluate.metric_rows(judged.join(F.broadcast(jobs), "run_id"), arrival=[])
+    table = rows.withColumn("is_deleted", F.lit(False))
+    pivot = metrics.metrics_pivot(
+        table, fx.query_history(spark, sf), fx.golden_mapping(spark, sf), fx.golden_records(spark, sf)
+    )
+    return metrics.metric_averages(pivot, jobs).select(*_big("job_id"), *_rounded("semantic_similarity"))
+
+
+@query
+def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Logged contexts of every run against all active documents that fit the ground truths."""
+    live = retrieve.active(fx.documents(spark, sf)).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    golden_rows = retrieve.active(fx.golden_records(spark, sf))
+    truths = golden_rows.select(F.col("id").alias("truth_id"), "ground_truth")
+    relevant = durable(ranking.relevance(sparse.build_index(live), truths))
+    runs = retrieve.active(fx.run_mapping(spark, sf)).select("run_id", "query_id")
+    links = fx.golden_mapping(spark, sf).select("query_id", F.col("golden_record_id").alias("truth_id"))
+    asked = runs.join(links, "query_id").join(truths.select("truth_id"), "truth_id", "left_semi")
+    ranked = fx.contexts(spark, sf).select("query_id", "rank_no", "chunk_id")
+    found = ranking.run_metrics(ranking.query_metrics(ranked, relevant, asked, k=5))
+    return found.select(*_big("run_id", "n_pairs", "n_judged"), *_rounded("ndcg", "recall", "mrr"))
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """All queries of all runs, judged once per job of the run."""
     jobs = fx.evaluation_jobs(spark, sf).select("job_id", F.col("inference_run_id").alias("run_id"))

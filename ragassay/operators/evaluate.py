@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragassay.functions.aggregates import first_row_per_key
 from ragassay.functions.arrays import exploded
+from ragassay.functions.embedding import Embedder, call_with_retry, hashing_embedder
+from ragassay.functions.numbers import fixed_text
 from ragassay.functions.prompts import judge_context_block
 from ragassay.functions.text import token_set
 from ragassay.operators.retrieve import active
-from ragassay.schemas import CASE1, CASE2, METRIC_CATEGORY, SCORE_DDL
+from ragassay.schemas import CASE1, CASE2, EMBEDDING_BATCH, METRIC_CATEGORY, SCORE_DDL
 
 METRIC_KEY = ["query_id", "evaluation_strategy", "metric_name", "job_id"]
 
@@ -221,6 +225,71 @@ def judged(
     return case1.unionByName(case2)
 
 
+def similarities(embed: Embedder | None = None) -> Callable[[Column, Column], Column]:
+    """Cosine of the vectors of two texts of a row, both embedded in one pass.
+
+    Null where a text is null, or where the model fails for this row alone; a text without
+    a direction has cosine 0.
+    """
+    model = embed or hashing_embedder()
+
+    def cosines(left: list[str], right: list[str]) -> np.ndarray:
+        vectors = call_with_retry(model, left + right, "similarity", attempts=1)
+        one, two = vectors[: len(left)].astype(float), vectors[len(left) :].astype(float)
+        norms = np.linalg.norm(one, axis=1) * np.linalg.norm(two, axis=1)
+        # default vectors have length one up to single precision; others any length
+        scale = np.where(np.abs(norms - 1) < 1e-6, 1.0, np.where(norms == 0, 1.0, norms))
+        return np.einsum("ij,ij->i", one, two) / scale
+
+    def alone(pair: tuple[str, str]) -> float | None:
+        try:
+            return float(cosines([pair[0]], [pair[1]])[0])
+        except Exception:
+            return None
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            pairs = list(zip(left.to_pylist(), right.to_pylist(), strict=True))
+            out: list[float | None] = [None] * len(pairs)
+            whole = [i for i, p in enumerate(pairs) if None not in p]
+            for start in range(0, len(whole), EMBEDDING_BATCH):
+                group = whole[start : start + EMBEDDING_BATCH]
+                texts = [pairs[i] for i in group]
+                try:
+                    found = cosines([p[0] for p in texts], [p[1] for p in texts]).tolist()
+                except Exception:
+                    found = [alone(p) for p in texts]  # one failing text does not take the others with it
+                for i, value in zip(group, found, strict=True):
+                    out[i] = value
+            yield pa.array(out, pa.float64())
+
+    return run
+
+
+def with_similarity(judged: DataFrame, embed: Embedder | None = None) -> DataFrame:
+    """Add the semantic similarity of answer and ground truth to the scores of a row.
+
+    The score is five times the cosine, 0 for a negative one. Rows without a ground truth
+    keep their scores.
+    """
+    rows = judged.withColumn("_cosine", similarities(embed)(F.col("generated_answer"), F.col("ground_truth")))
+    cosine = F.col("_cosine")
+    score = F.struct(
+        F.lit("semantic_similarity").alias("metric_name"),
+        F.round(F.greatest(cosine, F.lit(0.0)) * 5.0, 4).alias("score"),
+        F.concat(F.lit("cosine of answer and ground truth: "), fixed_text(cosine, 4)).alias("reasoning"),
+    )
+    more = F.when(cosine.isNotNull(), F.array(score)).otherwise(F.array().cast(SCORE_DDL))
+    return rows.withColumn("scores", F.concat("scores", more)).drop("_cosine")
+
+
+def judge_similarity(fetched: DataFrame, embed: Embedder | None = None) -> DataFrame:
+    """Similarity judge alone, for queries with a ground truth."""
+    known = fetched.filter("ground_truth IS NOT NULL")
+    return with_similarity(known.withColumn("scores", F.array().cast(SCORE_DDL)), embed)
+
+
 def metric_rows(judged: DataFrame, arrival: list[str]) -> DataFrame:
     """Long metric rows; ``arrival`` keeps the columns that order repeated keys."""
     rows = exploded(judged, "scores", ["job_id", "query_id", "ground_truth", *arrival], "s")

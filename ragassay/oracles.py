@@ -742,6 +742,85 @@ SQL["hybrid_topk"] = f"""WITH {_bm25("""SELECT c.chunk_id, content FROM fx_docum
         FROM met QUALIFY rank_no <= 5"""
 
 
+def _hashed(text: str) -> str:
+    """Per row of st_truths the default vector of a text, 64 wide, as (key, dimension, value)."""
+    return f"""
+        SELECT key, code % 64 AS dimension,
+               CAST(CAST(CAST(sum(sign) AS DOUBLE) / sqrt(sum(CAST(sum(sign) AS DOUBLE) * sum(sign)) OVER (PARTITION BY key))
+                    AS FLOAT) AS DOUBLE) AS value
+        FROM (SELECT key, code, CASE WHEN code >= 2147483648 THEN -1 ELSE 1 END AS sign
+              FROM (SELECT key, CAST(concat('0x', substr(md5(word), 1, 8)) AS BIGINT) AS code
+                    FROM (SELECT key, unnest(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'),
+                                                         lambda w: w <> '')) AS word FROM st_truths)))
+        GROUP BY key, code % 64 HAVING sum(sign) <> 0"""
+
+
+VIEWS["st_truths"] = """
+        SELECT row_number() OVER () AS key, run_id, query_id, generated_answer, ground_truth
+        FROM st_fetched WHERE ground_truth IS NOT NULL"""
+VIEWS["st_similarity"] = f"""
+        SELECT run_id, query_id, coalesce(cosine, 0) AS cosine,
+               round(greatest(coalesce(cosine, 0), 0) * 5, 4) AS score
+        FROM st_truths t LEFT JOIN (
+            SELECT a.key, sum(a.value * g.value) AS cosine
+            FROM ({_hashed("generated_answer")}) a JOIN ({_hashed("ground_truth")}) g
+              ON g.key = a.key AND g.dimension = a.dimension GROUP BY a.key) c ON c.key = t.key"""
+
+SQL["judge_similarity"] = """
+        SELECT run_id, query_id, 'semantic_similarity' AS metric_name, score,
+               concat('cosine of answer and ground truth: ', printf('%.4f', cosine)) AS reasoning
+        FROM st_similarity"""
+
+SQL["similarity_averages"] = """
+        WITH best AS (
+            SELECT job_id, query_id, CAST(max(CAST(score AS DECIMAL(5,4))) AS DOUBLE) AS score
+            FROM st_similarity JOIN fx_evaluation_jobs ON inference_run_id = run_id GROUP BY job_id, query_id),
+        truths AS (
+            SELECT DISTINCT l.query_id, g.ground_truth
+            FROM fx_golden_mapping l LEFT JOIN fx_golden_records g ON g.id = l.golden_record_id AND NOT g.is_deleted)
+        SELECT j.job_id, round(coalesce(avg(score), 0), 9) AS semantic_similarity
+        FROM fx_evaluation_jobs j
+        LEFT JOIN (SELECT b.* FROM best b JOIN fx_query_history h ON h.query_id = b.query_id AND NOT h.is_deleted
+                   LEFT JOIN truths t ON t.query_id = b.query_id) p ON p.job_id = j.job_id
+        GROUP BY j.job_id"""
+
+SQL["ranking_metrics"] = """
+        WITH truth AS (
+            SELECT id AS truth_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(ground_truth, '')),
+                       '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS ws
+            FROM fx_golden_records WHERE NOT is_deleted),
+        held AS (
+            SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'),
+                                                            lambda w: w <> ''))) AS w
+            FROM fx_documents WHERE NOT is_deleted),
+        grades AS (
+            SELECT truth_id, doc_id, least(3, 4 * count(*) // any_value(n)) AS grade
+            FROM (SELECT truth_id, len(ws) AS n, unnest(ws) AS w FROM truth) t JOIN held USING (w)
+            GROUP BY truth_id, doc_id HAVING 4 * count(*) >= any_value(n)),
+        ideal AS (
+            SELECT truth_id, count(*) OVER (PARTITION BY truth_id) AS total,
+                   sum(CASE WHEN no <= 5 THEN (pow(2, grade) - 1) / log2(no + 1) END) OVER (PARTITION BY truth_id) AS best, no
+            FROM (SELECT *, row_number() OVER (PARTITION BY truth_id ORDER BY grade DESC) AS no FROM grades)),
+        asked AS (
+            SELECT run_id, m.query_id, truth_id
+            FROM fx_run_mapping m JOIN fx_golden_mapping l ON l.query_id = m.query_id
+            JOIN truth ON truth_id = golden_record_id WHERE NOT m.is_deleted),
+        met AS (
+            SELECT run_id, a.query_id, a.truth_id, sum((pow(2, grade) - 1) / log2(rank_no + 1)) AS gain,
+                   count(*) AS hits, min(rank_no) AS first
+            FROM asked a JOIN fx_contexts c ON c.query_id = a.query_id AND rank_no <= 5
+            JOIN grades g ON g.truth_id = a.truth_id AND g.doc_id = c.chunk_id GROUP BY ALL),
+        pairs AS (
+            SELECT a.run_id, total, coalesce(gain, 0) / best AS ndcg, coalesce(hits, 0) / total AS recall,
+                   coalesce(1.0::DOUBLE / first, 0) AS reciprocal
+            FROM asked a LEFT JOIN met m ON m.run_id = a.run_id AND m.query_id = a.query_id AND m.truth_id = a.truth_id
+            LEFT JOIN (SELECT * FROM ideal WHERE no = 1) i ON i.truth_id = a.truth_id)
+        SELECT run_id, count(*) AS n_pairs, count(total) AS n_judged,
+               round(avg(CASE WHEN total IS NOT NULL THEN ndcg END), 9) AS ndcg,
+               round(avg(CASE WHEN total IS NOT NULL THEN recall END), 9) AS recall, round(avg(reciprocal), 9) AS mrr
+        FROM pairs GROUP BY run_id"""
+
+
 def _needed(sql: str) -> list[str]:
     """Views a text uses, directly or through other views, in definition order."""
     todo, seen = [sql], set()

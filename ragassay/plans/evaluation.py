@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragassay.functions.embedding import Embedder
 from ragassay.functions.text import stable_id
 from ragassay.operators import evaluate
 from ragassay.session import durable, ship_package
@@ -18,13 +19,15 @@ def evaluate_runs(
     *,
     correctness: evaluate.Scorer | None = None,
     triad: evaluate.Scorer | None = None,
+    similarity: Embedder | None = None,
     model: str | None = None,
     prompt_version: str = "v1.0",
     by: str = "evaluation_pipeline",
 ) -> DataFrame:
     """Evaluate the given runs (all by default), one new job per run.
 
-    Where a judge is not given the lexical default scores instead; without a ``model``
+    With an embedder as ``similarity`` the queries that have a ground truth also get the
+    semantic similarity of their answer to it. Where a judge is not given the lexical default scores instead; without a ``model``
     name the jobs record which of the two ran.
     Returns queries evaluated and scores produced per job; a run without
     queries gets no job. The job rows are published before scoring starts.
@@ -54,6 +57,8 @@ def evaluate_runs(
     base = store.publish(spark, root, base, append={"evaluation_job_history": [job_part]})
 
     judged = evaluate.judged(fetched, correctness, triad)
+    if similarity is not None:
+        judged = evaluate.with_similarity(judged, similarity)
     judged = durable(judged.select("job_id", "query_id", "golden_record_id", "ground_truth", "scores"))
     rows = evaluate.metric_rows(judged, arrival=["golden_record_id"])
     new = evaluate.insert_if_absent(
