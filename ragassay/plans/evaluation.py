@@ -51,7 +51,8 @@ def evaluate_runs(
     job_part = store.write_part(
         evaluate.job_rows(runs, model, prompt_version), root, "evaluation_job_history", by
     )
-    jobs = store.read_part(spark, "evaluation_job_history", job_part)
+    own = spark.createDataFrame([(job_part,)], "load string")
+    jobs = store.read_part(spark, root, "evaluation_job_history", own)
     if jobs.isEmpty():
         return evaluate.job_summary(fetched.withColumn("scores", F.array()))
     base = store.publish(spark, root, base, append={"evaluation_job_history": [job_part]})

@@ -110,7 +110,9 @@ def ingest_documents(
         replace={"topics": [topics_part]},
     )
     counts = (
-        store.read_part(spark, "document_chunks", chunk_part)
+        store.read_part(
+            spark, root, "document_chunks", spark.createDataFrame([(chunk_part,)], "load string")
+        )
         .groupBy("doc_id")
         .agg(F.count("*").alias("n_chunks"))
     )

@@ -1,16 +1,19 @@
-"""A folder of versioned tables.
-
-Data files are written first and never change; a version is a small manifest
-that lists the files of every table and is written last, so a failed job leaves
-nothing visible. Most loads only append. Retiring a document appends its id to
-``retired_documents`` instead of rewriting chunk files: the flag is joined in
-when the tables are read.
+"""Tables of a corpus folder: plain Parquet, partitioned by load.
+
+``root/<table>/load=<id>`` holds the rows of one load and is written once. The small table
+``root/versions``, partitioned by version, says which loads of which tables a version adds,
+and which tables it starts anew; its rows are written last, so that what a failed job has
+left is not seen. Readers join the loads of their version. Most loads only add rows.
+Retiring a document adds its id to ``retired_documents`` instead of rewriting chunk files:
+the flag is joined in when the tables are read. A folder has one writer at a time; a second
+one that starts from the same version is refused.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,35 +23,22 @@ from ragassay.schemas import TABLES
 OWNED_BY_DOCUMENT = ("documents", "document_topics", "document_chunks")
 RETIRED = "retired_documents"
 
-Manifest = dict[str, list[str]]
+_VERSIONS = "table_name string, load string, starts_anew boolean, version int"
 
 
-def _hadoop(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """table_name, load, starts_anew, version: what each version has added."""
+    try:
+        return spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _VERSIONS)
 
 
 def current_version(spark: SparkSession, root: str) -> int:
     """Newest completely written version; 0 for an empty folder."""
-    fs, folder = _hadoop(spark, f"{root}/manifest")
-    if not fs.exists(folder):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    # newest first; a folder without the mark is what a failed writer left
-    for name in sorted((n for n in names if n.startswith("v-")), reverse=True):
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}/_SUCCESS")):
-            return int(name.removeprefix("v-"))
-    return 0
-
-
-def manifest(spark: SparkSession, root: str, version: int) -> Manifest:
-    if version == 0:
-        return {}
-    rows = spark.read.schema("table string, path string").json(f"{root}/manifest/v-{version:08d}")
-    files: Manifest = {}
-    for row in rows.orderBy("table", "path").toLocalIterator():
-        files.setdefault(row.table, []).append(row.path)
-    return files
+    return versions(spark, root).agg(F.max("version")).first()[0] or 0
 
 
 def conform(df: DataFrame, table: str, by: str) -> DataFrame:
@@ -69,16 +59,23 @@ def conform(df: DataFrame, table: str, by: str) -> DataFrame:
 
 
 def write_part(df: DataFrame, root: str, table: str, by: str) -> str:
-    """Write rows as a new part; it stays invisible until a manifest lists it."""
-    path = f"{root}/data/{table}/{uuid.uuid4()}"
-    conform(df, table, by).write.parquet(path)
-    return path
+    """Write rows as a new load; it stays invisible until a version lists it."""
+    load = str(uuid.uuid4())
+    conform(df, table, by).write.parquet(f"{root}/{table}/load={load}")
+    return load
 
 
-def read_part(spark: SparkSession, table: str, *paths: str) -> DataFrame:
-    if not paths:
-        return spark.createDataFrame([], TABLES[table])
-    return spark.read.schema(TABLES[table]).parquet(*paths)
+def read_part(spark: SparkSession, root: str, table: str, loads: DataFrame) -> DataFrame:
+    """Rows of the given loads (column load) of a table."""
+    rows = spark.read.schema(f"{TABLES[table]}, load string").parquet(f"{root}/{table}")
+    return rows.join(loads.select("load"), "load", "left_semi").drop("load")
+
+
+def _loads(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
+    """Loads that make up a table as of a version."""
+    mine = versions(spark, root).filter((F.col("table_name") == table) & (F.col("version") <= version))
+    since = mine.filter("starts_anew").agg(F.max("version")).first()[0] or 0
+    return mine.filter((F.col("version") >= since) & F.col("load").isNotNull()).select("load")
 
 
 def read(
@@ -90,12 +87,17 @@ def read(
     join the documents table anyway, where retired documents drop out.
     """
     at = current_version(spark, root) if version is None else version
-    files = manifest(spark, root, at)
-    rows = read_part(spark, table, *files.get(table, []))
-    if own_flag or table not in OWNED_BY_DOCUMENT or not files.get(RETIRED):
+    loads = _loads(spark, root, table, at)
+    if loads.isEmpty():
+        return spark.createDataFrame([], TABLES[table])
+    rows = read_part(spark, root, table, loads)
+    if own_flag or table not in OWNED_BY_DOCUMENT:
+        return rows
+    retired = _loads(spark, root, RETIRED, at)
+    if retired.isEmpty():
         return rows
     gone = (
-        read_part(spark, RETIRED, *files[RETIRED])
+        read_part(spark, root, RETIRED, retired)
         .groupBy("doc_id")
         .agg(F.min("created_at").alias("_at"), F.min_by("created_by", "created_at").alias("_by"))
     )
@@ -115,7 +117,7 @@ def read(
 
 
 def compact(spark: SparkSession, root: str, by: str = "compaction") -> int:
-    """Fold the retired ids into the files of the tables they concern."""
+    """Fold the retired ids into the rows of the tables they concern."""
     base = current_version(spark, root)
     parts = {
         table: [write_part(read(spark, root, table, base), root, table, by)]
@@ -131,30 +133,17 @@ def publish(
     append: dict[str, list[str]] | None = None,
     replace: dict[str, list[str]] | None = None,
 ) -> int:
-    """Make written parts visible as the version after ``base``.
+    """Make written loads visible as the version after ``base``.
 
-    The manifest is written to a folder of its own and renamed when it is complete.
-    Fails when somebody else published that version meanwhile; what a failed writer
-    left in its place gives way.
+    Tables of ``replace`` start anew with the given loads, which may be none. Fails when
+    somebody else published that version meanwhile.
     """
-    files = manifest(spark, root, base)
-    for table, paths in (append or {}).items():
-        files[table] = files.get(table, []) + paths
-    files.update(replace or {})
-    rows = [(table, path) for table, paths in files.items() for path in paths]
-    listed = spark.createDataFrame(rows, "table string, path string")
+    added = [(table, load, False) for table, loads in (append or {}).items() for load in loads]
+    anew = [(table, load, True) for table, loads in (replace or {}).items() for load in loads or [None]]
     version = base + 1
-    name = f"writing-{uuid.uuid4()}"
-    listed.coalesce(1).write.json(f"{root}/manifest/{name}")
-    fs, made = _hadoop(spark, f"{root}/manifest/{name}")
-    _, place = _hadoop(spark, f"{root}/manifest/v-{version:08d}")
-    _, done = _hadoop(spark, f"{root}/manifest/v-{version:08d}/_SUCCESS")
-    _, inside = _hadoop(spark, f"{root}/manifest/v-{version:08d}/{name}")
-    if fs.exists(place) and not fs.exists(done):
-        fs.delete(place, True)
-    # a rename onto a folder that another writer put there fails or lands inside it
-    taken = fs.exists(place) or not fs.rename(made, place)
-    if taken or fs.exists(inside):
-        fs.delete(inside if fs.exists(inside) else made, True)
+    if current_version(spark, root) >= version:
         raise FileExistsError(f"version {version} was published by somebody else")
+    listed = spark.createDataFrame(added + anew or [(None, None, False)], _VERSIONS.rsplit(",", 1)[0])
+    # a folder without rows is what a failed writer left
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{root}/versions/version={version}")
     return version

@@ -81,7 +81,7 @@ def test_second_version_retires_the_first(spark, loaded):
     assert store.read(spark, root, "document_chunks", 1).filter("NOT is_deleted").count() == before
 
 
-def test_nothing_shows_before_the_manifest(spark, loaded):
+def test_nothing_shows_before_its_version(spark, loaded):
     root, _ = loaded
     version = store.current_version(spark, root)
     before = store.read(spark, root, "topics").count()
@@ -91,22 +91,33 @@ def test_nothing_shows_before_the_manifest(spark, loaded):
         store.publish(spark, root, version - 1, append={})
 
 
-def test_a_torn_manifest_gives_way(spark, folder):
-    torn = f"{folder}/manifest/v-{1:08d}"
-    os.makedirs(torn)
-    with open(f"{torn}/part-0.json", "w") as half:
-        half.write('{"table": "top')
+def test_what_a_failed_writer_left_gives_way(spark, folder):
+    os.makedirs(f"{folder}/versions/version=1/_temporary")
     assert store.current_version(spark, folder) == 0
-    part = store.write_part(spark.createDataFrame([("x", "y")], "topic_id string, topic_name string"), folder, "topics", "t")
-    assert store.publish(spark, folder, 0, append={"topics": [part]}) == 1
+    row = spark.createDataFrame([("x", "y")], "topic_id string, topic_name string")
+    store.write_part(row, folder, "topics", "failed")
+    load = store.write_part(row, folder, "topics", "t")
+    assert store.publish(spark, folder, 0, append={"topics": [load]}) == 1
     assert store.current_version(spark, folder) == 1
-    assert store.read(spark, folder, "topics").count() == 1
+    assert [r.created_by for r in store.read(spark, folder, "topics").collect()] == ["t"]
     # two writers that start from one version: the second one fails and leaves nothing
-    assert store.publish(spark, folder, 1, append={"topics": [part]}) == 2
+    again = store.write_part(row, folder, "topics", "u")
+    assert store.publish(spark, folder, 1, append={"topics": [again]}) == 2
     with pytest.raises(FileExistsError):
-        store.publish(spark, folder, 1, append={"topics": [part]})
-    assert store.read(spark, folder, "topics").count() == 2
-    assert sorted(os.listdir(f"{folder}/manifest")) == ["v-00000001", "v-00000002"]
+        store.publish(spark, folder, 1, append={"topics": [store.write_part(row, folder, "topics", "v")]})
+    assert sorted(r.created_by for r in store.read(spark, folder, "topics").collect()) == ["t", "u"]
+    assert [r.created_by for r in store.read(spark, folder, "topics", 1).collect()] == ["t"]
+    assert sorted(n for n in os.listdir(f"{folder}/versions") if n[0] == "v") == ["version=1", "version=2"]
+
+
+def test_a_table_that_starts_anew(spark, folder):
+    loads = [store.write_part(spark.createDataFrame([(n, n)], "topic_id string, topic_name string"), folder, "topics", "t") for n in "abc"]
+    store.publish(spark, folder, 0, append={"topics": loads[:1]})
+    store.publish(spark, folder, 1, replace={"topics": loads[1:2]})
+    store.publish(spark, folder, 2, append={"topics": loads[2:]})
+    store.publish(spark, folder, 3, replace={"topics": []})
+    names = [sorted(r.topic_id for r in store.read(spark, folder, "topics", v).collect()) for v in range(5)]
+    assert names == [[], ["a"], ["b"], ["b", "c"], []]
 
 
 def test_one_file_twice_in_a_batch(spark, folder):
@@ -280,7 +291,7 @@ def test_compaction_keeps_the_state(spark, loaded):
     before = state()
     store.compact(spark, root)
     assert state() == before
-    assert store.manifest(spark, root, store.current_version(spark, root)).get(store.RETIRED, []) == []
+    assert store.read(spark, root, store.RETIRED).isEmpty()
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
