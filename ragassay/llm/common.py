@@ -35,6 +35,15 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides, for tables that grow with the documents.
+
+    Whether a small input would let one side be sent to every task plays no part: the plan
+    is the same at every size, and a crowded key can be split.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def lower_ascii(text: Column | str) -> Column:
     """Lower-case A-Z only."""
     text = F.col(text) if isinstance(text, str) else text

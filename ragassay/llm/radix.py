@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragassay.llm.common import durable, lower_ascii, texts_of
+from ragassay.llm.common import durable, lower_ascii, sorted_join, texts_of
 
 #: bytes of the first digit; each later digit is so many times longer
 FIRST, GROWTH = 64, 16
@@ -47,7 +47,7 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
             F.max(F.struct("doc_id", "row_id")).alias("best"),
         )
     )
-    split = dealt.join(counts, keys)
+    split = sorted_join(dealt, counts, keys)
     goes_on = (F.col("group_size") > 1) & (F.col("left") > width)
     return split.select(
         "row_id",
@@ -83,7 +83,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     sizes = text.groupBy("digit", "left").agg(F.count(F.lit(1)).alias("n"))
     several = F.coalesce(F.col("n"), F.lit(1))
     first = durable(
-        text.join(durable(sizes.filter("n > 1")), ["digit", "left"], "left").select(
+        sorted_join(text, durable(sizes.filter("n > 1")), ["digit", "left"], "left").select(
             # written with the rows: reads of one table need not be split alike
             F.monotonically_increasing_id().alias("row_id"),
             "doc_id",
