@@ -129,24 +129,6 @@ _LOWER = (
 _BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
 
-def _tree_levels() -> str:
-    """The template tree, one level of it after the other."""
-    steps = []
-    for d in range(urltree.DEPTH):
-        steps.append(f"""
-        n{d} AS (
-            SELECT host, template, count(DISTINCT s{d}) AS children, count(*) AS pages
-            FROM l{d} WHERE s{d} IS NOT NULL GROUP BY host, template),
-        l{d + 1} AS (
-            SELECT page_id, l.host, path, s0, s1, s2, s3, bad,
-                   CASE WHEN s{d} IS NULL THEN parent ELSE l.template END AS parent,
-                   CASE WHEN s{d} IS NULL THEN l.template ELSE concat(l.template, '/',
-                        CASE WHEN children >= {urltree.FAN_OUT} AND children * 2 >= pages THEN '*'
-                             ELSE s{d} END) END AS template
-            FROM l{d} l LEFT JOIN n{d} n ON n.host = l.host AND n.template = l.template)""")
-    return ",".join(steps)
-
-
 def _rules(value: Callable[[str, str, str], str]) -> str:
     cases = []
     for host, path, says in sorted(urltree.RULES, key=lambda r: -len(r[0] + r[1])):
@@ -258,7 +240,7 @@ SQL = {
             FROM l LEFT JOIN dropped x ON x.doc_id = l.doc_id AND x.place = l.place GROUP BY l.doc_id)
         SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM kept""",
     "op8_url_templates": f"""
-        WITH p AS (
+        WITH RECURSIVE p AS (
             SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0
                 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
         h AS (
@@ -267,17 +249,31 @@ SQL = {
                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
         s AS (
             SELECT *, regexp_extract(path, '[0-9]+', 0) AS digits,
-                   [x for x in string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/') if x <> ''] AS parts
-            FROM h),
+                   [x for x in string_split(path, '/') if x <> ''] AS parts FROM h),
         marks AS (
             SELECT doc_id AS number, 1 - min(quality) AS bad FROM labels WHERE quality IN (0, 1)
             GROUP BY doc_id HAVING min(quality) = max(quality)),
-        l0 AS (
-            SELECT page_id, host, path, parts[1] AS s0, parts[2] AS s1, parts[3] AS s2,
-                   CASE WHEN len(parts) >= 4 THEN array_to_string(parts[4:], '/') END AS s3,
-                   bad, '' AS parent, '' AS template
+        marked AS (
+            SELECT page_id, host, path, parts, bad
             FROM s LEFT JOIN marks ON length(digits) BETWEEN 1 AND 18
-                 AND number = TRY_CAST(digits AS BIGINT)),{_tree_levels()},
+                 AND number = TRY_CAST(digits AS BIGINT)),
+        tree AS (
+            SELECT host, parts, 0 AS d, '' AS parent, '' AS template FROM (SELECT DISTINCT host, parts FROM marked)
+            UNION ALL
+            SELECT host, parts, d + 1, template,
+                   concat(template, '/', CASE WHEN rare AND n_rare >= {urltree.FAN_OUT} THEN '*' ELSE child END)
+            FROM (SELECT *, count(DISTINCT CASE WHEN rare THEN child END) OVER (PARTITION BY host, template) AS n_rare
+                  FROM (SELECT *, NOT merged AND count(*) OVER (PARTITION BY host, template, child, merged)
+                                                 <= {urltree.RARE} AS rare
+                        FROM (SELECT *, CASE WHEN merged THEN mask ELSE own END AS child
+                              FROM (SELECT *, mask <> own AND count(DISTINCT own) OVER (PARTITION BY host, template, mask)
+                                                              >= {urltree.SAME_BUT_DIGITS} AS merged
+                                    FROM (SELECT *, parts[d + 1] AS own,
+                                                 regexp_replace(parts[d + 1], '[0-9]+', '*', 'g') AS mask
+                                          FROM tree WHERE len(parts) > d)))))),
+        l4 AS (
+            SELECT page_id, m.host, path, bad, parent, template
+            FROM marked m JOIN tree t ON t.host = m.host AND t.parts = m.parts AND t.d = len(m.parts)),
         own AS (
             SELECT host, parent, template, count(bad) AS tl, coalesce(sum(bad), 0)::DOUBLE AS tb
             FROM l4 GROUP BY ALL),

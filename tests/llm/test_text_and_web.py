@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -245,25 +245,28 @@ def judged(pages, labels, rules=urltree.RULES):
         host = re.match("[^/?#]*", rest)[0]
         path = re.match("[^?#]*", rest[len(host) :])[0]
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-        parts = [p for p in re.sub("[0-9]+", "*", path).split("/") if p]
-        if len(parts) > urltree.DEPTH:
-            parts = parts[: urltree.DEPTH - 1] + ["/".join(parts[urltree.DEPTH - 1 :])]
+        parts = [p for p in path.split("/") if p]
         n = re.search("[0-9]+", path)
         rows.append([i, host, path, parts, bad_of.get(int(n[0])) if n and len(n[0]) <= 18 else None])
-    name = [[] for _ in rows]
-    for d in range(urltree.DEPTH):
+    # the different paths of a node are named together, level by level
+    names, d = {(row[1], tuple(row[3])): () for row in rows}, 0
+    while any(len(parts) > d for _, parts in names):
         nodes = defaultdict(list)
-        for k, row in enumerate(rows):
-            if len(row[3]) > d:
-                nodes[row[1], tuple(name[k])].append(row[3][d])
-        for k, row in enumerate(rows):
-            if len(row[3]) > d:
-                children = nodes[row[1], tuple(name[k])]
-                many = len(set(children)) >= urltree.FAN_OUT and 2 * len(set(children)) >= len(children)
-                row.append("*" if many else row[3][d])
-        for k, row in enumerate(rows):
-            if len(row[3]) > d:
-                name[k] = [*name[k], row.pop()]
+        for (host, parts), name in names.items():
+            if len(parts) > d:
+                nodes[host, name].append((host, parts))
+        for (_, name), paths in nodes.items():
+            own = {p[1][d] for p in paths}
+            mask = lambda x: re.sub("[0-9]+", "*", x)
+            alike = Counter(map(mask, own))
+            child = {x: (mask(x), True) if mask(x) != x and alike[mask(x)] >= 2 else (x, False) for x in own}
+            below = Counter(child[p[1][d]] for p in paths)
+            rare = {c for c, n in below.items() if not c[1] and n <= 2}
+            for p in paths:
+                c = child[p[1][d]]
+                names[p] = (*name, "*" if c in rare and len(rare) >= 8 else c[0])
+        d += 1
+    name = [names[row[1], tuple(row[3])] for row in rows]
 
     def total(key):
         sums = defaultdict(lambda: [0, 0])
@@ -297,6 +300,36 @@ def judged(pages, labels, rules=urltree.RULES):
     return sorted(out, key=str)
 
 
+def templates_of(spark, urls):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    return {r.page_id: r.template for r in urltree.judge(pages, labels).collect()}
+
+
+def test_slugs_beside_large_sections_and_repeated_captures(spark):
+    slugs = [f"http://h.example/item-{c}/z" for c in "abcdefghijklmnop"]
+    noise = [f"http://h.example/{s}/{c}{c}" for s in ("x", "w") for c in "abcdefghijklm"]
+    got = templates_of(spark, slugs + noise)
+    assert {got[i] for i in range(16)} == {"/*/z"}
+    assert {got[i] for i in range(16, 42)} == {"/x/*", "/w/*"}
+    # captures and queries that come again change nothing
+    again = [f"{u}?q={n}" for u in slugs for n in range(7)]
+    more = templates_of(spark, slugs + noise + again)
+    assert {i: more[i] for i in got} == got and {more[i] for i in range(42, len(more))} == {"/*/z"}
+
+
+def test_digits_are_one_kind_of_evidence(spark):
+    urls = ["http://h/v2/a", "http://h/v2/b", "http://g/2021/a", "http://g/2022/a", "http://g/about", *[f"http://g/2021/p-{k}.html" for k in range(3)]]
+    got = templates_of(spark, urls)
+    assert [got[i] for i in range(8)] == ["/v2/a", "/v2/b", "/*/a", "/*/a", "/about", *["/*/p-*.html"] * 3]
+
+
+def test_deep_paths(spark):
+    deep = "/".join(f"s{c}" for c in "abcde" * 60)
+    got = templates_of(spark, [f"http://h/{deep}/{k}/end" for k in range(5)] + [f"http://h/{deep}/x" for _ in range(2)])
+    assert {got[i] for i in range(5)} == {f"/{deep}/*/end"} and got[5] == got[6] == f"/{deep}/x"
+
+
 def test_judge(spark):
     r = random.Random(4)
     pages, labels = [], []
