@@ -12,6 +12,7 @@ from ragassay.functions.arrays import exploded
 from ragassay.functions.embedding import embed_texts, hashing_embedder
 from ragassay.functions.text import name_uuid, preview
 from ragassay.operators import (
+    compare,
     diagnose,
     evaluate,
     export,
@@ -21,7 +22,9 @@ from ragassay.operators import (
     ingest,
     metrics,
     ranking,
+    rerank,
     retrieve,
+    rewriting,
     sparse,
     vector_index,
 )
@@ -356,6 +359,35 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _text_index(spark: SparkSession, sf: str) -> sparse.SparseIndex:
+    return sparse.build_index(retrieve.active(fx.text_chunks(spark, sf)).select("chunk_id", "content"))
+
+
+@query
+def expanded_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark text with five terms of its ten first chunks."""
+    found = rewriting.expanded_search(_text_index(spark, sf), _asked(spark, sf), top_k=5)
+    return found.select(*_big("query_id", "rank_no"), "chunk_id", *_rounded("score", places=8))
+
+
+@query
+def decomposed_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = rewriting.decomposed_search(_text_index(spark, sf), _asked(spark, sf), top_k=5)
+    return found.select(*_big("query_id", "rank_no", "n_parts"), "chunk_id")
+
+
+@query
+def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty chunks of each benchmark text become five."""
+    chunks = retrieve.active(fx.text_chunks(spark, sf)).select("chunk_id", "content")
+    asked = _asked(spark, sf)
+    found = sparse.sparse_search(sparse.build_index(chunks), asked, top_k=20)
+    rows = found.join(asked, "query_id").join(chunks, "chunk_id")
+    return rerank.reranked(rows, top_k=5, most=20).select(
+        *_big("query_id", "rank_no", "first_rank"), "chunk_id", *_rounded("relevance", "value", places=6)
+    )
+
+
 @query
 def ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate search, with the share of the exact result that it finds."""
@@ -664,6 +696,21 @@ def metrics_insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def compare_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every job against job 0 on the queries both have scored, with the report's thresholds."""
+    rows = retrieve.active(fx.evaluation_metrics(spark, sf)).select(
+        F.col("job_id").alias("run_id"), "query_id", "metric_name", F.col("metric_value").alias("value")
+    )
+    least = [("context_relevance", 3.5), ("faithfulness", 4.0), ("answer_relevance", 3.5)]
+    limits = spark.createDataFrame(least, "metric_name string, least double")
+    found = compare.with_thresholds(compare.compare_runs(rows, 0), limits)
+    return found.select(
+        *_big("run_id", "n_pairs"), "metric_name", "verdict",
+        *_rounded("baseline_mean", "run_mean", "difference", "low", "high", "least"),
+    )
+
+
 # --- metrics and diagnosis ------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ import re
 
 from ragassay.functions import prompts
 from ragassay.operators import diagnose as dx
+from ragassay.operators.compare import POISSON
 from ragassay.schemas import METRICS, NO_ANSWER, NO_CONTEXT
 
 VIEWS: dict[str, str] = {
@@ -821,6 +822,73 @@ SQL["ranking_metrics"] = """
         FROM pairs GROUP BY run_id"""
 
 
+SQL["expanded_search"] = f"""WITH {_bm25("SELECT * FROM fx_text_chunks WHERE NOT is_deleted", 10)},
+        gains AS (
+            SELECT query_id, term, sum(CAST(floor(weight * (tf / length) * 1000000) AS BIGINT)) AS gain
+            FROM best JOIN postings USING (chunk_id) JOIN weights USING (term) GROUP BY query_id, term),
+        added AS (
+            SELECT query_id, term FROM gains g
+            WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.query_id = g.query_id AND a.term = g.term)
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, term) <= 5),
+        wider AS (SELECT query_id, term, 4 * times AS times FROM asked UNION ALL SELECT query_id, term, 1 FROM added),
+        again AS (
+            SELECT query_id, chunk_id,
+                   sum(times * CAST(floor(weight * ((tf * 2.2::DOUBLE)
+                       / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (length / mean)))) * 1000000) AS BIGINT)) AS score
+            FROM wider JOIN weights USING (term) JOIN postings USING (term), figures GROUP BY query_id, chunk_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank_no, chunk_id,
+               round(score / 1000000.0::DOUBLE / 4.0::DOUBLE, 8) AS score
+        FROM again QUALIFY rank_no <= 5"""
+
+SQL["decomposed_search"] = f"""WITH {_bm25("SELECT * FROM fx_text_chunks WHERE NOT is_deleted", 10)
+    .replace("asked AS (", "parts AS (SELECT item_id, unnest(string_split_regex(coalesce(text, ''), '[.?!;\\n]+')) AS text, "
+             "unnest(range(len(string_split_regex(coalesce(text, ''), '[.?!;\\n]+')))) AS part FROM benchmark), asked AS (")
+    .replace("SELECT item_id AS query_id,", "SELECT concat(item_id, '#', part) AS query_id,")
+    .replace("AS term FROM benchmark)", "AS term FROM parts)")},
+        shares AS (
+            SELECT CAST(string_split(query_id, '#')[1] AS BIGINT) AS query_id, chunk_id,
+                   sum(CAST(floor(1000000000 / (rank_no + 60)) AS BIGINT)) AS share, count(*) AS n_parts
+            FROM best GROUP BY ALL)
+        SELECT query_id, chunk_id, n_parts,
+               row_number() OVER (PARTITION BY query_id ORDER BY share DESC, chunk_id) AS rank_no
+        FROM shares QUALIFY rank_no <= 5"""
+
+SQL["compare_runs"] = f"""
+        WITH known AS (
+            SELECT job_id AS run_id, query_id, metric_name, CAST(round(metric_value * 10000) AS BIGINT) AS units
+            FROM fx_evaluation_metrics WHERE NOT is_deleted),
+        pairs AS (
+            SELECT k.*, b.units AS base FROM known k JOIN known b
+              ON b.query_id = k.query_id AND b.metric_name = k.metric_name AND b.run_id = 0 WHERE k.run_id <> 0),
+        drawn AS (
+            SELECT *, CASE WHEN replicate = 0 THEN 1 ELSE list_sum([CASE WHEN u >= bound THEN 1 ELSE 0 END
+                                                                   for bound in {POISSON}]) END AS times
+            FROM (SELECT *, CAST('0x' || substr(md5(concat('7:', replicate, ':', query_id)), 1, 8) AS BIGINT) AS u
+                  FROM pairs, range(201) r(replicate))),
+        sums AS (
+            SELECT run_id, metric_name, replicate, sum(times)::BIGINT AS n, sum(times * units)::BIGINT AS run,
+                   sum(times * base)::BIGINT AS base
+            FROM drawn GROUP BY ALL HAVING sum(times) > 0),
+        told AS (
+            SELECT run_id, metric_name, max(n) FILTER (WHERE replicate = 0) AS n_pairs,
+                   max(base / n / 10000) FILTER (WHERE replicate = 0) AS baseline_mean,
+                   max(run / n / 10000) FILTER (WHERE replicate = 0) AS run_mean,
+                   max((run - base) / n / 10000) FILTER (WHERE replicate = 0) AS difference,
+                   list((run - base) / n / 10000 ORDER BY (run - base) / n) FILTER (WHERE replicate > 0) AS d
+            FROM sums GROUP BY ALL),
+        limits(metric_name, least) AS (
+            VALUES ('context_relevance', 3.5::DOUBLE), ('faithfulness', 4.0::DOUBLE), ('answer_relevance', 3.5::DOUBLE)),
+        ends AS (
+            SELECT *, d[CAST(floor(len(d) * 0.025::DOUBLE) AS BIGINT) + 1] AS low,
+                   d[len(d) - CAST(floor(len(d) * 0.025::DOUBLE) AS BIGINT)] AS high FROM told)
+        SELECT run_id, n_pairs, e.metric_name,
+               CASE WHEN run_mean < least THEN 'below' WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse'
+                    ELSE 'same' END AS verdict,
+               round(baseline_mean, 9) AS baseline_mean, round(run_mean, 9) AS run_mean,
+               round(difference, 9) AS difference, round(low, 9) AS low, round(high, 9) AS high, round(least, 9) AS least
+        FROM ends e LEFT JOIN limits l ON l.metric_name = e.metric_name"""
+
+
 def _needed(sql: str) -> list[str]:
     """Views a text uses, directly or through other views, in definition order."""
     todo, seen = [sql], set()

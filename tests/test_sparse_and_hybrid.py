@@ -91,7 +91,7 @@ def test_the_plan_reads_few_folders_and_no_texts(spark, folder):
     chunks, _ = rows_of()
     sparse.build_index(spark.createDataFrame(chunks, "chunk_id bigint, content string"), folder + "/index", 16)
     index = sparse.open_index(spark, folder + "/index")
-    asked = sparse.asked_terms(index, spark.createDataFrame([(1, "the w1")], "query_id bigint, question string"), 5)
+    asked = sparse.asked_terms(index, spark.createDataFrame([(1, "the w1")], "query_id bigint, question string"))
     plan = sparse._of_terms(index, asked)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*bucket[^]]* IN ", plan)
     assert re.search(r"PushedFilters: \[[^]]*In\(term, ", plan)
