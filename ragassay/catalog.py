@@ -20,6 +20,7 @@ from ragassay.operators import (
     hybrid,
     inference,
     ingest,
+    latency,
     metrics,
     ranking,
     rerank,
@@ -523,6 +524,16 @@ def query_latency(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def latency_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of every run, and of all runs together from their merged sketches."""
+    runs = retrieve.active(fx.run_mapping(spark, sf))
+    sketches = durable(latency.run_sketches(runs, retrieve.active(fx.query_history(spark, sf))))
+    own = latency.profile(sketches).withColumn("run_id", F.col("run_id").cast("string"))
+    every = latency.profile(latency.merged(sketches)).withColumn("run_id", F.lit("all"))
+    return own.unionByName(every).select("run_id", *_big("n"), "p50", "p90", "p99", *_rounded("cost", places=6))
+
+
 # --- evaluation -------------------------------------------------------------------------
 
 

@@ -213,17 +213,30 @@ def report_file(dataset_name: Column, job_id: Column) -> Column:
     )
 
 
-def reports(averages: DataFrame, metadata: DataFrame, rules: list[Column]) -> DataFrame:
-    """One report struct per job; jobs without any score above or below zero have none."""
+def reports(
+    averages: DataFrame,
+    metadata: DataFrame,
+    rules: list[Column],
+    measured: DataFrame | None = None,
+) -> DataFrame:
+    """One report struct per job; jobs without any score above or below zero have none.
+
+    With ``measured`` (job_id, latency_seconds, cost_estimate) the summary has these in
+    place of the settings' estimates, which stay where nothing was measured.
+    """
     scored = averages.filter(F.exists(F.array(*METRICS), lambda v: v != 0.0))
     full = diagnosed(overall_quality(scored), rules).join(metadata, "job_id")
+    latency, cost = F.lit(LATENCY_SECONDS), F.lit(COST_ESTIMATE)
+    if measured is not None:
+        full = full.join(measured, "job_id", "left")
+        latency, cost = F.coalesce("latency_seconds", latency), F.coalesce("cost_estimate", cost)
     report = F.struct(
         "setting_id",
         "dataset_name",
         F.struct(
             "quality_score",
-            F.lit(LATENCY_SECONDS).alias("latency_seconds"),
-            F.lit(COST_ESTIMATE).alias("cost_estimate"),
+            latency.alias("latency_seconds"),
+            cost.alias("cost_estimate"),
         ).alias("overall_summary"),
         stage_metrics().alias("stage_metrics"),
         "diagnosis",

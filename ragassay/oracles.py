@@ -889,6 +889,21 @@ SQL["compare_runs"] = f"""
         FROM ends e LEFT JOIN limits l ON l.metric_name = e.metric_name"""
 
 
+SQL["latency_profile"] = """
+        WITH timed AS (
+            SELECT CAST(run_id AS VARCHAR) AS run_id,
+                   CAST(epoch_us(response_time) - epoch_us(query_time) AS DOUBLE) / 1000000 AS latency,
+                   (length(question) * 0.075::DOUBLE + length(generated_answer) * 0.3::DOUBLE) / 1000000 AS cost
+            FROM fx_run_mapping m JOIN fx_query_history h ON h.query_id = m.query_id
+            WHERE NOT m.is_deleted AND NOT h.is_deleted),
+        lists AS (
+            SELECT run_id, list(latency ORDER BY latency) AS l, sum(cost) AS cost FROM timed GROUP BY run_id
+            UNION ALL SELECT 'all', list(latency ORDER BY latency), sum(cost) FROM timed HAVING count(*) > 0)
+        SELECT run_id, len(l)::BIGINT AS n, l[CAST(ceil(len(l) * 0.5::DOUBLE) AS BIGINT)] AS p50,
+               l[CAST(ceil(len(l) * 0.9::DOUBLE) AS BIGINT)] AS p90,
+               l[CAST(ceil(len(l) * 0.99::DOUBLE) AS BIGINT)] AS p99, round(cost, 6) AS cost FROM lists"""
+
+
 def _needed(sql: str) -> list[str]:
     """Views a text uses, directly or through other views, in definition order."""
     todo, seen = [sql], set()

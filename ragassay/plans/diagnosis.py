@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ragassay.operators import diagnose, metrics
+from ragassay.operators import diagnose, latency, metrics
+from ragassay.operators.retrieve import active
 from ragassay.sources import sinks, store
 
 
@@ -28,8 +29,12 @@ def build_reports(
     root: str,
     jobs: DataFrame | None = None,
     rules: list[Column] | None = None,
+    measured: bool = False,
 ) -> DataFrame:
-    """(job_id, report_file, report) for the asked jobs, by default all of them."""
+    """(job_id, report_file, report) for the asked jobs, by default all of them.
+
+    ``measured`` reports the median latency and the cost per query of the job's run.
+    """
     version = store.current_version(spark, root)
     history = store.read(spark, root, "evaluation_job_history", version)
     asked = history if jobs is None else jobs
@@ -41,7 +46,12 @@ def build_reports(
         store.read(spark, root, "golden_records", version),
         asked,
     )
-    return diagnose.reports(averages, metadata, rules or diagnose.standard_rules())
+    times = None
+    if measured:
+        runs = active(store.read(spark, root, "inference_run_query_mapping", version))
+        logged = active(store.read(spark, root, "query_history", version))
+        times = latency.job_latencies(history, latency.run_sketches(runs, logged))
+    return diagnose.reports(averages, metadata, rules or diagnose.standard_rules(), times)
 
 
 def diagnose_jobs(
@@ -50,8 +60,9 @@ def diagnose_jobs(
     folder: str,
     jobs: DataFrame | None = None,
     rules: list[Column] | None = None,
+    measured: bool = False,
 ) -> DataFrame:
     """Write the reports as JSON documents and return them."""
-    reports = build_reports(spark, root, jobs, rules)
+    reports = build_reports(spark, root, jobs, rules, measured)
     sinks.write_reports(reports, folder)
     return reports

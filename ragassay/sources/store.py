@@ -58,10 +58,13 @@ def conform(df: DataFrame, table: str, by: str) -> DataFrame:
     return df.select(*columns)
 
 
-def write_part(df: DataFrame, root: str, table: str, by: str) -> str:
-    """Write rows as a new load; it stays invisible until a version lists it."""
-    load = str(uuid.uuid4())
-    conform(df, table, by).write.parquet(f"{root}/{table}/load={load}")
+def write_part(df: DataFrame, root: str, table: str, by: str, load: str | None = None) -> str:
+    """Write rows as a load; it stays invisible until a version lists it.
+
+    A load with a given name overwrites what an earlier try has left of it.
+    """
+    load = load or str(uuid.uuid4())
+    conform(df, table, by).write.mode("overwrite").parquet(f"{root}/{table}/load={load}")
     return load
 
 
