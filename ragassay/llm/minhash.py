@@ -31,7 +31,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragassay.llm.common import durable, gram_hashes, map_rows, mix, span_hashes, texts_of, words
+from ragassay.llm.common import (
+    durable,
+    gram_hashes,
+    map_rows,
+    mix,
+    sorted_join,
+    span_hashes,
+    texts_of,
+    words,
+)
 from ragassay.llm.components import components
 
 SIZE, ROWS = 128, 4
@@ -107,8 +116,8 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
 def candidate_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """sig, elements of the classes in members, from the documents that stand for them."""
     ids = members.select(F.col("class_id").alias("__id")).distinct()
-    wanted = docs.select("doc_id", "text").join(
-        ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi"
+    wanted = sorted_join(
+        docs.select("doc_id", "text"), ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi"
     )
     # rows of one class, or of one doc_id, may come more than once
     return whole_sets(wanted, k).groupBy("sig").agg(F.first("elements").alias("elements"))
@@ -117,17 +126,16 @@ def candidate_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
 def own_shingles(sets: DataFrame) -> DataFrame:
     """sig, own: the number of elements that are in no other of the sets.
 
-    sets must be a written table, as it is numbered and read twice.
+    sets is a written table with a number for each row: reads of it need not be split alike.
     """
-    numbered = sets.withColumn("no", F.monotonically_increasing_id())
     once = (
-        numbered.select("no", F.explode("elements").alias("element"))
+        sets.select("no", F.explode("elements").alias("element"))
         .groupBy("element")
         .agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("no"))
         .filter("n = 1")
     )
     own = once.groupBy("no").agg(F.count(F.lit(1)).alias("own"))
-    return numbered.select("no", "sig").join(own, "no", "left").select(
+    return sets.select("no", "sig").join(own, "no", "left").select(
         "sig", F.coalesce("own", F.lit(0)).alias("own")
     )
 
@@ -138,7 +146,7 @@ def _compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     right = sets.select(F.col("sig").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     near = F.size("x") + F.size("y")
-    return durable(pairs).join(left, "a").join(right, "b").select(
+    return sorted_join(sorted_join(durable(pairs), left, "a"), right, "b").select(
         "a", "b", both.alias("both"), near.alias("total")
     )
 
@@ -181,7 +189,7 @@ def _all_open(members: DataFrame, percent: int) -> DataFrame:
         F.slice("o.bands", F.lit(1), F.col("band")),
         lambda x, y: x == y,
     )
-    met = members.join(other, ["band", "key"]).filter(
+    met = sorted_join(members, other, ["band", "key"]).filter(
         (F.col("label") < F.col("o.label"))
         & (shared * 100 >= (F.col("n") + F.col("o.n") - shared) * percent)
         & ~F.array_contains(earlier, True)
@@ -218,8 +226,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     members = classes.select("sig", "class_id", "n", F.posexplode("bands").alias("band", "key"))
     # a written table on one side of a join lets Spark split the crowded keys of the other
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = durable(members.join(durable(crowded), ["band", "key"]).drop("size"))
-    sets = durable(candidate_sets(docs, members, shingle))
+    members = durable(sorted_join(members, durable(crowded), ["band", "key"]).drop("size"))
+    numbered = candidate_sets(docs, members, shingle).withColumn("no", F.monotonically_increasing_id())
+    sets = durable(numbered)
     able = durable(own_shingles(sets))
     members = members.join(able, "sig").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
     led = durable(_with_leader(members.drop("class_id").withColumn("label", F.col("sig"))))
@@ -227,7 +236,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     compared = durable(_compared(sets, tests.distinct()))
     links = _links(compared, percent)
     still = _open(_with_overlap(led, compared), components(links))
-    still = durable(still.join(classes.select("sig", "bands"), "sig"))
+    still = durable(sorted_join(still, classes.select("sig", "bands"), "sig"))
     links = links.union(durable(_links(_compared(sets, _all_open(still, percent)), percent)))
     labels = components(links)
     known = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
@@ -248,4 +257,4 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but the first document of each group."""
     kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__doc_id"]), "left_semi")
+    return sorted_join(docs, kept, docs["doc_id"].eqNullSafe(kept["__doc_id"]), "left_semi")
