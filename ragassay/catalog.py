@@ -12,6 +12,7 @@ from ragassay.functions.arrays import exploded
 from ragassay.functions.embedding import embed_texts, hashing_embedder
 from ragassay.functions.text import name_uuid, preview
 from ragassay.operators import (
+    chunkers,
     compare,
     diagnose,
     evaluate,
@@ -111,6 +112,21 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *_big("chunk_index"), "content", "chunking_strategy", "metadata")
 
 
+@query
+def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of all documents, which get headings for the purpose."""
+    found = chunkers.document_sections(fx.marked_documents(spark, sf))
+    return found.select(
+        "doc_id", "section_no", F.array_join("path", " > ").alias("heading_path"), F.md5("content").alias("content_md5")
+    )
+
+
+@query
+def chunk_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    found = chunkers.chunk_semantic(fx.documents(spark, sf).select("doc_id", "text"), hashing_embedder(HASH_DIMENSION))
+    return found.select("doc_id", "chunk_index", "content")
+
+
 @query
 def embed_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Default embedder over every chunk; one row per dimension a text uses."""

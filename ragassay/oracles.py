@@ -904,6 +904,48 @@ SQL["latency_profile"] = """
                l[CAST(ceil(len(l) * 0.99::DOUBLE) AS BIGINT)] AS p99, round(cost, 6) AS cost FROM lists"""
 
 
+SQL["chunk_sections"] = """
+        WITH marked AS (
+            SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i:
+                       CASE WHEN (i - 1) % 7 = 0 THEN concat('# Part ', i, chr(10), x)
+                            WHEN (i - 1) % 7 = 3 THEN concat('## Section ', i, ' ##', chr(10), x)
+                            WHEN (i - 1) % 7 = 4 THEN concat('1.2.3 Detail ', i, chr(10), x) ELSE x END) AS ls
+            FROM fx_documents WHERE text IS NOT NULL),
+        texts AS (SELECT doc_id, string_split(array_to_string(ls, chr(10)), chr(10)) AS ls FROM marked),
+        lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM texts),
+        bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM lines),
+        told AS (
+            SELECT *, CASE WHEN regexp_full_match(t, '#{1,6}[ \\t]+\\S.*') THEN 1
+                           WHEN regexp_full_match(t, '[0-9]{1,3}(\\.[0-9]{1,3}){0,5}\\.?[ \\t]+\\S.*') THEN 2 END AS kind
+            FROM bare),
+        titled AS (
+            SELECT *, CASE kind WHEN 1 THEN rtrim(regexp_extract(t, '^#{1,6}[ \\t]+(\\S.*)$', 1), '# ' || chr(9))
+                                WHEN 2 THEN regexp_extract(t, '^[0-9]{1,3}(\\.[0-9]{1,3}){0,5}\\.?[ \\t]+(\\S.*)$', 2) END AS title
+            FROM told),
+        levels AS (
+            SELECT *, CASE WHEN kind = 1 AND title <> '' THEN length(regexp_extract(t, '^#+'))
+                           WHEN kind = 2 AND length(title) <= 80 AND NOT regexp_matches(title, '[.!?;,:]$')
+                           THEN 1 + length(replace(regexp_extract(t, '^[0-9]{1,3}(\\.[0-9]{1,3}){0,5}'), '.', '..'))
+                                - length(regexp_extract(t, '^[0-9]{1,3}(\\.[0-9]{1,3}){0,5}')) END AS level
+            FROM titled),
+        placed AS (
+            SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY no) AS part FROM levels),
+        headings AS (SELECT doc_id, part, level, title FROM placed WHERE level IS NOT NULL),
+        bodies AS (
+            SELECT doc_id, part, string_agg(line, chr(10) ORDER BY no) AS body
+            FROM placed WHERE level IS NULL GROUP BY doc_id, part),
+        paths AS (
+            SELECT b.doc_id, b.part, string_agg(h.title, ' > ' ORDER BY h.part) AS path
+            FROM bodies b JOIN headings h ON h.doc_id = b.doc_id AND h.part <= b.part
+            WHERE NOT EXISTS (SELECT 1 FROM headings k WHERE k.doc_id = h.doc_id AND k.part > h.part
+                              AND k.part <= b.part AND k.level <= h.level)
+            GROUP BY b.doc_id, b.part)
+        SELECT b.doc_id, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.part) - 1 AS section_no,
+               coalesce(path, '') AS heading_path, md5(body) AS content_md5
+        FROM bodies b LEFT JOIN paths p ON p.doc_id = b.doc_id AND p.part = b.part
+        WHERE regexp_matches(body, '[^\\s\\p{Z}]')"""
+
+
 def _needed(sql: str) -> list[str]:
     """Views a text uses, directly or through other views, in definition order."""
     todo, seen = [sql], set()

@@ -108,6 +108,22 @@ def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def marked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with headings of three levels in front of some of their lines."""
+
+    def marked(line: Column, i: Column) -> Column:
+        number = (i + 1).cast("string")
+        return (
+            F.when(i % 7 == 0, F.concat(F.lit("# Part "), number, F.lit("\n"), line))
+            .when(i % 7 == 3, F.concat(F.lit("## Section "), number, F.lit(" ##\n"), line))
+            .when(i % 7 == 4, F.concat(F.lit("1.2.3 Detail "), number, F.lit("\n"), line))
+            .otherwise(line)
+        )
+
+    lines = F.transform(F.split("text", "\n"), marked)
+    return documents(spark, sf).select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item as a question with its vector."""
     items = table(spark, sf, "benchmark")
