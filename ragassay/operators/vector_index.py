@@ -99,6 +99,9 @@ class Quantiser:
         return np.argsort(half - questions @ self.centres.T, axis=1, kind="stable")[:, :n]
 
 
+_FITTED = "name string, n_probes int, schema string, shape array<int>, values array<double>"
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     folder: str
@@ -200,10 +203,21 @@ def build_index(
     )
     placed = known.mapInArrow(coded, schema)
     placed = placed.repartitionByRange("list", F.xxhash64("chunk_id")).sortWithinPartitions("list", "chunk_id")
-    placed.write.partitionBy("list").parquet(f"{folder}/lists")
+    placed.write.mode("overwrite").partitionBy("list").parquet(f"{folder}/lists")
     n_probes = _needed_probes(unit, quantiser, k, target) if len(unit) else 1
-    vectors = spark.read.schema(schema).parquet(f"{folder}/lists")
-    return VectorIndex(folder, vectors, quantiser, n_probes)
+    # written last: what is open has all its lists
+    parts = [("centres", quantiser.centres), ("books", quantiser.books)]
+    rows = [(name, n_probes, schema, list(a.shape), a.ravel().tolist()) for name, a in parts]
+    spark.createDataFrame(rows, _FITTED).write.mode("overwrite").parquet(f"{folder}/fitted")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> VectorIndex:
+    """An index that build_index has written."""
+    rows = {r["name"]: r for r in spark.read.schema(_FITTED).parquet(f"{folder}/fitted").collect()}
+    centres, books = (np.array(rows[n]["values"]).reshape(rows[n]["shape"]) for n in ("centres", "books"))
+    vectors = spark.read.schema(rows["centres"]["schema"]).parquet(f"{folder}/lists")
+    return VectorIndex(folder, vectors, Quantiser(centres, books), rows["centres"]["n_probes"])
 
 
 def _candidates(index: VectorIndex, ids: pa.Array, unit: np.ndarray, keep: int, n_probes: int) -> DataFrame:

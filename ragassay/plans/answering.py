@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragassay.functions.embedding import Embedder, embed_texts
 from ragassay.functions.text import stable_id
-from ragassay.operators import inference, retrieve
+from ragassay.operators import hybrid, inference, retrieve, sparse, vector_index
 from ragassay.schemas import SIMILARITY_THRESHOLD, TOP_K
 from ragassay.session import durable, ship_package
 from ragassay.sources import store
@@ -27,6 +28,58 @@ def _clock() -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=millis / 1000)
 
 
+#: ways to search: all vectors, words, both, near vectors only
+INDEXING = ("exact_scan", "bm25", "hybrid", "ivf")
+#: length of the lists that are fused, as a multiple of the wanted chunks
+FUSED = 4
+
+
+def _index(spark: SparkSession, folder: str, module, live: DataFrame):
+    """The index in a folder; it is built for the first search of a version."""
+    try:
+        return module.open_index(spark, folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return module.build_index(live, folder)
+
+
+def indexed_hits(
+    spark: SparkSession,
+    root: str,
+    version: int,
+    asked: DataFrame,
+    chunks: DataFrame,
+    indexing: str,
+    top_k: int,
+    threshold: float,
+) -> DataFrame:
+    """Hits (query_id, rank_no, chunk_id, doc_id, similarity_score) through the indexes of a
+    version, which are kept below root. The score is that of the search that ranked."""
+    if {"top_k", "similarity_threshold", "topic_filters"} & set(asked.columns):
+        raise ValueError("overrides per question need the exact search")
+    documents = retrieve.active(store.read(spark, root, "documents", version)).select("doc_id")
+    live = retrieve.active(chunks).join(documents, "doc_id", "left_semi")
+
+    def dense(k: int) -> DataFrame:
+        folder = f"{root}/indexes/ivf/v{version}"
+        index = _index(spark, folder, vector_index, live.select("chunk_id", "doc_id", "embedding"))
+        return vector_index.approximate_search(index, asked, k, threshold)
+
+    if indexing == "ivf":
+        return dense(top_k)
+    folder = f"{root}/indexes/bm25/v{version}"
+    index = _index(spark, folder, sparse, live.select("chunk_id", "content"))
+    if indexing == "bm25":
+        found = sparse.sparse_search(index, asked, top_k).withColumnRenamed("score", "similarity_score")
+    else:
+        by_words = sparse.sparse_search(index, asked, FUSED * top_k)
+        found = hybrid.fused(by_words, dense(FUSED * top_k), top_k)
+        found = found.withColumnRenamed("fused_score", "similarity_score")
+    found = durable(found.select("query_id", "rank_no", "chunk_id", "similarity_score"))
+    return live.select("chunk_id", "doc_id").join(found, "chunk_id")
+
+
 def answer_questions(
     spark: SparkSession,
     root: str,
@@ -37,9 +90,12 @@ def answer_questions(
     answer=None,
     top_k: int = TOP_K,
     threshold: float = SIMILARITY_THRESHOLD,
+    indexing: str = INDEXING[0],
 ) -> DataFrame:
     """Contexts and answers for questions (query_id, question, optional overrides).
 
+    ``indexing`` chooses the search; the threshold holds for vectors.
+
     ``query_time`` is the moment a question was embedded, ``response_time`` the moment
     its answer was made.
     """
@@ -48,15 +104,20 @@ def answer_questions(
     chunks = store.read(spark, root, "document_chunks", version, own_flag=True).withColumnRenamed(
         "id", "chunk_id"
     )
-    hits = retrieve.semantic_search(
-        embedded,
-        chunks,
-        store.read(spark, root, "documents", version),
-        store.read(spark, root, "document_topics", version),
-        store.read(spark, root, "topics", version),
-        top_k=top_k,
-        threshold=threshold,
-    )
+    if indexing not in INDEXING:
+        raise ValueError(f"indexing is one of {', '.join(INDEXING)}")
+    if indexing != "exact_scan":
+        hits = indexed_hits(spark, root, version, embedded, chunks, indexing, top_k, threshold)
+    else:
+        hits = retrieve.semantic_search(
+            embedded,
+            chunks,
+            store.read(spark, root, "documents", version),
+            store.read(spark, root, "document_topics", version),
+            store.read(spark, root, "topics", version),
+            top_k=top_k,
+            threshold=threshold,
+        )
     texts = chunks.select("chunk_id", "content", "metadata")
     context = F.struct(
         "doc_id", "chunk_id", F.col("content").alias("text"), "similarity_score", "metadata"
@@ -103,7 +164,7 @@ def run_inference(
     )
     settings = {
         "chunking_config": "default",
-        "indexing_config": "exact_scan",
+        "indexing_config": options.get("indexing", INDEXING[0]),
         "reranking_config": "none",
         "prompting_config": "standard_rag",
         "generation_config": "extractive",
