@@ -6,10 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -48,6 +52,23 @@ def durable(df: DataFrame) -> DataFrame:
     of embedding, generating or judging again, and readers take the columns
     they need.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/ragassay/{uuid.uuid4()}"
+    folder = _scratch.get() or f"{checkpoint_folder(df.sparkSession)}/ragassay"
+    path = f"{folder}/{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it intermediate tables go to a folder of their own, deleted at its end.
+
+    Write a result inside: what is left of it as a plan reads tables that are gone after.
+    """
+    folder = f"{checkpoint_folder(spark)}/ragassay/{uuid.uuid4()}"
+    before = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
