@@ -205,7 +205,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model does not reject, columns unchanged."""
+    """The rows of docs that the model does not reject, columns unchanged.
+
+    Null and empty texts have the score of a text without features; a score of one half
+    stays; repeated rows stay or go alike. An empty table gives an empty result.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
