@@ -608,6 +608,24 @@ def judge_context_block(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _failing_judge(question: str, *rest: str) -> list[tuple[str, float, str]]:
+    """A model that cannot cope with every third length of a question."""
+    if len(question) % 3 == 0:
+        raise ValueError("no answer from the model")
+    return [("correctness", 1.0, "")]
+
+
+@query
+def judge_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """A failing judge call costs its own query the scores, no other one."""
+    fetched = _fetched(spark, sf, _history(spark, sf)).withColumnRenamed("run_id", "job_id")
+    judged = evaluate.judged(fetched, _failing_judge, _failing_judge)
+    return evaluate.job_summary(judged).select(
+        F.col("job_id").cast("bigint").alias("run_id"),
+        *_big("total_queries_evaluated", "metrics_generated", "failed"),
+    )
+
+
 def _scores(judged: DataFrame) -> DataFrame:
     return exploded(judged, "scores", ["run_id", "query_id"], "s").select(
         *_big("run_id", "query_id"),

@@ -946,6 +946,13 @@ SQL["chunk_sections"] = """
         WHERE regexp_matches(body, '[^\\s\\p{Z}]')"""
 
 
+SQL["judge_failures"] = """
+        SELECT run_id, count(*) AS total_queries_evaluated,
+               count(*) FILTER (WHERE length(question) % 3 <> 0) AS metrics_generated,
+               count(*) FILTER (WHERE length(question) % 3 = 0) AS failed
+        FROM st_fetched GROUP BY run_id"""
+
+
 def _needed(sql: str) -> list[str]:
     """Views a text uses, directly or through other views, in definition order."""
     todo, seen = [sql], set()
