@@ -684,7 +684,8 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """All queries of all runs, judged once per job of the run."""
     jobs = fx.evaluation_jobs(spark, sf).select("job_id", F.col("inference_run_id").alias("run_id"))
     judged = evaluate.default_judges(_fetched(spark, sf, _history(spark, sf)))
-    return judged.join(jobs, "run_id")
+    # eight jobs at most; the texts have done their part
+    return judged.select("run_id", "query_id", "ground_truth", "scores").join(F.broadcast(jobs), "run_id")
 
 
 @query
