@@ -172,3 +172,39 @@ def test_plan_is_best_fit_over_counts():
                 at += length
             assert at <= capacity
         assert len(fill) == best_fit(lengths.tolist(), capacity)
+
+
+def test_the_fit_against_an_independent_solver():
+    """Dense features, the dual problem by projected gradient steps."""
+    r = np.random.default_rng(3)
+    size, n = 60, 90
+    labels = np.where(r.random(n) < 0.4, 1.0, -1.0)
+    lean = np.where(r.random(size) < 0.5, 0.25, 0.1)
+    there = np.array([r.random(size) < np.where(y > 0, lean, 0.35 - lean) for y in labels])
+    rows = [np.flatnonzero(x) for x in there]
+    model = nbsvm.fit(rows, labels, np.ones(n))
+    shares = []
+    for y in (1, -1):
+        counts = np.ones(nbsvm.SIZE)
+        counts[:size] += there[labels == y].sum(axis=0)
+        shares.append(counts / counts.sum())
+    ratio = np.log(shares[0] / shares[1])[:size]
+    dense = there * ratio
+    dense = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-6)
+    dense = np.hstack([dense, np.ones((n, 1))])
+    signed = dense * labels[:, None]
+    dual, kernel = np.zeros(n), signed @ signed.T
+    step = 1 / np.linalg.norm(kernel, 2)
+    for _ in range(60_000):
+        dual = np.clip(dual - step * (kernel @ dual - 1), 0, nbsvm.PENALTY)
+    weight = signed.T @ dual
+
+    def loss(margins, squared):
+        return 0.5 * squared + nbsvm.PENALTY * np.maximum(0, 1 - labels * margins).sum()
+
+    scale = np.where(ratio == 0, 1, ratio)
+    own = np.append(model.weight[:size] / scale, model.bias)
+    margins = np.array([model.margin(x) for x in rows])
+    best = loss(dense @ weight, weight @ weight)
+    assert best <= loss(margins, own @ own) <= 1.02 * best
+    assert np.allclose(margins, dense @ weight, atol=0.1)
