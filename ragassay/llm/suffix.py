@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragassay.llm.common import durable, map_rows, span_hashes, texts_of, words
+from ragassay.llm.common import durable, map_rows, sorted_join, span_hashes, texts_of, words
 from ragassay.llm.repeats import anchors, merged
 
 GRAM = 10
@@ -134,7 +134,8 @@ def _window_hashes(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
         F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "ranges"
     )
     rows = _versioned(docs)
-    rows = rows.join(
+    rows = sorted_join(
+        rows,
         wanted,
         rows["doc_id"].eqNullSafe(wanted["__id"]) & (rows["version"] == wanted["__version"]),
     ).select("doc_id", "version", "text", "ranges")
@@ -177,7 +178,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct("doc_id", "version", "start")).alias("first"),
     )
-    later = windows.join(durable(firsts.filter("n > 1")), ["anchor", "window"]).filter(
+    later = sorted_join(windows, durable(firsts.filter("n > 1")), ["anchor", "window"]).filter(
         F.struct("doc_id", "version", "start") > F.col("first")
     )
     spans = compared.filter("whole").select(
@@ -237,7 +238,8 @@ def replace_texts(
         F.col("doc_id").alias("__of"),
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__hash"),
     )
-    joined = rows.join(
+    joined = sorted_join(
+        rows,
         marks,
         rows["__of"].eqNullSafe(marks["__id"]) & (rows["__hash"] == marks["__version"]),
         "left",
