@@ -232,7 +232,10 @@ SQL = {
         later AS (
             SELECT doc_id, no FROM runs WHERE c IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, no) > 1),
-        gone AS (SELECT DISTINCT doc_id, no + k AS no FROM later, range(3) r(k)),
+        alone AS (
+            SELECT doc_id, no FROM ink WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {winnow.WORDS}
+            QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, no) > 1),
+        gone AS (SELECT DISTINCT doc_id, no + k AS no FROM later, range(3) r(k) UNION SELECT doc_id, no FROM alone),
         dropped AS (SELECT doc_id, place FROM ink JOIN gone USING (doc_id, no)),
         kept AS (
             SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.place)

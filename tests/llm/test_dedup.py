@@ -189,26 +189,33 @@ def test_cut_passages(make, corpus, odd):
     assert all(r.n_chars == len(r.text) for r in got if r.text)
 
 
-def kept_lines(ordered, least):
+def kept_lines(ordered, least, words=None):
     lines = [[(n, x) for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\v\f\r")] for _, t, _ in ordered]
     gone = [set() for _ in ordered]
     for at, s in later_windows([[x for _, x in doc] for doc in lines], least):
         gone[at].update(lines[at][s + k][0] for k in range(least))
+    seen = set()
+    for at, doc in enumerate(lines):
+        for n, x in doc:
+            if words is not None and x in seen and len(WORD.findall(x)) >= words:
+                gone[at].add(n)
+            seen.add(x)
     return {
         (i, v): "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[at])
         for at, (i, t, v) in enumerate(ordered)
     }
 
 
-@pytest.mark.parametrize("least", [2, 3, 5])
-def test_drop_lines(spark, make, corpus, odd, least):
+@pytest.mark.parametrize("least, words", [(2, None), (3, 5), (3, 2), (5, None)])
+def test_drop_lines(spark, make, corpus, odd, least, words):
     runs = [(500, "x\n" * 9), (501, "x\n\nx\ny\n x"), (502, "\n\n"), (503, "x\nx\nx")]
+    runs += [(504, "a b c d e\nq"), (505, "z\na b c d e"), (506, "a b c d e \n a b c d e\na b c d\na b c d"), (507, "\ta b\na b\na b")]
     rows = corpus + odd + runs
     ordered = in_order(spark, rows)
-    want = kept_lines(ordered, least)
+    want = kept_lines(ordered, least, words)
     version = {(i, t): v for i, t, v in ordered}
     docs = make(rows)
-    got = winnow.drop_lines(docs, least).collect()
+    got = winnow.drop_lines(docs, least, words).collect()
     assert sorted((low(r.doc_id), r.text or "") for r in got) == sorted(
         (low(i), want[i, version[i, t or ""]]) for i, t in rows
     )

@@ -26,7 +26,7 @@ def test_stages(spark, sf):
             model = nbsvm.train(before, spark.read.parquet(f"{sf}/labels.parquet"))
             assert left == [(i, t) for i, t in rows if model.score(nbsvm.features(t)) >= 0.5]
         if name == "line_dedup":
-            assert left == sorted((i, t) for (i, _), t in kept_lines(in_order(spark, rows), 3).items())
+            assert left == sorted((i, t) for (i, _), t in kept_lines(in_order(spark, rows), 3, 5).items())
         if name == "near_dedup":
             groups = {i: c for i, _, c in near(rows, 5)}
             assert left == [(i, t) for i, t in rows if groups[i] == i]
