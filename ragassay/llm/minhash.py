@@ -255,6 +255,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but the first document of each group."""
+    """The rows of docs without all but the first document of each group.
+
+    Columns are unchanged. Null and empty texts and texts without words are alone and stay;
+    rows that repeat a doc_id stay or go together; of equal texts the smallest doc_id stays,
+    a null doc_id only if its group has no other. An empty table gives an empty result.
+    """
     kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("__doc_id")).distinct()
     return sorted_join(docs, kept, docs["doc_id"].eqNullSafe(kept["__doc_id"]), "left_semi")
