@@ -8,10 +8,11 @@ seed, the document, the stretch, its place and the candidate's three borders. A
 merge makes new candidates with new borders. Every occurrence is drawn on its own, all
 of them decode to the same text, and a run can be repeated to the last id.
 
-Work is shared only where the same candidates are skipped: what a stretch is cut into
-then, and which candidates it meets, is remembered in the worker, up to REMEMBERED
-entries. The agendas of all new entries go on at once, one merge each per step; long
-stretches have a heap of their own.
+What a stretch is cut into when nothing is skipped, and which candidates it meets then, is
+remembered in the worker, up to REMEMBERED bytes. An occurrence in which none of these
+candidates is skipped is cut like that; the agendas of all others, and of stretches that
+are new, go on at once: a row for each, one merge per step. Long stretches have a heap of
+their own.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame
 
 from ragassay.llm.common import mix, texts_of
 
-REMEMBERED = 1_000_000
+REMEMBERED = 40_000_000
 LONG = 64  # characters of a stretch that gets its own heap
-#: characters whose agendas go on at once; places of symbols have 22 bits
-TOGETHER = 1_000_000
+#: widths of the rows in which short stretches are merged, and cells merged at once
+WIDTHS = np.array([4, 6, 8, 10, 12, 16, 24, 32, 48, LONG])
+CELLS = 1 << 16
 SLICE = 100_000  # stretches drawn at once
-BITS = 62  # candidates of an entry whose skips are looked up
-_NEVER = np.int64(1 << 40)
+SLOTS = 20  # bits of the hash of a pair
+#: stands for a U+2581 of the text, which blanks become; no text holds it
+_MARK = "\ud800"
 
 
 class Vocabulary:
@@ -67,20 +70,45 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs[left, right] = (best[i], i)
         self.pairs = pairs
-        keys = np.array([a << 20 | b for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ranks = np.array([r for r, _ in pairs.values()], np.int64)[order]
-        self.merged = np.array([i for _, i in pairs.values()], np.int64)[order]
-        self.known = frozenset(name for name in self.ids if len(name) == 1)
+        self.keys = np.array([a << 20 | b for a, b in pairs], np.int64)
+        kind = np.int16 if n < 1 << 15 else np.int32  # small numbers are moved faster
+        self.never = kind(np.iinfo(kind).max)
+        self.ranks = np.array([r for r, _ in pairs.values()], kind)
+        self.piece_of_rank = np.array(sorted(normal, key=lambda i: (-model.get_score(i), i)), kind)
+        # pairs by hash: the first of each slot, then the next with that hash
+        self.first, self.next = np.full(1 << SLOTS, -1, np.int32), np.full(len(pairs), -1, np.int32)
+        slots = self._slot(self.keys)
+        order = np.argsort(slots, kind="stable")
+        same = slots[order[1:]] == slots[order[:-1]]
+        self.next[order[:-1][same]] = order[1:][same]
+        self.first[slots[order[np.concatenate(([True], ~same))[: len(order)]]]] = order[np.concatenate(([True], ~same))[: len(order)]]
+        self.symbols = np.full(0x110000, -1, kind)  # by code point
+        for name, i in self.ids.items():
+            if len(name) == 1:
+                self.symbols[ord(name)] = i
         self.fallback: dict[str, list[int]] = {}
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Number of each pair of symbols among those that form a piece, or -1."""
+        wanted = left.astype(np.int64) << 20 | right
+        found = self.first[self._slot(wanted)]
+        open_ = np.flatnonzero(found >= 0)
+        while len(open_):
+            open_ = open_[self.keys[found[open_]] != wanted[open_]]
+            found[open_] = self.next[found[open_]]
+            open_ = open_[found[open_] >= 0]
+        return found
+
     def spell(self, char: str) -> list[int]:
         """Ids of the bytes of a character outside the vocabulary."""
         if char not in self.fallback:
             if len(self.fallback) > 100_000:
                 self.fallback.clear()
-            self.fallback[char] = [self.bytes[b] for b in char.encode()]
+            self.fallback[char] = [self.bytes[b] for b in ("▁" if char == _MARK else char).encode()]
         return self.fallback[char]
 
     def decode(self, ids: list[int]) -> str:
@@ -96,17 +124,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _blocks(stretches: list[str]) -> list[tuple[int, int]]:
-    """Ranges of short stretches of up to TOGETHER characters."""
-    block = np.cumsum([len(s) for s in stretches], dtype=np.int64) // (TOGETHER - LONG)
-    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(stretches)]
-    return list(zip(cuts, cuts[1:], strict=False))
+def stretches_of(text: str) -> list[str]:
+    if not text:
+        return []
+    return _STRETCH.findall("▁" + text.replace("▁", _MARK).replace(" ", "▁"))
+
+
+def _crc(stretch: str) -> int:
+    return zlib.crc32(stretch.encode("utf-8", "surrogatepass"))
+
+
+def _place(start, middle, end):
+    """Mixed number of a candidate's borders; numbers or arrays of unsigned 64-bit values."""
+    return mix((start << np.uint64(42)) ^ (middle << np.uint64(21)) ^ end)
 
 
 def _keyed(salt, start, middle, end):
-    """Hash of a candidate; numbers or arrays of unsigned 64-bit values."""
-    place = (start << np.uint64(42)) ^ (middle << np.uint64(21)) ^ end
-    return mix(salt ^ mix(place))
+    """Hash of a candidate."""
+    return mix(salt ^ _place(start, middle, end))
 
 
 class Segmenter:
@@ -120,9 +155,10 @@ class Segmenter:
 
     def salts(self, stretches: list[str], variants) -> np.ndarray:
         """Keys of the draws of stretches with their variants."""
-        sums = {s: zlib.crc32(s.encode()) << 8 for s in set(stretches)}
-        sums = np.array([sums[s] for s in stretches], np.uint64)
-        return (np.uint64(self.seed) ^ sums ^ np.asarray(variants, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return self._salts(np.array([_crc(s) for s in stretches], np.uint64), np.asarray(variants, np.uint64))
+
+    def _salts(self, crcs: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        return (np.uint64(self.seed) ^ crcs << np.uint64(8) ^ variants) * np.uint64(0x9E3779B97F4A7C15)
 
     def variants(self, doc_id: int | None, n: int) -> np.ndarray:
         """A number for each of the n stretches of a document, by its place."""
@@ -131,83 +167,62 @@ class Segmenter:
 
     def encode(self, rows: list[tuple[int | None, str]]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [_STRETCH.findall(("▁" + t.replace(" ", "▁")) if t else "") for _, t in rows]
+        cut = [stretches_of(t) for _, t in rows]
         stretches = [s for c in cut for s in c]
         variants = np.concatenate(
             [np.empty(0, np.uint64), *(self.variants(d, len(c)) for (d, _), c in zip(rows, cut, strict=True))]
         )
-        ids: list[bytes] = []
+        parts, sizes = [b""], [np.zeros(1, np.int64)]
         for a in range(0, len(stretches), SLICE):
-            ids += self.drawn(stretches[a : a + SLICE], variants[a : a + SLICE])
-        ends = np.cumsum([0, *map(len, cut)]).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            ids, size = self.drawn(stretches[a : a + SLICE], variants[a : a + SLICE])
+            parts.append(ids.tobytes())
+            sizes.append(size)
+        data, upto = b"".join(parts), 4 * np.cumsum(np.concatenate(sizes))
+        ends = upto[np.cumsum([0, *map(len, cut)])].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def forget(self) -> None:
-        """Nodes: a stretch with the candidates skipped so far, what it is cut into then,
-        and the candidates that were met on the way and not skipped. Node 0 is none."""
-        self.roots: dict[str, int] = {}
-        self.children: dict[int, int] = {}  # node and bits of its skipped candidates -> node
-        self.stretch, self.skips, self.ids, self.met = [""], [b""], [b""], [b""]
-
-    def learn(self, nodes: list[tuple[str, bytes]]) -> range:
-        """Numbers of new nodes for stretches and their skipped candidates."""
-        first = len(self.ids)
-        for a, b in _blocks([s for s, _ in nodes]):
-            part = nodes[a:b]
-            ids, met = self.block([s for s, _ in part], skips=[k for _, k in part])
-            self.stretch += [s for s, _ in part]
-            self.skips += [k for _, k in part]
-            self.ids += ids
-            self.met += met
-        return range(first, len(self.ids))
-
-    def drawn(self, stretches: list[str], variants: np.ndarray) -> list[bytes]:
-        """Ids of each stretch, its merges drawn with its own variant.
-
-        What was cut with the same candidates skipped is looked up: from the node without
-        skips on, the candidates met there are drawn; if some are skipped, the node with
-        these skipped too comes next, until none of those met is.
-        """
-        if len(self.ids) > REMEMBERED:
+        """Entries: what a stretch is cut into, the candidates it meets, its CRC."""
+        self.entries = Entries()
+        self.ids, self.met = Ragged(np.uint32), Ragged(np.uint64)
+        self.crcs = np.empty(0, np.uint64)
+
+    def learn(self, stretches: list[str]) -> None:
+        self.entries.update(zip(stretches, range(len(self.crcs), len(self.crcs) + len(stretches)), strict=True))
+        ids, met = self.merged(stretches)
+        self.ids.add(*ids)
+        self.met.add(*met)
+        self.crcs = np.append(self.crcs, np.array([_crc(s) for s in stretches], np.uint64))
+
+    def drawn(self, stretches: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches, one after the other, their merges drawn with their own
+        variants; and how many each has."""
+        # an entry has a text and a number besides its arrays
+        if 4 * self.ids.size + 8 * self.met.size + 200 * len(self.crcs) > REMEMBERED:
             self.forget()
-        new = list({s for s in stretches if s not in self.roots and len(s) <= LONG})
-        self.roots.update(zip(new, self.learn([(s, b"") for s in new]), strict=True))
-        node = np.array([self.roots.get(s, 0) for s in stretches], np.int64)
-        alone = np.flatnonzero(node == 0).tolist()
-        at = np.flatnonzero(node)
-        salts = self.salts(stretches, variants) if self.limit else None
-        while self.limit and len(at):
-            parts = [self.met[k] for k in node[at].tolist()]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            codes = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
-            which = np.repeat(np.arange(len(at)), sizes)
-            low = np.uint64(127)
-            borders = codes & low, codes >> np.uint64(7) & low, codes >> np.uint64(14)
-            skipped = np.flatnonzero(_keyed(salts[at[which]], *borders) < self.limit)
-            if not len(skipped):
-                break
-            of = which[skipped]
-            firsts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            bit = np.minimum(skipped - (np.cumsum(sizes) - sizes)[of], BITS)
-            bits = np.bitwise_or.reduceat(np.int64(1) << bit, firsts)
-            narrow = sizes[of[firsts]] <= BITS
-            alone += at[of[firsts][~narrow]].tolist()
-            at, bits = at[of[firsts][narrow]], bits[narrow].tolist()
-            keys = [k << BITS | b for k, b in zip(node[at].tolist(), bits, strict=True)]
-            new = list({k for k in keys if k not in self.children})
-            self.children.update(zip(new, self.learn([self.below(k) for k in new]), strict=True))
-            node[at] = [self.children[k] for k in keys]
-        out = [self.ids[k] for k in node.tolist()]
-        for i in alone:
-            out[i] = np.array(self.alone(stretches[i], int(variants[i])), "<u4").tobytes()
-        return out
-
-    def below(self, key: int) -> tuple[str, bytes]:
-        """The stretch and the skipped candidates of a node's child."""
-        k, bits = key >> BITS, key & (1 << BITS) - 1
-        met = self.met[k]
-        more = [met[4 * i : 4 * i + 4] for i in range(len(met) // 4) if bits >> i & 1]
-        return self.stretch[k], b"".join([self.skips[k], *more])
+        new = [s for s in set(stretches).difference(self.entries) if len(s) <= LONG]
+        if new:
+            self.learn(new)
+        entry = np.fromiter(map(self.entries.__getitem__, stretches), np.int64, len(stretches))
+        long = np.flatnonzero(entry < 0)
+        known = np.flatnonzero(entry >= 0)
+        again = np.zeros(len(stretches), bool)
+        if self.limit:
+            salts = self._salts(self.crcs[entry[known]], variants[known])
+            places, sizes = self.met.get(entry[known])
+            which = np.repeat(np.arange(len(known)), sizes)
+            again[known[which[mix(salts[which] ^ places) < self.limit]]] = True
+            salts = salts[again[known]]
+        same = known[~again[known]]
+        again = np.flatnonzero(again)
+        alone = [self.alone(stretches[i], int(variants[i])) for i in long.tolist()]
+        groups = [(same, *self.ids.get(entry[same]))]
+        if len(again):
+            groups.append((again, *self.merged([stretches[i] for i in again.tolist()], salts)[0]))
+        if len(long):
+            ids = np.fromiter((k for a in alone for k in a), np.uint32)
+            groups.append((long, ids, np.array([len(a) for a in alone], np.int64)))
+        return _interleaved(len(stretches), groups)
 
     def alone(self, stretch: str, variant: int) -> list[int]:
         """One stretch, with a heap as its agenda."""
@@ -245,88 +260,167 @@ class Segmenter:
                 out += [symbol] if symbol >= 0 else words.spell(char)
         return out
 
-    def candidates(self, at, owner, start, end, symbol, salts, skips, met) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged piece of the pairs that begin at the given symbols. Without
-        salts those among skips are skipped, and met gets the others."""
-        words = self.words
-        rank, new = np.full(len(at), _NEVER), np.zeros(len(at), np.int64)
-        after = np.minimum(at + 1, len(symbol) - 1)
-        pair = np.flatnonzero((owner[at] == owner[after]) & (after > at) & (symbol[at] >= 0) & (symbol[after] >= 0))
-        left, right = at[pair], after[pair]
-        wanted = symbol[left] << 20 | symbol[right]
-        found = np.minimum(np.searchsorted(words.keys, wanted), len(words.keys) - 1)
-        hit = words.keys[found] == wanted
-        pair, left, right, found = pair[hit], left[hit], right[hit], found[hit]
-        if salts is None:
-            code = owner[left] << 21 | end[right] << 14 | start[right] << 7 | start[left]
-            stays = skips[np.minimum(np.searchsorted(skips, code), len(skips) - 1)] != code
-            pair, found = pair[stays], found[stays]
-            met.append(code[stays])
-        elif self.limit:
-            borders = (a.astype(np.uint64) for a in (start[left], start[right], end[right]))
-            stays = _keyed(salts[owner[left]], *borders) >= self.limit
-            pair, found = pair[stays], found[stays]
-        rank[pair], new[pair] = words.ranks[found], words.merged[found]
-        return rank, new
-
     def together(self, keys: list[tuple[str, int]]) -> list[bytes]:
-        """Many short stretches with their variants, in blocks."""
-        out: list[bytes] = []
-        for a, b in _blocks([s for s, _ in keys]):
-            part = [s for s, _ in keys[a:b]]
-            out += self.block(part, self.salts(part, [v for _, v in keys[a:b]]))[0]
-        return out
+        """Many short stretches with their variants."""
+        stretches = [s for s, _ in keys]
+        ids, sizes = self.merged(stretches, self.salts(stretches, [v for _, v in keys]))[0]
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    def merged(self, stretches: list[str], salts: np.ndarray | None = None) -> tuple[tuple, tuple]:
+        """Ids of short stretches, one after the other, and how many each has. Without salts
+        nothing is skipped, and the candidates met come too, in the same form, as mixed
+        numbers of their borders."""
+        cut, met = [], []
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        starts = np.cumsum(lengths) - lengths
+        kind = np.searchsorted(WIDTHS, lengths)
+        for k in np.unique(kind).tolist():
+            rows, width = np.flatnonzero(kind == k), int(WIDTHS[k])
+            step = CELLS // width
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                grid = Grid(self, codes, starts[part], lengths[part], width, None if salts is None else salts[part])
+                cut.append((part, *grid.ids()))
+                if salts is None:
+                    met.append((part, *grid.candidates_met()))
+        return _interleaved(len(stretches), cut), _interleaved(len(stretches), met)
+
+
+class Entries(dict):
+    """Numbers of stretches; -1 for one that has none."""
+
+    def __missing__(self, stretch: str) -> int:
+        return -1
+
+
+class Ragged:
+    """Rows of numbers of different lengths, one after the other."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.empty(1 << 16, kind), 0
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        if self.size + len(data) > len(self.data):
+            more = np.empty(self.size // 2 + 2 * len(data), self.data.dtype)
+            self.data = np.concatenate((self.data[: self.size], more))
+        self.data[self.size : self.size + len(data)] = data
+        self.starts = np.append(self.starts, self.size + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.size += len(data)
+
+    def get(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[rows]
+        return self.data[_spans(self.starts[rows], sizes)], sizes
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, sizes of them."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _interleaved(n: int, groups: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """One ragged sequence of n rows from groups (rows, data, sizes)."""
+    sizes = np.zeros(n, np.int64)
+    for rows, _, size in groups:
+        sizes[rows] = size
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), groups[0][1].dtype if groups else np.uint32)
+    for rows, data, size in groups:
+        out[_spans(starts[rows], size)] = data
+    return out, sizes
+
+
+class Grid:
+    """Stretches of up to `width` characters; one merge in every stretch per step.
+
+    A table has a column for each stretch, so that a step works on long rows: symbol[k, r] is
+    the k-th symbol of stretch r (-1: outside the vocabulary, -2: none), which begins at
+    bound[k, r]; rank is that of the pair of symbols k and k + 1.
+    """
 
-    def block(self, stretches: list[str], salts=None, skips=()) -> tuple[list[bytes], list[bytes]]:
-        """Short stretches of fewer than 2**22 characters in all, one merge each per step:
-        their ids, and without salts the candidates met. Candidates are 32-bit numbers."""
-        if not stretches:
-            return [], []
-        words, met = self.words, []
-        held = np.repeat(np.arange(len(skips)), [len(k) // 4 for k in skips])
-        held = np.sort(held << 21 | np.frombuffer(b"".join(skips), "<u4"))
-        skips = np.append(held, -1) if not len(held) else held
-        text = "".join(stretches)
-        lengths = np.array([len(s) for s in stretches])
-        symbol = np.array([words.ids.get(c, -1) for c in text], np.int64)
-        owner = np.repeat(np.arange(len(stretches)), lengths)
-        base = np.concatenate(([0], np.cumsum(lengths)))
-        start = np.arange(len(text)) - base[owner]
-        end = start + 1
-        rank, new = self.candidates(np.arange(len(symbol)), owner, start, end, symbol, salts, skips, met)
-        done: list[tuple[np.ndarray, ...]] = []
-        while len(symbol):
-            firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            best = np.minimum.reduceat(rank << 22 | np.arange(len(symbol)), firsts)
-            ended = best >> 22 >= _NEVER
-            chosen = (best & ((1 << 22) - 1))[~ended]
-            symbol[chosen], end[chosen] = new[chosen], end[chosen + 1]
-            stay = np.ones(len(symbol), bool)
-            stay[chosen + 1] = False
-            over = np.repeat(ended, np.diff(np.append(firsts, len(symbol))))
-            done.append((owner[over], start[over], symbol[over]))
-            stay &= ~over
-            # only the pairs at a merged symbol are new
-            at = np.cumsum(stay)[chosen] - 1
-            owner, start, end, symbol, rank, new = (c[stay] for c in (owner, start, end, symbol, rank, new))
-            touched = np.concatenate((at[at > 0] - 1, at))
-            if len(touched):
-                rank[touched], new[touched] = self.candidates(touched, owner, start, end, symbol, salts, skips, met)
-        owner, start, symbol = (np.concatenate(c) for c in zip(*done, strict=True))
-        order = np.lexsort((start, owner))
-        owner, start, symbol = owner[order], start[order], symbol[order]
-        data = symbol.astype("<u4").tobytes()
-        cuts = np.searchsorted(owner, np.arange(len(stretches) + 1)).tolist()
-        out = [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        for i in np.unique(owner[symbol < 0]).tolist():
-            ids: list[int] = []
-            for k in range(cuts[i], cuts[i + 1]):
-                ids += [int(symbol[k])] if symbol[k] >= 0 else words.spell(stretches[i][start[k]])
-            out[i] = np.array(ids, "<u4").tobytes()
-        codes = np.sort(np.concatenate(met)) if met else np.empty(0, np.int64)
-        cuts = np.searchsorted(codes, np.arange(len(stretches) + 1) << 21).tolist()
-        data = (codes & (1 << 21) - 1).astype("<u4").tobytes()
-        return out, [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def __init__(self, owner: Segmenter, codes, starts, lengths, width: int, salts: np.ndarray | None):
+        self.owner, self.salts, self.met = owner, salts, []
+        words, never = owner.words, owner.words.never
+        place = np.arange(width)[:, None]
+        chars = codes[np.minimum(starts + place, len(codes) - 1)]
+        self.symbol = np.where(place < lengths, words.symbols[chars], words.symbols.dtype.type(-2))
+        self.bound = np.minimum(np.arange(width + 1)[:, None], lengths).astype(np.int8)
+        self.rank = np.full(self.symbol.shape, never)
+        self.row = np.arange(len(lengths))
+        self.chars, self.done = chars, (np.full_like(self.symbol, -2), np.zeros(chars.shape, np.int8))
+        at, line = np.nonzero((self.symbol[:-1] >= 0) & (self.symbol[1:] >= 0))
+        self.offer(line, at)
+        while len(self.row):
+            value = self.rank.min(axis=0)
+            goes = value < never
+            if not goes.all():
+                ended = ~goes
+                self.done[0][:, self.row[ended]] = self.symbol[:, ended]
+                self.done[1][:, self.row[ended]] = self.bound[:-1, ended]
+                self.symbol, self.bound, self.rank = (x[:, goes] for x in (self.symbol, self.bound, self.rank))
+                self.row, value = self.row[goes], value[goes]
+            if not len(value):
+                break
+            best = np.zeros(len(value), np.int8)
+            for k in range(width - 2, -1, -1):  # the leftmost of equals is written last
+                best[self.rank[k] == value] = k
+            line = np.arange(len(best))
+            self.symbol[best, line] = words.piece_of_rank[value]
+            # what stands behind the merged pair moves up
+            for k in range(1, width):
+                moves = best < k
+                np.copyto(self.bound[k], self.bound[k + 1], where=moves)
+                if k < width - 1:
+                    np.copyto(self.symbol[k], self.symbol[k + 1], where=moves)
+                    np.copyto(self.rank[k], self.rank[k + 1], where=moves)
+            self.symbol[-1], self.rank[-1] = -2, never
+            # only the pairs at the merged symbol are new
+            before = np.flatnonzero(best > 0)
+            line, at = np.concatenate((line, before)), np.concatenate((best, best[before] - 1)).astype(np.int64)
+            self.rank[at, line] = never
+            self.offer(line, at)  # a merged pair has a place behind it
+
+    def offer(self, line: np.ndarray, at: np.ndarray) -> None:
+        """Rank the pairs that begin at the given symbols, if they form a piece and are not
+        skipped."""
+        left, right = self.symbol[at, line], self.symbol[at + 1, line]
+        both = np.flatnonzero((left >= 0) & (right >= 0))
+        found = self.owner.words.pair(left[both], right[both])
+        hit = np.flatnonzero(found >= 0)
+        line, at, found = line[both[hit]], at[both[hit]], found[hit]
+        place = _place(*(self.bound[at + k, line].astype(np.uint64) for k in range(3)))
+        if self.salts is None:
+            self.met.append((self.row[line], place))
+        else:
+            stays = mix(self.salts[self.row[line]] ^ place) >= self.owner.limit
+            line, at, found = line[stays], at[stays], found[stays]
+        self.rank[at, line] = self.owner.words.ranks[found]
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches, and how many each has."""
+        symbol, bound = (np.ascontiguousarray(x.T) for x in self.done)
+        there = symbol != -2
+        sizes, ids = there.sum(axis=1), symbol[there].astype(np.uint32)
+        odd = np.flatnonzero((symbol == -1).any(axis=1))
+        if not len(odd):
+            return ids, sizes
+        groups, plain = [], np.ones(len(symbol), bool)
+        plain[odd] = False
+        for r in odd.tolist():
+            spelled: list[int] = []
+            for i, k in zip(symbol[r].tolist(), bound[r].tolist(), strict=True):
+                if i != -2:
+                    spelled += [i] if i >= 0 else self.owner.words.spell(chr(self.chars[k, r]))
+            groups.append((np.array([r]), np.array(spelled, np.uint32), np.array([len(spelled)])))
+        groups.append((np.flatnonzero(plain), ids[np.repeat(plain, sizes)], sizes[plain]))
+        return _interleaved(len(symbol), groups)
+
+    def candidates_met(self) -> tuple[np.ndarray, np.ndarray]:
+        row = np.concatenate([r for r, _ in self.met])
+        places = np.concatenate([p for _, p in self.met])[np.argsort(row, kind="stable")]
+        return places, np.bincount(row, minlength=self.done[0].shape[1])
 
 
 @lru_cache(maxsize=2)
@@ -361,7 +455,8 @@ def encode(docs: DataFrame, model: str, seed: int = 0, rate: float = 0.1) -> Dat
     A null or empty text has no ids. Repeated rows get equal ids, equal texts of
     different documents differ in their cuts; a null doc_id counts as an id of its own.
     rate 0 gives the model's own segmentation. An empty table gives an empty result;
-    further columns are not read. U+2581 in a text is the same as a blank.
+    further columns are not read.
+    A U+2581 of a text is spelled by its bytes, as a character outside the vocabulary.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 

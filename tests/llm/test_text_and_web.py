@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -115,7 +116,9 @@ def test_without_dropout_it_is_the_models_own_segmentation(corpus):
     plain = dropout.Segmenter(MODEL, 3, 0.0)
     texts = TEXTS + [t for _, t in corpus[:40]]
     for text, ids in zip(texts, plain.encode([(1, t) for t in texts]), strict=True):
-        assert ids_of(ids) == model.encode(text), text
+        # the model reads a U+2581 as a blank, which no decoding undoes
+        if "▁" not in text:
+            assert ids_of(ids) == model.encode(text), text
 
 
 def test_agendas_agree_and_vary(corpus):
@@ -139,10 +142,10 @@ def test_encode_and_decode(make, odd):
     for rate in (0.0, 0.3):
         encoded = dropout.encode(docs, MODEL, seed=5, rate=rate)
         back = dropout.decode(encoded, MODEL).collect()
-        want = sorted((i is None, i or 0, (t or "").replace("▁", " ")) for i, t in rows)
+        want = sorted((i is None, i or 0, t or "") for i, t in rows)
         assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in back) == want
     trip = dropout.round_trip(docs, MODEL, seed=5, rate=0.3).collect()
-    assert [r.doc_id for r in trip if not r.lossless] == [108]  # the text with U+2581
+    assert all(r.lossless for r in trip)
     assert dropout.encode(make([]).limit(0), MODEL).count() == 0
     with pytest.raises(ValueError):
         dropout.Segmenter(MODEL, 0, 1.0)
@@ -155,6 +158,58 @@ def test_one_text_of_many_distinct_words():
     assert dropout.vocabulary(MODEL).decode(ids_of(ids)) == text
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(h):
+    for shift, times in ((32, True), (29, True), (32, False)):
+        h ^= h >> shift
+        h = h * 0xD6E8FEB86659FD93 & M64 if times else h
+    return h
+
+
+def plain_cut(model, stretch, salt, limit):
+    """One stretch, looking at all pairs again for every merge."""
+    ranks = {model.id_to_piece(i): (-model.get_score(i), i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    symbols = [(c, k, k + 1) for k, c in enumerate(stretch)]
+    while True:
+        best = None
+        for k in range(len(symbols) - 1):
+            (a, start, middle), (b, _, end) = symbols[k], symbols[k + 1]
+            known = (len(a) > 1 or a in ranks) and (len(b) > 1 or b in ranks)
+            if known and a + b in ranks and mixed(salt ^ mixed(start << 42 ^ middle << 21 ^ end)) >= limit:
+                if best is None or ranks[a + b] < best[0]:
+                    best = ranks[a + b], k
+        if best is None:
+            break
+        k = best[1]
+        symbols[k : k + 2] = [(symbols[k][0] + symbols[k + 1][0], symbols[k][1], symbols[k + 1][2])]
+    out = []
+    for piece, _, _ in symbols:
+        if piece in ranks:
+            out.append(ranks[piece][1])
+        else:
+            spelled = "\u2581" if piece == "\ud800" else piece
+            out += [model.piece_to_id(f"<0x{byte:02X}>") for byte in spelled.encode()]
+    return out
+
+
+def test_against_a_plain_encoder(corpus):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    seed, rate = 9, 0.25
+    some = dropout.Segmenter(MODEL, seed, rate)
+    texts = [t for t in TEXTS if len(t) < 200] + [t[:150] for _, t in corpus[:8]]
+    rows = [(None if k == 3 else 10 * k, t) for k, t in enumerate(texts)]
+    for (doc_id, text), ids in zip(rows, some.encode(rows), strict=True):
+        want = []
+        key = mixed(seed ^ (0 if doc_id is None else doc_id + 1))
+        shown = "\u2581" + text.replace("\u2581", "\ud800").replace(" ", "\u2581") if text else ""
+        for place, stretch in enumerate(re.findall("\u2581*[^\u2581\n]+|\u2581+|\n", shown)):
+            salt = (seed ^ zlib.crc32(stretch.encode("utf-8", "surrogatepass")) << 8 ^ mixed(key ^ place)) * 0x9E3779B97F4A7C15 & M64
+            want += plain_cut(model, stretch, salt, int(rate * 2**64))
+        assert ids_of(ids) == want, text
+
+
 def test_every_occurrence_is_drawn_on_its_own(corpus):
     some = dropout.Segmenter(MODEL, 11, 0.2)
     for i, text in corpus[:20] + [(7, "thousandfold " * 500 + "-" * 64 + "internationalization " * 30)]:
@@ -168,7 +223,8 @@ def test_every_occurrence_is_drawn_on_its_own(corpus):
         whole = dropout.Segmenter(MODEL, 0, 0.0).encode([(0, "a")])[0]
         (ids,) = segmenter.encode([(3, " ".join("a" * 5000))])
         assert 0.08 < 1 - ids_of(ids).count(*ids_of(whole)) / 5000 < 0.12
-        words = segmenter.drawn(["▁internationalization"] * 2000, segmenter.variants(1, 2000))
+        ids, sizes = segmenter.drawn(["▁internationalization"] * 2000, segmenter.variants(1, 2000))
+        words = [part.tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])]
         assert len(set(words[:200])) > 12 and len(set(words)) > 2 * len(set(words[:200]))
 
 
