@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ragassay.functions.arrays import exploded
 from ragassay.operators.hybrid import RANK_OFFSET
-from ragassay.operators.sparse import UNIT, SparseIndex, _sent, asked_terms, search_terms, sparse_search, weighted
+from ragassay.operators.sparse import UNIT, SparseIndex, _sent, asked_terms, counted, search_terms, sparse_search, weighted
 from ragassay.schemas import TOP_K
 from ragassay.session import durable
 
@@ -34,10 +34,9 @@ def expansion_terms(
     """
     own = asked_terms(index, questions).select("query_id", "term")
     first = durable(sparse_search(index, questions, feedback).select("query_id", "chunk_id"))
-    # the found chunks are few: their postings are picked out of a scan
-    found = index.postings.select("term", "chunk_id", "tf", "length").join(
-        _sent(first, first.count()), "chunk_id"
-    )
+    # the found chunks are few: they are picked out of a scan, then have their terms listed
+    wanted = _sent(first.select("chunk_id").distinct(), first.count())
+    found = counted(index.chunks.join(wanted, "chunk_id", "left_semi")).join(first, "chunk_id")
     known = found.join(index.terms.withColumn("weight", index.weight()).select("term", "weight"), "term")
     gain = F.floor(F.col("weight") * (F.col("tf") / F.col("length")) * UNIT)
     gains = known.groupBy("query_id", "term").agg(F.sum(gain).alias("gain"))

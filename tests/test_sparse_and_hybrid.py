@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ragassay.operators import hybrid, sparse
@@ -98,6 +100,58 @@ def test_the_plan_reads_few_folders_and_no_texts(spark, folder):
     assert "content" not in plan
 
 
+@pytest.mark.parametrize("k", [1, 5, 50])
+def test_a_scan_of_the_chunks_equals_scoring_everything(spark, monkeypatch, k):
+    """Batches with many pairs of question and posting are scored where the chunks lie."""
+    chunks, questions = rows_of()
+    # equal scores in all tasks, and a term that every chunk has
+    chunks = [(i, f"{t or ''} all") for i, t in chunks] + [(1000 + i, "all") for i in range(200)]
+    questions += [(105, "all"), (106, "all w1")]
+    index = sparse.build_index(spark.createDataFrame(chunks, "chunk_id bigint, content string").repartition(5))
+    monkeypatch.setattr(sparse, "PAIRS", 0)
+    monkeypatch.setattr(sparse, "_looked_up", None)
+    asked = spark.createDataFrame(questions, "query_id bigint, question string")
+    want = []
+    for q, scores in all_scores(chunks, questions):
+        best = sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:k]
+        want += [(q, rank, i, round(s / 1e6, 6)) for rank, (i, s) in enumerate(best, 1)]
+    for rows in (sparse.BLOCK_ROWS, 40):  # one block of questions, many
+        monkeypatch.setattr(sparse, "BLOCK_ROWS", rows)
+        got = sparse.sparse_search(index, asked, k).collect()
+        assert sorted((r.query_id, r.rank_no, r.chunk_id, round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_a_scan_takes_other_keys(spark, monkeypatch):
+    rows = [(f"é{i}", "all") for i in range(30)] + [("z", "all w w")]
+    index = sparse.build_index(spark.createDataFrame(rows, "chunk_id string, content string").repartition(3))
+    asked = spark.createDataFrame([((1, 2), "all"), ((1, 3), "w")], "query_id struct<a:int, b:int>, question string")
+    monkeypatch.setattr(sparse, "PAIRS", 0)
+    got = sorted((tuple(r.query_id), r.rank_no, r.chunk_id) for r in sparse.sparse_search(index, asked, 3).collect())
+    assert got == [((1, 2), 1, "é0"), ((1, 2), 2, "é1"), ((1, 2), 3, "é10"), ((1, 3), 1, "z")]
+
+
+def test_terms_of_no_weight_find_chunks_in_a_scan():
+    block = sparse.Block(pa.array(["all", "w"]), np.array([1e-9, 2.0]), *map(np.array, ([7, 7, 8], [0, 1, 1], [1, 1, 2])))
+    batches = [
+        pa.record_batch({"chunk_id": ids, "length": [len(t) for t in held], "terms": held, "tfs": [[1] * len(t) for t in held]})
+        for ids, held in ((["c", "b"], [["all"], ["all"]]), (["d", "a"], [["all", "w"], ["x"]]), (["B"], [["all"]]))
+    ]
+    ((no, chunk, score),) = sparse._keep_best(block, 3, 1.0)(iter(batches))
+    assert list(zip(no.tolist(), chunk.to_pylist(), (score > 0).tolist())) == [
+        (7, "d", True), (7, "B", False), (7, "b", False), (8, "d", True)
+    ]
+
+
+def test_a_batch_joins_no_postings(spark, monkeypatch):
+    """What tasks hand on is k rows of each question, not a row of each pair."""
+    chunks = [(i, f"the of and w{i % 50}") for i in range(2000)]
+    index = sparse.build_index(spark.createDataFrame(chunks, "chunk_id bigint, content string").repartition(4))
+    asked = spark.createDataFrame([(1, "the w7"), (2, "the and w9")], "query_id bigint, question string")
+    monkeypatch.setattr(sparse, "PAIRS", 0)
+    assert sparse._scanned(index, sparse.asked_terms(index, asked), 5).count() <= 4 * 2 * 5
+    assert not sparse._exists(spark, f"{index.folder}/postings")
+
+
 def test_an_empty_index(spark):
     index = sparse.build_index(spark.createDataFrame([], "chunk_id string, content string"))
     asked = spark.createDataFrame([(1, "some words")], "query_id bigint, question string")
