@@ -145,6 +145,27 @@ def test_comparison_of_runs(spark):
     assert abs(np.mean(weights) - 1) < 0.03 and abs(np.var(weights) - 1) < 0.05
 
 
+def test_replicates_are_not_rows(spark, monkeypatch):
+    """Pairs are not copied for each replicate: tasks hand on sums, also if they hold few."""
+    rows = [(run, q, m, (q * 7 + run) % 50 / 10) for run in range(3) for q in range(3000) for m in "ab"]
+    frame = spark.createDataFrame(rows, "run_id int, query_id bigint, metric_name string, value double")
+    told = sorted(map(tuple, compare.compare_runs(frame, 0, 20).collect()))
+    plan = compare.compare_runs(frame, 0, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "MapInArrow" in plan
+    assert [x[2] for x in told] == [3000] * 4
+    pairs = spark.createDataFrame([(1, "a", q, 5, 3) for q in range(4000)], "run_id int, metric_name string, query_id int, units bigint, base bigint")
+    assert compare._replicates(pairs, 20, 7).count() <= 21 * 8
+
+
+def test_sums_of_large_scores_are_exact():
+    r = random.Random(1)
+    for most in (10**4, 10**13, 10**17, 10**19):
+        times = np.array([[r.randrange(12) for _ in range(4)] for _ in range(30)], np.uint8)
+        values = np.array([[r.randrange(-most, most) for _ in range(3)] for _ in range(30)], object if most > 2**62 else np.int64)
+        want = [[sum(int(t[i]) * int(v[c]) for t, v in zip(times, values)) for c in range(3)] for i in range(4)]
+        assert compare._product(times, values).tolist() == want
+
+
 def test_thresholds(spark):
     rows = [(1, "a", 1.0, 0.1, 0.3), (1, "b", 4.0, 0.1, 0.3), (1, "c", 4.0, -0.3, -0.1), (1, "d", 1.0, -0.1, 0.1)]
     compared = spark.createDataFrame(rows, "run_id int, metric_name string, run_mean double, low double, high double")
