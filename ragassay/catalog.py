@@ -398,8 +398,8 @@ def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty chunks of each benchmark text become five."""
     chunks = retrieve.active(fx.text_chunks(spark, sf)).select("chunk_id", "content")
     asked = _asked(spark, sf)
-    found = sparse.sparse_search(sparse.build_index(chunks), asked, top_k=20)
-    rows = found.join(asked, "query_id").join(chunks, "chunk_id")
+    found = durable(sparse.sparse_search(sparse.build_index(chunks), asked, top_k=20))
+    rows = rerank.with_texts(found, chunks).join(asked, "query_id")
     return rerank.reranked(rows, top_k=5, most=20).select(
         *_big("query_id", "rank_no", "first_rank"), "chunk_id", *_rounded("relevance", "value", places=6)
     )

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragassay.operators.retrieve import LOOKUP_ROWS
 from ragassay.schemas import TOP_K
 
 CANDIDATES = 50
@@ -71,6 +72,15 @@ def diverse_order(relevance: np.ndarray, alike: np.ndarray, k: int, balance: flo
     return chosen
 
 
+def with_texts(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Found rows with the content of their chunks (chunk_id, content).
+
+    The found rows, counted, go to the chunks: the texts of all others stay where they are.
+    """
+    few = found.count() <= LOOKUP_ROWS
+    return chunks.select("chunk_id", "content").join(F.broadcast(found) if few else found, "chunk_id")
+
+
 def reranked(
     candidates: DataFrame,
     top_k: int = TOP_K,

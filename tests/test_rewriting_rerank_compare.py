@@ -145,6 +145,29 @@ def test_comparison_of_runs(spark):
     assert abs(np.mean(weights) - 1) < 0.03 and abs(np.var(weights) - 1) < 0.05
 
 
+def test_rewritten_batches_join_no_postings(spark, monkeypatch):
+    chunks, questions = rows_of(13, 150)
+    frame = spark.createDataFrame(chunks, "chunk_id bigint, content string").repartition(4)
+    asked = spark.createDataFrame(questions, "query_id bigint, question string")
+    for search in (rewriting.expanded_search, rewriting.decomposed_search):
+        want = sorted(map(tuple, search(sparse.build_index(frame), asked, 5).collect()))
+        index = sparse.build_index(frame)
+        with monkeypatch.context() as patch:
+            patch.setattr(sparse, "PAIRS", 0)
+            assert sorted(map(tuple, search(index, asked, 5).collect())) == want
+        assert not sparse._exists(spark, f"{index.folder}/postings")
+
+
+def test_texts_of_candidates_stay_where_they_are(spark):
+    # Spark guesses more than it broadcasts by itself
+    chunks = spark.range(2000).selectExpr("id AS chunk_id", "repeat(cast(id AS string), 50) AS content")
+    found = spark.range(2000).selectExpr("id % 40 AS query_id", "id AS chunk_id", "id AS rank_no", "repeat('x', 30000) AS wide")
+    texts = rerank.with_texts(found, chunks)
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert texts.filter("content = repeat(cast(chunk_id AS string), 50)").count() == 2000
+
+
 def test_replicates_are_not_rows(spark, monkeypatch):
     """Pairs are not copied for each replicate: tasks hand on sums, also if they hold few."""
     rows = [(run, q, m, (q * 7 + run) % 50 / 10) for run in range(3) for q in range(3000) for m in "ab"]
