@@ -4,18 +4,23 @@ A chunk is relevant for a ground truth by the share of the truth's different tok
 has: a quarter makes grade 1, a half grade 2, three quarters grade 3. The relevant chunks
 of the whole corpus are looked for in the inverted index: a chunk with a quarter of n
 tokens has one of the rarest n - n / 4 + 1, so that only postings of these propose chunks;
-the common tokens are looked up for proposed chunks alone. The ideal order of a truth
-needs the number of its chunks of each grade, not the chunks.
+the common tokens are looked up for proposed chunks alone. Where that joins too many pairs,
+the chunks are scanned and tasks hand on the relevant ones. The ideal order of a truth needs the number of its chunks of each grade, not the chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragassay.functions.arrays import exploded
 from ragassay.functions.text import token_set
-from ragassay.operators.sparse import SparseIndex, _of_terms, _sent
+from ragassay.operators import sparse
+from ragassay.operators.sparse import Block, SparseIndex, _of_terms, _sent, lists_of, scan, sums
 from ragassay.schemas import TOP_K
 from ragassay.session import durable
 
@@ -36,8 +41,11 @@ def relevance(index: SparseIndex, truths: DataFrame) -> DataFrame:
     missing = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("truth_id"))
     needed = F.col("n") - F.ceil(F.col("n") / (GRADES + 1)) + 1 - missing
     asked = durable(
-        known.select("truth_id", "term", "n", (F.row_number().over(rarest) <= needed).alias("proposes"))
+        known.select("truth_id", "term", "n", "df", (F.row_number().over(rarest) <= needed).alias("proposes"))
     )
+    if (asked.agg(F.sum("df")).first()[0] or 0) > sparse.PAIRS:
+        return _scanned(index, asked)
+    asked = asked.drop("df")
     size = asked.count()
     first, others = asked.filter("proposes"), asked.filter("not proposes")
     found = _of_terms(index, first).join(_sent(first, size), "term").groupBy("truth_id", "chunk_id", "n").agg(
@@ -53,6 +61,30 @@ def relevance(index: SparseIndex, truths: DataFrame) -> DataFrame:
     return counted.select("truth_id", "chunk_id", grade.alias("grade")).filter("grade > 0")
 
 
+def _graded(block: Block):
+    """Kernel of a scan: the chunks that are relevant for each truth, by grade. A row's times
+    are its truth's n."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            chunk = batch.column("chunk_id")
+            begin, row, _, _ = lists_of(block, batch)
+            ones = np.ones(len(row), np.int64)
+            for no, mine, shared in sums(block, begin, row, ones, np.ones(len(block.no), np.int64), batch.num_rows):
+                grade = np.minimum(GRADES, (GRADES + 1) * shared // block.times[mine[0]])
+                if len(at := np.flatnonzero(grade)):
+                    yield np.full(len(at), no), chunk.take(pa.array(at)), grade[at]
+
+    return run
+
+
+def _scanned(index: SparseIndex, asked: DataFrame) -> DataFrame:
+    rows = asked.select(
+        F.col("truth_id").alias("query_id"), "term", F.lit(0.0).alias("weight"), F.col("n").cast("bigint").alias("times")
+    )
+    return scan(index, rows, _graded, "grade").withColumnRenamed("query_id", "truth_id")
+
+
 def _gain(grade: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1.0).cast("double")
 

@@ -86,6 +86,19 @@ def test_relevant_chunks(spark):
     assert {(r.truth_id, r.chunk_id): r.grade for r in got.collect()} == grades(chunks, truths)
 
 
+def test_many_relevant_chunks_are_found_in_a_scan(spark, monkeypatch):
+    chunks, truths = corpus()
+    index = sparse.build_index(spark.createDataFrame(chunks, "chunk_id bigint, content string").repartition(3))
+    asked = spark.createDataFrame(truths, "truth_id bigint, ground_truth string")
+    monkeypatch.setattr(sparse, "PAIRS", 0)
+    for rows in (sparse.BLOCK_ROWS, 30):
+        monkeypatch.setattr(sparse, "BLOCK_ROWS", rows)
+        got = ranking.relevance(index, asked).collect()
+        assert len(got) == len(grades(chunks, truths))
+        assert {(r.truth_id, r.chunk_id): r.grade for r in got} == grades(chunks, truths)
+    assert not sparse._exists(spark, f"{index.folder}/postings")
+
+
 def test_metrics_of_runs(spark):
     chunks, truths = corpus()
     relevant, k, r = grades(chunks, truths), 5, random.Random(4)
