@@ -367,7 +367,8 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty chunks by words and ten by vectors become five; rank 0: not in that list."""
     live = retrieve.active(fx.documents(spark, sf)).select("doc_id")
-    chunks = retrieve.active(fx.document_chunks(spark, sf)).join(live, "doc_id", "left_semi")
+    chunks = retrieve.active(fx.document_chunks(spark, sf, embedded=False))
+    chunks = chunks.join(live.hint("shuffle_hash"), "doc_id", "left_semi")
     index = sparse.build_index(chunks.select("chunk_id", "content"))
     by_words = sparse.sparse_search(index, _asked(spark, sf), top_k=20)
     found = hybrid.fused(by_words, _hits(spark, sf, k=10), top_k=5).fillna(0, ["sparse_rank", "dense_rank"])

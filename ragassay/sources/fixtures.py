@@ -66,17 +66,20 @@ def document_topics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+def document_chunks(spark: SparkSession, sf: str, embedded: bool = True) -> DataFrame:
     """The searched chunks, one per given vector: the halves of a document's text.
 
     There are fewer vectors than documents; queries that need no given vector take
-    ``text_chunks``.
+    ``text_chunks``. Without the embedding column a task holds the ids and lets the texts pass
+    by; it sorts none.
     """
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("chunk_id"),
         F.floor(F.col("vec_id") / 2).alias("doc_id"),
-        "embedding",
+        *(["embedding"] if embedded else []),
     )
+    if not embedded:
+        vectors = vectors.hint("shuffle_hash")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     half = F.ceil(F.length("text") / 2).cast("int")
     index = (F.col("chunk_id") - 2 * F.col("doc_id")).cast("int")
@@ -89,7 +92,7 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
         index.alias("chunk_index"),
         content.alias("content"),
         (index + 1).alias("page_number"),
-        "embedding",
+        *(["embedding"] if embedded else []),
         (F.col("chunk_id") % 13 == 0).alias("is_deleted"),
     )
 

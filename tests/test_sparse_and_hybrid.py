@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from ragassay.operators import hybrid, sparse
+from ragassay.sources import fixtures as fx
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -158,6 +159,17 @@ def test_an_empty_index(spark):
     assert index.n_chunks == 0 and sparse.sparse_search(index, asked).collect() == []
 
 
+def test_texts_of_the_fused_search_are_not_sorted(spark, sf):
+    """Their sort would grow with the texts in a task; ids are held, texts pass by."""
+    live = fx.documents(spark, sf).select("doc_id")
+    chunks = fx.document_chunks(spark, sf, embedded=False)
+    met = chunks.join(live.hint("shuffle_hash"), "doc_id", "left_semi")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "embedding" not in plan
+    want = fx.document_chunks(spark, sf).drop("embedding").collect()
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, want))
+
+
 def test_fusion(spark):
     r = random.Random(2)
     lists = []
