@@ -8,11 +8,12 @@ seed, the document, the stretch, its place and the candidate's three borders. A
 merge makes new candidates with new borders. Every occurrence is drawn on its own, all
 of them decode to the same text, and a run can be repeated to the last id.
 
-What a stretch is cut into when nothing is skipped, and which candidates it meets then, is
-remembered in the worker, up to REMEMBERED bytes. An occurrence in which none of these
-candidates is skipped is cut like that; the agendas of all others, and of stretches that
-are new, go on at once: a row for each, one merge per step. Long stretches have a heap of
-their own.
+What a stretch is cut into when nothing is skipped, and which merges do it, is remembered in
+the worker, up to REMEMBERED bytes. An occurrence in which none of these merges is skipped
+is cut like that. Of a stretch up to CHARTED characters all candidates that any draw can
+lead to are remembered too, in the order in which agendas take them: an occurrence goes
+through this list once. Where one list does not do, the agendas go on at once: a row for
+each occurrence, one merge per step. Long stretches have a heap of their own.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from pyspark.sql import DataFrame
 
 from ragassay.llm.common import mix, texts_of
 
-REMEMBERED = 40_000_000
+REMEMBERED = 200_000_000
 LONG = 64  # characters of a stretch that gets its own heap
+CHARTED = 32  # characters, and visits, of a stretch whose candidates are listed
+VISITS = 128
 #: widths of the rows in which short stretches are merged, and cells merged at once
 WIDTHS = np.array([4, 6, 8, 10, 12, 16, 24, 32, 48, LONG])
 CELLS = 1 << 16
@@ -82,6 +85,12 @@ class Vocabulary:
         same = slots[order[1:]] == slots[order[:-1]]
         self.next[order[:-1][same]] = order[1:][same]
         self.first[slots[order[np.concatenate(([True], ~same))[: len(order)]]]] = order[np.concatenate(([True], ~same))[: len(order)]]
+        # ranks of pieces that are merged; 0 for a single character, which stands from the start
+        self.rank_of = np.zeros(n, np.int64)
+        self.rank_of[self.piece_of_rank] = np.arange(1, len(normal) + 1)
+        self.rank_of[[i for name, i in self.ids.items() if len(name) == 1]] = 0
+        self.longest = max([len(name) for name in self.ids], default=1)
+        self.rank_bits = (len(normal) + 1).bit_length()
         self.symbols = np.full(0x110000, -1, kind)  # by code point
         for name, i in self.ids.items():
             if len(name) == 1:
@@ -182,48 +191,128 @@ class Segmenter:
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def forget(self) -> None:
-        """Entries: what a stretch is cut into, the candidates it meets, its CRC."""
+        """Entries: what a stretch is cut into, places of the merges, CRC; characters and
+        visits of those that are charted."""
         self.entries = Entries()
-        self.ids, self.met = Ragged(np.uint32), Ragged(np.uint64)
-        self.crcs = np.empty(0, np.uint64)
+        self.ids, self.made = Ragged(np.uint32), Ragged(np.uint64)
+        self.chars, self.visits = Ragged(np.uint32), Ragged(np.uint64)
+        self.crcs, self.charted = np.empty(0, np.uint64), np.empty(0, bool)
 
     def learn(self, stretches: list[str]) -> None:
-        self.entries.update(zip(stretches, range(len(self.crcs), len(self.crcs) + len(stretches)), strict=True))
-        ids, met = self.merged(stretches)
-        self.ids.add(*ids)
-        self.met.add(*met)
-        self.crcs = np.append(self.crcs, np.array([_crc(s) for s in stretches], np.uint64))
+        crcs = np.array([_crc(s) for s in stretches], np.uint64)
+        chars, visits, charted = self.listed(stretches)
+        self.chars.add(*chars)
+        self.visits.add(*visits)
+        first = len(self.crcs)
+        self.crcs, self.charted = np.append(self.crcs, crcs), np.append(self.charted, charted)
+        rows, rest = np.flatnonzero(charted), np.flatnonzero(~charted)
+        ids, made = self.followed(first + rows)
+        others, met = self.merged([stretches[i] for i in rest.tolist()])
+        self.ids.add(*_interleaved(len(stretches), [(rows, *ids), (rest, *others)]))
+        self.made.add(*_interleaved(len(stretches), [(rows, *made), (rest, *met)]))
 
     def drawn(self, stretches: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the stretches, one after the other, their merges drawn with their own
         variants; and how many each has."""
         # an entry has a text and a number besides its arrays
-        if 4 * self.ids.size + 8 * self.met.size + 200 * len(self.crcs) > REMEMBERED:
+        held = 4 * (self.ids.size + self.chars.size) + 8 * (self.made.size + self.visits.size)
+        if held + 240 * len(self.crcs) > REMEMBERED:
             self.forget()
-        new = [s for s in set(stretches).difference(self.entries) if len(s) <= LONG]
-        if new:
-            self.learn(new)
         entry = np.fromiter(map(self.entries.__getitem__, stretches), np.int64, len(stretches))
+        if self.entries.new:
+            self.learn(self.entries.new)
+            self.entries.new = []
         long = np.flatnonzero(entry < 0)
         known = np.flatnonzero(entry >= 0)
-        again = np.zeros(len(stretches), bool)
+        again = np.zeros(len(known), bool)
         if self.limit:
             salts = self._salts(self.crcs[entry[known]], variants[known])
-            places, sizes = self.met.get(entry[known])
+            places, sizes = self.made.get(entry[known])
             which = np.repeat(np.arange(len(known)), sizes)
-            again[known[which[mix(salts[which] ^ places) < self.limit]]] = True
-            salts = salts[again[known]]
-        same = known[~again[known]]
-        again = np.flatnonzero(again)
-        alone = [self.alone(stretches[i], int(variants[i])) for i in long.tolist()]
+            again[which[mix(salts[which] ^ places) < self.limit]] = True
+            salts = salts[again]
+        same, again = known[~again], known[again]
         groups = [(same, *self.ids.get(entry[same]))]
         if len(again):
-            groups.append((again, *self.merged([stretches[i] for i in again.tolist()], salts)[0]))
+            listed = self.charted[entry[again]]
+            rows = again[listed]
+            groups.append((rows, *self.followed(entry[rows], salts[listed])[0]))
+            rows = again[~listed]
+            groups.append((rows, *self.merged([stretches[i] for i in rows.tolist()], salts[~listed])[0]))
         if len(long):
+            alone = [self.alone(stretches[i], int(variants[i])) for i in long.tolist()]
             ids = np.fromiter((k for a in alone for k in a), np.uint32)
             groups.append((long, ids, np.array([len(a) for a in alone], np.int64)))
         return _interleaved(len(stretches), groups)
 
+    def listed(self, stretches: list[str]) -> tuple[tuple, tuple, np.ndarray]:
+        """Characters and visits of the stretches, and which of them are charted."""
+        lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        # a row, two ranks and starts, middle and end are one number of 64 bits
+        most = 1 << max(0, 44 - 2 * self.words.rank_bits)
+        short = np.flatnonzero(lengths <= CHARTED) if self.words.rank_bits <= 16 else np.empty(0, np.int64)
+        chars, visits = [], []
+        step = min(most, 2 * CELLS // (1 + int(lengths[short].mean()))) if len(short) else 1
+        for a in range(0, len(short), step):
+            part = short[a : a + step]
+            text, number, sizes, good = _chart(self.words, [stretches[i] for i in part.tolist()])
+            part, sizes = part[good], sizes[good]
+            chars.append((part, text, lengths[part]))
+            visits.append((part, number, sizes))
+        charted = np.zeros(len(stretches), bool)
+        for part, _, _ in chars:
+            charted[part] = True
+        return _interleaved(len(stretches), chars), _interleaved(len(stretches), visits, np.uint64), charted
+
+    def followed(self, entries: np.ndarray, salts: np.ndarray | None = None) -> tuple[tuple, tuple]:
+        """Ids of charted entries, one after the other, and how many each has. Without salts
+        nothing is skipped, and the places of the merges come too, in the same form."""
+        cut, made = [], []
+        sizes = self.visits.sizes[entries]
+        order = np.argsort(sizes, kind="stable")
+        a = 0
+        while a < len(order):
+            # rows of about the same number of visits
+            some = order[a : a + CELLS // 16]
+            deep = np.arange(1, len(some) + 1) * np.maximum(sizes[some], 16)
+            part = some[: max(1, int(np.searchsorted(deep, CELLS, "right")))]
+            a += len(part)
+            ids, merges = self._follow(entries[part], None if salts is None else salts[part])
+            cut.append((part, *ids))
+            if salts is None:
+                made.append((part, *merges))
+        return _interleaved(len(entries), cut), _interleaved(len(entries), made, np.uint64)
+
+    def _follow(self, entries: np.ndarray, salts: np.ndarray | None) -> tuple[tuple, tuple | None]:
+        words = self.words
+        n, depths, lengths = len(entries), self.visits.sizes[entries], self.chars.sizes[entries]
+        line = np.arange(int(depths.max()))[:, None]
+        visit = self.visits.data[np.minimum(self.visits.starts[entries] + line, len(self.visits.data) - 1)]
+        where = (visit & np.uint64(0x7FFF)).astype(np.int64)
+        goes = line < depths
+        if salts is not None:
+            goes &= mix(salts ^ _PLACES[where]) >= self.limit
+        # bits of the places where a piece begins: a candidate is there if its span has
+        # these three only
+        span, need, middle = _SPANS[where], _BORDERS[where], _MIDDLES[where]
+        span *= goes
+        state, kept, there = np.full(n, 0xFFFFFFFF, np.uint32), np.empty(n, np.uint32), np.empty(goes.shape, bool)
+        for k in range(len(line)):
+            np.bitwise_and(state, span[k], out=kept)
+            np.equal(kept, need[k], out=there[k])
+            np.multiply(middle[k], there[k], out=kept)
+            np.bitwise_xor(state, kept, out=state)
+        place = np.arange(max(1, int(lengths.max())))[:, None]
+        chars = self.chars.data[self.chars.starts[entries] + np.where(place < lengths, place, 0)]
+        symbol = words.symbols[chars]
+        at = np.flatnonzero(there)  # later merges are written later
+        piece = words.piece_of_rank[(visit.ravel()[at] >> np.uint64(15)).astype(np.int64)]
+        symbol[where.ravel()[at] >> 10, at % n] = piece
+        symbol[((state >> place.astype(np.uint32)) & np.uint32(1) == 0) | (place >= lengths)] = -2
+        bound = np.broadcast_to(place.astype(np.int8), symbol.shape)
+        ids = _ids(words, chars, symbol, bound)
+        return ids, (_PLACES[where.T[there.T]], there.sum(axis=0)) if salts is None else None
+
     def alone(self, stretch: str, variant: int) -> list[int]:
         """One stretch, with a heap as its agenda."""
         words, salt = self.words, self.salts([stretch], [variant])[0]
@@ -271,8 +360,7 @@ class Segmenter:
         nothing is skipped, and the candidates met come too, in the same form, as mixed
         numbers of their borders."""
         cut, met = [], []
-        codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4")
-        lengths = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        codes, lengths = _codes(stretches)
         starts = np.cumsum(lengths) - lengths
         kind = np.searchsorted(WIDTHS, lengths)
         for k in np.unique(kind).tolist():
@@ -284,14 +372,22 @@ class Segmenter:
                 cut.append((part, *grid.ids()))
                 if salts is None:
                     met.append((part, *grid.candidates_met()))
-        return _interleaved(len(stretches), cut), _interleaved(len(stretches), met)
+        return _interleaved(len(stretches), cut), _interleaved(len(stretches), met, np.uint64)
 
 
 class Entries(dict):
-    """Numbers of stretches; -1 for one that has none."""
+    """Numbers of stretches, given when one is first asked for; -1 for long ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
     def __missing__(self, stretch: str) -> int:
-        return -1
+        if len(stretch) > LONG:
+            return -1
+        self.new.append(stretch)
+        number = self[stretch] = len(self)
+        return number
 
 
 class Ragged:
@@ -299,39 +395,241 @@ class Ragged:
 
     def __init__(self, kind: type):
         self.data, self.size = np.empty(1 << 16, kind), 0
-        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.starts, self.sizes, self.rows = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int32), 0
 
     def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
-        if self.size + len(data) > len(self.data):
-            more = np.empty(self.size // 2 + 2 * len(data), self.data.dtype)
-            self.data = np.concatenate((self.data[: self.size], more))
-        self.data[self.size : self.size + len(data)] = data
-        self.starts = np.append(self.starts, self.size + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.size += len(data)
+        upto, rows = self.size + len(data), self.rows + len(sizes)
+        self.data = _longer(self.data, upto)
+        self.starts, self.sizes = _longer(self.starts, rows), _longer(self.sizes, rows)
+        self.data[self.size : upto] = data
+        self.starts[self.rows : rows] = self.size + np.cumsum(sizes) - sizes
+        self.sizes[self.rows : rows] = sizes
+        self.size, self.rows = upto, rows
 
     def get(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[rows]
         return self.data[_spans(self.starts[rows], sizes)], sizes
 
 
+def _longer(data: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy with room for n and half as many more."""
+    return data if n <= len(data) else np.concatenate((data, np.empty(n + n // 2 - len(data), data.dtype)))
+
+
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, sizes of them."""
     return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def _interleaved(n: int, groups: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+def _interleaved(n: int, groups: list[tuple], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """One ragged sequence of n rows from groups (rows, data, sizes)."""
     sizes = np.zeros(n, np.int64)
     for rows, _, size in groups:
         sizes[rows] = size
     starts = np.cumsum(sizes) - sizes
-    out = np.empty(int(sizes.sum()), groups[0][1].dtype if groups else np.uint32)
+    out = np.empty(int(sizes.sum()), groups[0][1].dtype if groups else kind)
     for rows, data, size in groups:
         out[_spans(starts[rows], size)] = data
     return out, sizes
 
 
+def _codes(stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the stretches, one after the other, and how many each has."""
+    codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4")
+    return codes, np.fromiter(map(len, stretches), np.int64, len(stretches))
+
+
+# by start, middle and end - 1 of a candidate, five bits each: mixed number of its borders; bits
+# of the places in its span, of its borders, of its middle. The end of 32 places has no bit.
+_START, _MIDDLE, _END = (np.arange(1 << 15) >> k & 31 for k in (10, 5, 0))
+_PLACES = _place(*(x.astype(np.uint64) for x in (_START, _MIDDLE, _END + 1)))
+_BORDERS = ((1 << _START) | (1 << _MIDDLE) | (1 << _END + 1)).astype(np.uint32)
+_MIDDLES = (1 << _MIDDLE).astype(np.uint32)
+_SPANS = ((1 << _END + 2) - (1 << _START)).clip(0).astype(np.uint32)
+
+
+def _chart(words: Vocabulary, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of short stretches, all their candidates in the order in which agendas take
+    them, how many each has, and whether it is charted.
+
+    An agenda takes the best rank first, so that ranks rise, but for one case: a piece can be
+    better than a part of it. Such a candidate is taken right behind the merge that made the
+    part, before all others that are worse than itself. So the turn of a merge is a list of
+    falling ranks with their starts: what it waited for, its own last. A merge goes behind
+    the turns of its parts, without what is better than itself there. A candidate is visited
+    at each turn that it can have, in their order; a visit at which it is not there does no
+    harm, and one that is skipped or gone at its turn never comes back. Stretches with more
+    than VISITS, or turns of more than four merges, are not charted.
+
+    A visit is a number: rank from bit 15, start, middle, end - 1.
+    """
+    n, bits = len(stretches), words.rank_bits + 5
+    lengths = np.fromiter(map(len, stretches), np.int64, n)
+    # one after the other, with a place between them that is in no piece
+    chars, _ = _codes([part for s in stretches for part in (s, "\n")])
+    row_at = np.repeat(np.arange(n), lengths + 1)
+    start_at = _spans(np.zeros(n, np.int64), lengths + 1)
+    between = start_at == lengths[row_at]
+    total = len(chars)
+    symbol = {1: np.where(between, words.symbols.dtype.type(-1), words.symbols[chars])}
+    places = {1: np.flatnonzero(symbol[1] >= 0)}
+    sizes = min(int(lengths.max()), words.longest) + 1
+    turns = Turns(sizes * total, bits)
+    hard, count, visits = np.zeros(n, bool), np.zeros(n, np.int64), []
+    for size in range(2, sizes):
+        splits, cells = [], []
+        for k in range(1, size):
+            # look from the side of which there is less
+            if len(places[k]) <= len(places[size - k]):
+                at = places[k][: np.searchsorted(places[k], total - size, "right")]
+                at = at[symbol[size - k][at + k] >= 0]
+            else:
+                at = places[size - k][np.searchsorted(places[size - k], k) :] - k
+                at = at[symbol[k][at] >= 0]
+            splits.append(np.full(len(at), k))
+            cells.append(at)
+        cell, split = np.concatenate(cells), np.concatenate(splits)
+        left = np.concatenate([symbol[k][at] for k, at in enumerate(cells, 1)])
+        right = np.concatenate([symbol[size - k][at + k] for k, at in enumerate(cells, 1)])
+        found = words.pair(left, right)
+        hit = np.flatnonzero((found >= 0) & ~hard[row_at[cell]])
+        cell, split, left, right = cell[hit], split[hit], left[hit], right[hit]
+        piece = words.piece_of_rank[words.ranks[found[hit]]]
+        symbol[size] = np.full(total, -1, symbol[1].dtype)
+        symbol[size][cell] = piece
+        places[size] = np.flatnonzero(symbol[size] >= 0)
+        if not len(hit):
+            continue
+        start, row = start_at[cell], row_at[cell]
+        rank = words.rank_of[piece]
+        own, tail = rank << 5 | start, (start + split) << 5 | (start + size - 1)
+        none, waits = np.ones(len(hit), bool), []
+        for part, ahead, long in ((left, 0, split), (right, split, size - split)):
+            ranked, first = words.rank_of[part], start + ahead
+            late = ranked > rank
+            none &= ~late
+            behind = np.flatnonzero(late)
+            waits.append((behind, ranked[behind] << 5 | first[behind]))
+            for which, before in turns.of(long * total + cell + ahead):
+                # what the part waited for, and the part itself if it is worse than the piece
+                before = turns.cut(before, rank[which])
+                after = late[which]
+                hard[row[which[after & turns.full(before)]]] = True
+                before[after] = before[after] << bits | (ranked[which[after]] << 5 | first[which[after]])
+                waits.append((which, before))
+        which, before = (np.concatenate(x) for x in zip(*waits, strict=True))
+        some = np.flatnonzero(before)
+        if len(some):
+            which, before = turns.add(size * total + cell, which[some], before[some])
+            visits.append((row[which], before, own[which], tail[which]))
+            count += np.bincount(row[which], minlength=n)
+        some = np.flatnonzero(none)
+        visits.append((row[some], np.zeros(len(some), np.int64), own[some], tail[some]))
+        count += np.bincount(row[some], minlength=n)
+        hard |= count > VISITS
+    chars = chars[~between & ~hard[row_at]]
+    if not visits:
+        return chars, np.empty(0, np.uint64), np.zeros(n, np.int64), ~hard
+    row, before, own, tail = (np.concatenate(x) for x in zip(*visits, strict=True))
+    at = np.flatnonzero(~hard[row]) if hard.any() else slice(None)
+    row, before, own, tail = row[at], before[at], own[at], tail[at]
+    deep = np.zeros(n, bool)
+    deep[row[before >> bits > 0]] = True
+    simple = np.flatnonzero(~deep[row])
+    # row, two ranks and starts, middle and end in one number
+    first = np.where(before > 0, before << bits | own, own << bits)[simple]
+    key = np.sort((row[simple] << 2 * bits + 10 | first << 10 | tail[simple]).astype(np.uint64))
+    second = key >> np.uint64(10) & np.uint64((1 << bits) - 1)
+    first = key >> np.uint64(bits + 10) & np.uint64((1 << bits) - 1)
+    groups = [_visits(np.flatnonzero(~deep), key >> np.uint64(2 * bits + 10), np.where(second > 0, second, first), key & np.uint64(0x3FF), n)]
+    some = np.flatnonzero(deep[row])
+    if len(some):
+        row, before, own, tail = row[some], before[some], own[some], tail[some]
+        order = np.lexsort((tail, *turns.ranged(before, own), row))
+        groups.append(_visits(np.flatnonzero(deep), row[order], own[order].astype(np.uint64), tail[order].astype(np.uint64), n))
+    return chars, *_interleaved(n, groups, np.uint64), ~hard
+
+
+def _visits(rows: np.ndarray, row: np.ndarray, own: np.ndarray, tail: np.ndarray, n: int) -> tuple:
+    number = ((own >> np.uint64(5)) - np.uint64(1)) << np.uint64(15) | (own & np.uint64(31)) << np.uint64(10) | tail
+    return rows, number, np.bincount(row.astype(np.int64), minlength=n)[rows]
+
+
+class Turns:
+    """What the pieces of cells waited for: lists of up to three merges, each a rank and a
+    start, the last one in the lowest bits."""
+
+    def __init__(self, cells: int, bits: int):
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.head = np.full(cells, -1, np.int32)
+        self.next, self.before = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def of(self, cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the cells that have one more list, with it."""
+        which, node = np.arange(len(cells)), self.head[cells]
+        while True:
+            there = np.flatnonzero(node >= 0)
+            if not len(there):
+                return
+            which, node = which[there], node[there]
+            yield which, self.before[node]
+            node = self.next[node]
+
+    def cut(self, before: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The lists without what is better than the ranks."""
+        for _ in range(3):
+            before = np.where((before & self.mask) >> 5 > rank, before, before >> self.bits)
+        return before
+
+    def full(self, before: np.ndarray) -> np.ndarray:
+        return before >> 2 * self.bits > 0
+
+    def add(self, cell: np.ndarray, which: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the lists of cells; numbers and lists, each candidate's once."""
+        order = np.lexsort((before, which))
+        which, before = which[order], before[order]
+        once = np.concatenate(([True], (which[1:] != which[:-1]) | (before[1:] != before[:-1])))
+        which, before = which[once], before[once]
+        cells = cell[which]
+        order = np.lexsort((before, cells))
+        cells, lists = cells[order], before[order]
+        once = np.concatenate(([True], (cells[1:] != cells[:-1]) | (lists[1:] != lists[:-1])))
+        cells, lists = cells[once], lists[once]
+        node = np.arange(len(self.next), len(self.next) + len(cells), dtype=np.int32)
+        # the lists of a cell follow each other
+        after = np.where(np.append(cells[1:] == cells[:-1], False), node + 1, -1).astype(np.int32)
+        first = np.concatenate(([True], cells[1:] != cells[:-1]))
+        self.head[cells[first]] = node[first]
+        self.next, self.before = np.append(self.next, after), np.append(self.before, lists)
+        return which, before
+
+    def ranged(self, before: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """Keys of the turns, the last the most significant."""
+        depth = (before > 0).astype(np.int64) + (before >> self.bits > 0) + (before >> 2 * self.bits > 0)
+        whole = [before >> 2 * self.bits, before >> self.bits & self.mask, before & self.mask, own]
+        return [np.choose(np.minimum(3 - depth + k, 4), [*whole, np.zeros_like(own)]) for k in (3, 2, 1, 0)]
+
+
+def _ids(words: Vocabulary, chars, symbol, bound) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of stretches from tables with a column for each, and how many each has."""
+    symbol, bound = np.ascontiguousarray(symbol.T), bound.T
+    there = symbol != -2
+    sizes, ids = there.sum(axis=1), symbol[there].astype(np.uint32)
+    odd = np.flatnonzero((symbol == -1).any(axis=1))
+    if not len(odd):
+        return ids, sizes
+    groups, plain = [], np.ones(len(symbol), bool)
+    plain[odd] = False
+    for r in odd.tolist():
+        spelled: list[int] = []
+        for i, k in zip(symbol[r].tolist(), bound[r].tolist(), strict=True):
+            if i != -2:
+                spelled += [i] if i >= 0 else words.spell(chr(chars[k, r]))
+        groups.append((np.array([r]), np.array(spelled, np.uint32), np.array([len(spelled)])))
+    groups.append((np.flatnonzero(plain), ids[np.repeat(plain, sizes)], sizes[plain]))
+    return _interleaved(len(symbol), groups)
+
+
 class Grid:
     """Stretches of up to `width` characters; one merge in every stretch per step.
 
@@ -399,23 +697,7 @@ class Grid:
         self.rank[at, line] = self.owner.words.ranks[found]
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all stretches, and how many each has."""
-        symbol, bound = (np.ascontiguousarray(x.T) for x in self.done)
-        there = symbol != -2
-        sizes, ids = there.sum(axis=1), symbol[there].astype(np.uint32)
-        odd = np.flatnonzero((symbol == -1).any(axis=1))
-        if not len(odd):
-            return ids, sizes
-        groups, plain = [], np.ones(len(symbol), bool)
-        plain[odd] = False
-        for r in odd.tolist():
-            spelled: list[int] = []
-            for i, k in zip(symbol[r].tolist(), bound[r].tolist(), strict=True):
-                if i != -2:
-                    spelled += [i] if i >= 0 else self.owner.words.spell(chr(self.chars[k, r]))
-            groups.append((np.array([r]), np.array(spelled, np.uint32), np.array([len(spelled)])))
-        groups.append((np.flatnonzero(plain), ids[np.repeat(plain, sizes)], sizes[plain]))
-        return _interleaved(len(symbol), groups)
+        return _ids(self.owner.words, self.chars, *self.done)
 
     def candidates_met(self) -> tuple[np.ndarray, np.ndarray]:
         row = np.concatenate([r for r, _ in self.met])
@@ -435,7 +717,7 @@ def _encoded(docs: DataFrame, model: str, seed: int, rate: float, schema: str, a
             at = 0
             while at < batch.num_rows:
                 # some texts at a time: enough for long arrays, few enough for memory
-                part = batch.slice(at, 64)
+                part = batch.slice(at, 256)
                 while part.nbytes > 4_000_000 and part.num_rows > 1:
                     part = part.slice(0, part.num_rows // 2)
                 at += part.num_rows

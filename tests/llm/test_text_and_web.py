@@ -228,6 +228,37 @@ def test_every_occurrence_is_drawn_on_its_own(corpus):
         assert len(set(words[:200])) > 12 and len(set(words)) > 2 * len(set(words[:200]))
 
 
+def test_usual_words_go_through_their_list_of_candidates(corpus, monkeypatch):
+    some = dropout.Segmenter(MODEL, 11, 0.3)
+    cut = [s for _, t in corpus[:60] for s in dropout.stretches_of(t) if len(s) <= 32]
+    variants = some.variants(5, len(cut))
+    want = [some.alone(s, v) for s, v in zip(cut[:4000], variants[:4000].tolist(), strict=True)]
+    grids, kept = [], dropout.Grid
+    monkeypatch.setattr(dropout, "Grid", lambda *a: grids.append(len(a[3])) or kept(*a))
+    for _ in range(2):
+        ids, sizes = some.drawn(cut, variants)
+    assert sum(grids) < len(set(cut)) / 100
+    got = [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got[:4000] == want
+
+
+def test_lists_of_candidates_agree_with_a_heap():
+    # pieces better than their parts ("▁the" than "the"), runs with crowds of candidates,
+    # lengths around the limits, characters outside the vocabulary
+    rng = np.random.default_rng(3)
+    alphabet = [list("▁thean"), list("=-"), list("▁understigh"), list("aé中\ud800😀s")]
+    cut = ["▁the", "▁that", "▁hand", "▁under", "▁thingshen", "=" * 16, "-" * 31, "-" * 32, "-" * 33, "=" * 64, "▁" * 32]
+    for letters in alphabet:
+        cut += ["".join(rng.choice(letters, n)) for n in rng.integers(1, 36, 300).tolist() + [31, 32, 33, 64]]
+    for seed, rate in enumerate((0.0, 0.05, 0.3, 0.7, 0.97)):
+        some = dropout.Segmenter(MODEL, seed, rate)
+        variants = some.variants(seed, len(cut))
+        ids, sizes = some.drawn(cut, variants)
+        got = [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [some.alone(s, v) for s, v in zip(cut, variants.tolist(), strict=True)]
+    assert not some.charted.all() and some.charted.mean() > 0.5
+
+
 # --- revisits ---------------------------------------------------------------------
 
 RECORD = "record_id bigint, url string, ts bigint, kind string, etag string, last_modified string, headers map<string,string>, span int, near string"
