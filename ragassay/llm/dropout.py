@@ -545,7 +545,7 @@ def _chart(words: Vocabulary, stretches: list[str]) -> tuple[np.ndarray, np.ndar
     some = np.flatnonzero(deep[row])
     if len(some):
         row, before, own, tail = row[some], before[some], own[some], tail[some]
-        order = np.lexsort((tail, *turns.ranged(before, own), row))
+        order = turns.order(row, before, own)
         groups.append(_visits(np.flatnonzero(deep), row[order], own[order].astype(np.uint64), tail[order].astype(np.uint64), n))
     return chars, *_interleaved(n, groups, np.uint64), ~hard
 
@@ -603,11 +603,19 @@ class Turns:
         self.next, self.before = np.append(self.next, after), np.append(self.before, lists)
         return which, before
 
-    def ranged(self, before: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        """Keys of the turns, the last the most significant."""
-        depth = (before > 0).astype(np.int64) + (before >> self.bits > 0) + (before >> 2 * self.bits > 0)
-        whole = [before >> 2 * self.bits, before >> self.bits & self.mask, before & self.mask, own]
-        return [np.choose(np.minimum(3 - depth + k, 4), [*whole, np.zeros_like(own)]) for k in (3, 2, 1, 0)]
+    def order(self, row: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Sorted by row, then by what was waited for and the merge itself."""
+        bits, third = self.bits, before >> self.bits > 0
+        fourth = self.full(before)
+        # the first two merges, then the others; those of equal firsts share a number
+        first = np.where(fourth, before >> bits, before)
+        first = np.where(third, first, np.where(before > 0, before << bits | own, own << bits))
+        then = np.where(fourth, (before & self.mask) << bits | own, np.where(third, own << bits, 0))
+        first |= row << 2 * bits
+        order = np.argsort(first)
+        number = np.empty_like(order)
+        number[order] = np.cumsum(np.append(0, np.diff(first[order]) != 0))
+        return np.argsort(number << 2 * bits | then)
 
 
 def _ids(words: Vocabulary, chars, symbol, bound) -> tuple[np.ndarray, np.ndarray]:
